@@ -120,11 +120,16 @@ def running_sum(
 
 
 def split_hot(
-    big: DataFrame, key: str, spread_by: str, rows_per_piece: int | None = None
+    big: DataFrame, key: str, spread_by: str, rows_per_piece: int | None = None, known_rows: int | None = None
 ) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
     """Cut hot keys of ``big`` into pieces (column ``_piece``) and return a function that copies the rows of the
-    other side of the join to every piece. Join on ``[key, "_piece"]``."""
-    if rows_per_piece is None and fits_one_task(big):
+    other side of the join to every piece. Join on ``[key, "_piece"]``. ``known_rows``: row count, where the caller
+    has it anyway; a frame no larger than one piece needs no look for hot keys."""
+    if known_rows is not None:
+        plain = known_rows <= (rows_per_piece or ROWS_PER_PIECE)
+    else:
+        plain = rows_per_piece is None and fits_one_task(big)
+    if plain:
         return big.withColumn("_piece", F.lit(0)), lambda other, k: other.withColumn("_piece", F.lit(0))
     rows = rows_per_piece or ROWS_PER_PIECE
     pieces = (
