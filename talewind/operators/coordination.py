@@ -44,38 +44,38 @@ def active_spells(posts: DataFrame, window_seconds: int = BURST_SECONDS) -> Data
 
 def burst_windows(posts: DataFrame, window_seconds: int = BURST_SECONDS, min_authors: int = BURST_AUTHORS) -> DataFrame:
     """Every post time at which the trailing window holds at least ``min_authors`` distinct authors:
-    narrative_id, at (epoch microseconds), authors.
+    narrative_id, window_end (epoch microseconds), authors.
 
     Distinct authors are counted by sweeping spell starts (+1) and ends (-1), a running sum per narrative: no author
     set is ever collected, and a narrative of any size is cut into time slices.
     """
     spells = active_spells(posts, window_seconds)
-    starts = spells.select("narrative_id", F.col("start").alias("at"), F.lit(1).alias("change"), F.lit(0).alias("posted"))
-    ends = spells.select("narrative_id", (F.col("end") + 1).alias("at"), F.lit(-1).alias("change"), F.lit(0).alias("posted"))
-    marks = posts.select("narrative_id", micros("created_at").alias("at"), F.lit(0).alias("change"), F.lit(1).alias("posted"))
-    steps = starts.unionByName(ends).unionByName(marks).groupBy("narrative_id", "at").agg(
+    starts = spells.select("narrative_id", F.col("start").alias("window_end"), F.lit(1).alias("change"), F.lit(0).alias("posted"))
+    ends = spells.select("narrative_id", (F.col("end") + 1).alias("window_end"), F.lit(-1).alias("change"), F.lit(0).alias("posted"))
+    marks = posts.select("narrative_id", micros("created_at").alias("window_end"), F.lit(0).alias("change"), F.lit(1).alias("posted"))
+    steps = starts.unionByName(ends).unionByName(marks).groupBy("narrative_id", "window_end").agg(
         F.sum("change").alias("change"), F.max("posted").alias("posted")
     )
-    swept = running_sum(steps, ["narrative_id"], "at", ["at"], {"authors": "change"})
-    return swept.filter((F.col("posted") == 1) & (F.col("authors") >= min_authors)).select("narrative_id", "at", "authors")
+    swept = running_sum(steps, ["narrative_id"], "window_end", ["window_end"], {"authors": "change"})
+    return swept.filter((F.col("posted") == 1) & (F.col("authors") >= min_authors)).select("narrative_id", "window_end", "authors")
 
 
 def burst_peaks(windows: DataFrame) -> DataFrame:
     """Strongest window per narrative, the earliest of equals."""
     return windows.groupBy("narrative_id").agg(
-        F.max("authors").alias("authors"), F.min_by("at", F.struct(-F.col("authors"), "at")).alias("at")
+        F.max("authors").alias("authors"), F.min_by("window_end", F.struct(-F.col("authors"), "window_end")).alias("window_end")
     )
 
 
 def burst_members(posts: DataFrame, peaks: DataFrame, window_seconds: int = BURST_SECONDS) -> DataFrame:
-    """Authors of each window: narrative_id, at, actor_id."""
+    """Authors of each window: narrative_id, window_end, actor_id."""
     width = window_seconds * 1_000_000
     us = micros("created_at")
     timed = posts.select("narrative_id", "actor_id", us.alias("_us"))
-    inside = timed.join(peaks.select("narrative_id", "at"), "narrative_id").filter(
-        F.col("_us").between(F.col("at") - width, F.col("at"))
+    inside = timed.join(peaks.select("narrative_id", "window_end"), "narrative_id").filter(
+        F.col("_us").between(F.col("window_end") - width, F.col("window_end"))
     )
-    return inside.select("narrative_id", "at", "actor_id").distinct()
+    return inside.select("narrative_id", "window_end", "actor_id").distinct()
 
 
 def connection_density(members: DataFrame, edges: DataFrame, set_keys: Sequence[str]) -> DataFrame:
@@ -106,9 +106,9 @@ def temporal_burst(
     """Strongest burst per narrative by authors that are hardly connected."""
     peaks = burst_peaks(burst_windows(posts, window_seconds, min_authors))
     members = burst_members(posts, peaks, window_seconds)
-    scored = connection_density(members, edges, ["narrative_id", "at"]).filter(F.col("density") < max_density)
+    scored = connection_density(members, edges, ["narrative_id", "window_end"]).filter(F.col("density") < max_density)
     return scored.select(
-        "narrative_id", "at", F.col("accounts").alias("authors"), "density",
+        "narrative_id", "window_end", F.col("accounts").alias("authors"), "density",
         F.least(F.lit(0.95), 0.5 + (F.col("accounts") - BURST_AUTHORS) * 0.05).alias("confidence"),
     )
 
