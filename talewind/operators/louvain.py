@@ -9,6 +9,8 @@ from talewind.operators.skew import split_hot
 from talewind.session import cut_lineage
 
 LEVELS, ITERATIONS = 10, 20
+# An iteration or level that lifts modularity by less than this is the last.
+TOLERANCE = 1e-4
 _GAIN = 1e-9
 
 
@@ -42,13 +44,12 @@ def _one_level(
 
     All nodes decide at once, so neighbours could swap for ever; in each iteration only one half of the nodes, by a
     hash that changes with the iteration, may move, and a lone node joins another lone node only towards the smaller
-    label. Iterating stops when nothing moves or modularity no longer rises; the best labelling is kept.
+    label. Iterating stops when neither half lifts modularity any more; the best labelling is kept.
     """
     degree = cut_lineage(weights.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
     cut, copy = split_hot(weights.filter(F.col("u") != F.col("v")), "v", "u", rows_per_piece, known_rows=rows)
     state = cut_lineage(degree.select("node", "k", F.col("node").alias("label")))
     best, best_score = state, modularity(weights, state)
-    quiet = 0
     for iteration in range(iterations):
         labels = state.select(F.col("node").alias("v"), "label")
         towards = cut.join(copy(labels, "v"), ["v", "_piece"]).groupBy(F.col("u").alias("node"), "label").agg(F.sum("w").alias("w"))
@@ -75,21 +76,19 @@ def _one_level(
         lone = (F.col("company") == 1) & (F.col("move.members") == 1)
         better = F.col("move.gain") > F.col("stay") + _GAIN
         moves = turn & better & (~lone | (F.col("move.target") < F.col("label")))
-        stepped = choice.withColumn("moved", F.coalesce(moves, F.lit(False))).select(
-            "node", "k", F.when(F.col("moved"), F.col("move.target")).otherwise(F.col("label")).alias("label"), "moved"
+        stepped = choice.select(
+            "node", "k", F.when(F.coalesce(moves, F.lit(False)), F.col("move.target")).otherwise(F.col("label")).alias("label")
         )
-        stepped = cut_lineage(stepped)
-        moved = stepped.filter("moved").count()
-        state = stepped.drop("moved")
-        if moved == 0:
-            quiet += 1
-            if quiet == 2:  # neither half has a move left
-                break
+        state = cut_lineage(stepped)
+        if iteration % 2 == 0 and iteration + 1 < iterations:
             continue
-        quiet = 0
+        # Both halves have had their turn.
         score = modularity(weights, state)
-        if score > best_score:
+        gained = score - best_score
+        if gained > 0:
             best, best_score = state, score
+        if gained <= TOLERANCE:
+            break
     return best.select("node", "label"), best_score
 
 
@@ -104,7 +103,7 @@ def communities(
     for level in range(levels):
         rows = weights.count()
         labels, fresh = _one_level(weights, total, rows, iterations, level, rows_per_piece)
-        if score is not None and fresh <= score + 1e-7:
+        if score is not None and fresh <= score + TOLERANCE:
             break
         score = fresh
         labels = cut_lineage(labels)
