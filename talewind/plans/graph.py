@@ -52,6 +52,7 @@ threads AS (
 
 
 def uuid5_sql(expr: str) -> str:
+    """SQL of the version-5 UUID in the URL namespace."""
     h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({expr}))"
     return (
         f"(SELECT substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||translate(substr(h,17,1),'0123456789abcdef',"
