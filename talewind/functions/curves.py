@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,36 +28,34 @@ def resample_curve(curve: ColumnOrName, points: int = CURVE_POINTS) -> Column:
     return F.when(F.size(arr) > 0, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
 
 
-def curve_similarity_resampled(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """(Pearson + 1) / 2 of two equally long curves; 0 where a curve is missing or flat."""
-    x, y = col(a), col(b)
-    n = F.size(x)
-
-    def total(arr: Column) -> Column:
-        return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
-
-    mean_x, mean_y = total(x) / n, total(y) / n
-    var_x = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean_x) * (v - mean_x))
-    var_y = F.aggregate(y, F.lit(0.0), lambda acc, v: acc + (v - mean_y) * (v - mean_y))
-    cov = total(F.zip_with(x, y, lambda p, q: (p - mean_x) * (q - mean_y)))
-    usable = x.isNotNull() & y.isNotNull() & (var_x > _VARIANCE_FLOOR) & (var_y > _VARIANCE_FLOOR)
-    return F.when(usable, F.greatest(F.lit(0.0), (cov / F.sqrt(var_x * var_y) + 1) / 2)).otherwise(0.0)
-
-
-def curve_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
-    return curve_similarity_resampled(resample_curve(a), resample_curve(b))
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a plain expression is computed again per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def standardize_curve(curve: ColumnOrName) -> Column:
     """Zero mean, unit length; null for a missing or flat curve. The Pearson correlation of two standardised
     curves is their dot product, so a join on curves needs one pass per pair."""
-    arr = col(curve)
-    mean = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v) / F.size(arr)
-    square = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    return F.when(F.size(arr).isNotNull() & (square > _VARIANCE_FLOOR), F.transform(arr, lambda v: (v - mean) / F.sqrt(square)))
+
+    def centred(arr: Column) -> Column:
+        mean = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v) / F.size(arr)
+        return bind(mean, lambda m: F.transform(arr, lambda v: v - m))
+
+    def scaled(arr: Column) -> Column:
+        square = F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v * v)
+        return bind(square, lambda q: F.when(q > _VARIANCE_FLOOR, F.transform(arr, lambda v: v / F.sqrt(q))))
+
+    return bind(col(curve), lambda c: bind(centred(c), scaled))
 
 
 def standardized_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """(Pearson + 1) / 2 of two standardised curves; 0 where either is null."""
     x, y = col(a), col(b)
     dot = F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
     return F.when(x.isNotNull() & y.isNotNull(), F.greatest(F.lit(0.0), (dot + 1) / 2)).otherwise(0.0)
+
+
+def curve_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """(Pearson + 1) / 2 of the resampled curves; 0 where a curve is missing, empty or flat."""
+    left, right = standardize_curve(resample_curve(a)), standardize_curve(resample_curve(b))
+    return bind(left, lambda x: bind(right, lambda y: standardized_similarity(x, y)))

@@ -1 +1,187 @@
-"""Queries."""
+"""Similar narratives and forecasts; a narrative is a k of the sample events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talewind.functions.curves import curve_similarity
+from talewind.operators import predict as pr
+from talewind.plans.catalog import query
+from talewind.plans.tables import POSTS, posts, table
+
+
+def narrative_state(spark, sf_dir):
+    """State of each narrative: daily counts as curve, platforms and user groups with enough posts as platforms and keywords."""
+    p = posts(spark, sf_dir)
+    day = p.groupBy("narrative_id", F.to_date("created_at").alias("_d")).agg(F.count("*").cast("double").alias("_n"))
+    # At most one value per day of the month.
+    curve = day.groupBy("narrative_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_d", "_n"))), lambda x: x["_n"]).alias("velocity_curve"), F.max("_n").alias("peak_velocity")
+    )
+    total = p.groupBy("narrative_id").agg(F.count("*").alias("content_count"))
+
+    def common(value, name, share):
+        counted = p.groupBy("narrative_id", value.alias("_v")).agg(F.count("*").alias("_c")).join(total, "narrative_id")
+        kept = counted.filter(F.col("_c") > F.col("content_count") * share)
+        return kept.groupBy("narrative_id").agg(F.array_sort(F.collect_set("_v")).alias(name))
+
+    group = F.concat(F.lit("w"), (F.col("actor_id") % 15).cast("string"))
+    base = p.groupBy("narrative_id").agg(
+        F.min_by("platform", F.struct("created_at", "content_id")).alias("origin_platform"), F.min("created_at").alias("created_at"),
+        ((F.unix_micros(F.max("created_at")) - F.unix_micros(F.min("created_at"))) / 3_600_000_000).alias("duration_hours"),
+        F.round(F.least(F.lit(1.0), F.avg("value") / 20), 6).alias("coordination_score"), F.count("*").alias("content_count"),
+    )
+    joined = base.join(curve, "narrative_id").join(common(F.col("platform"), "platforms", 0.2), "narrative_id", "left").join(
+        common(group, "keywords", 0.085), "narrative_id", "left"
+    )
+    status = (
+        F.when(F.col("narrative_id") % 5 == 0, "dead").when(F.col("narrative_id") % 5 == 1, "declining").when(F.col("narrative_id") % 5 == 2, "growing")
+        .when(F.col("narrative_id") % 5 == 3, "viral").otherwise("dormant")
+    )
+    none = F.array().cast("array<string>")
+    return joined.select(
+        F.col("narrative_id").cast("string").alias("narrative_id"), status.alias("status"), F.coalesce("keywords", none).alias("keywords"),
+        F.concat(F.lit("cat"), (F.col("narrative_id") % 3).cast("string")).alias("category"), "velocity_curve", F.coalesce("platforms", none).alias("platforms"),
+        "origin_platform", "coordination_score", "duration_hours", "peak_velocity", F.concat(F.lit("story "), "narrative_id").alias("summary"),
+        F.lit("faded").alias("outcome"), "created_at", "content_count",
+    )
+
+
+STATE = POSTS + """,
+nday AS (SELECT narrative_id, CAST(created_at AS DATE) AS d, count(*)::DOUBLE AS n FROM posts GROUP BY ALL),
+ncurve AS (SELECT narrative_id, list(n ORDER BY d) AS velocity_curve, max(n) AS peak_velocity FROM nday GROUP BY ALL),
+ntotal AS (SELECT narrative_id, count(*) AS content_count FROM posts GROUP BY ALL),
+nplat AS (SELECT narrative_id, list_sort(list(platform)) AS platforms FROM (SELECT narrative_id, platform, count(*) AS c FROM posts GROUP BY ALL) JOIN ntotal USING (narrative_id)
+          WHERE c > content_count * 0.2 GROUP BY ALL),
+nkey AS (SELECT narrative_id, list_sort(list(w)) AS keywords FROM (SELECT narrative_id, 'w' || (actor_id % 15) AS w, count(*) AS c FROM posts GROUP BY ALL) JOIN ntotal USING (narrative_id)
+         WHERE c > content_count * 0.085 GROUP BY ALL),
+nbase AS (SELECT narrative_id, arg_min(platform, (us, content_id)) AS origin_platform, min(created_at) AS created_at, (max(us) - min(us)) / 3600000000 AS duration_hours,
+          round(least(1.0, avg(value) / 20), 6)::DOUBLE AS coordination_score, count(*) AS content_count FROM posts GROUP BY ALL),
+state AS (
+  SELECT CAST(narrative_id AS VARCHAR) AS narrative_id, CASE narrative_id % 5 WHEN 0 THEN 'dead' WHEN 1 THEN 'declining' WHEN 2 THEN 'growing' WHEN 3 THEN 'viral' ELSE 'dormant' END AS status,
+    coalesce(keywords, []) AS keywords, 'cat' || (narrative_id % 3) AS category, velocity_curve, coalesce(platforms, []) AS platforms, origin_platform, coordination_score, duration_hours,
+    peak_velocity, 'story ' || narrative_id AS summary, created_at, content_count
+  FROM nbase JOIN ncurve USING (narrative_id) LEFT JOIN nplat USING (narrative_id) LEFT JOIN nkey USING (narrative_id))"""
+
+SIMILAR = STATE + """,
+idx AS (SELECT unnest(range(48)) AS i),
+res AS (
+  SELECT narrative_id, i, velocity_curve[lo + 1] * (1 - (pos - lo)) + velocity_curve[least(lo + 2, m + 1)] * (pos - lo) AS v
+  FROM (SELECT narrative_id, i, velocity_curve, len(velocity_curve) - 1 AS m, i * (len(velocity_curve) - 1) / 47 AS pos,
+               CAST(floor(i * (len(velocity_curve) - 1) / 47) AS BIGINT) AS lo FROM state CROSS JOIN idx)),
+vel AS (SELECT a.narrative_id AS c, b.narrative_id AS h, greatest(0.0, (corr(a.v, b.v) + 1) / 2) AS velocity FROM res a JOIN res b ON a.i = b.i AND a.narrative_id <> b.narrative_id GROUP BY ALL),
+dims AS (
+  SELECT c.narrative_id, h.narrative_id AS matched_narrative_id,
+    CASE WHEN len(c.keywords) > 0 AND len(h.keywords) > 0 THEN len(list_intersect(c.keywords, h.keywords)) / len(list_distinct(list_concat(c.keywords, h.keywords)))
+         WHEN c.category = h.category THEN 0.5 ELSE 0 END AS semantic,
+    CASE WHEN len(c.platforms) > 0 AND len(h.platforms) > 0 THEN len(list_intersect(c.platforms, h.platforms)) / len(list_distinct(list_concat(c.platforms, h.platforms))) ELSE 0 END AS platform,
+    1 - abs(c.coordination_score - h.coordination_score) AS network, (c.origin_platform = h.origin_platform)::INT::DOUBLE AS origin, velocity
+  FROM state c JOIN state h ON c.status IN ('growing', 'viral') AND h.status IN ('dead', 'dormant', 'declining') JOIN vel ON vel.c = c.narrative_id AND vel.h = h.narrative_id),
+similar_n AS (SELECT *, 0.30 * semantic + 0.25 * velocity + 0.20 * platform + 0.15 * network + 0.10 * origin AS score FROM dims),
+best AS (SELECT *, row_number() OVER (PARTITION BY narrative_id ORDER BY round(score, 12) DESC, matched_narrative_id) AS rank FROM similar_n WHERE score > 0.5 QUALIFY rank <= 5),
+matches AS (SELECT b.*, s.duration_hours, s.peak_velocity, s.platforms, s.coordination_score > 0.5 AS coordinated, s.status FROM best b JOIN state s ON s.narrative_id = b.matched_narrative_id)"""
+
+
+def _similar(spark, sf_dir):
+    state = narrative_state(spark, sf_dir)
+    history = pr.historical_narratives(state)
+    return state, history, pr.narrative_similarity(pr.active_narratives(state), history)
+
+
+def matches(spark, sf_dir):
+    state, history, similar = _similar(spark, sf_dir)
+    return state, pr.pattern_matches(similar, history)
+
+
+@query(
+    "narrative_state",
+    f"""WITH {STATE} SELECT narrative_id, status, array_to_string(keywords, '|') AS keywords, array_to_string(platforms, '|') AS platforms, origin_platform, coordination_score,
+      round(duration_hours, 6) AS duration_hours, peak_velocity, len(velocity_curve) AS days FROM state""",
+)
+def state_rows(spark, sf_dir):
+    return narrative_state(spark, sf_dir).select(
+        "narrative_id", "status", F.array_join("keywords", "|").alias("keywords"), F.array_join("platforms", "|").alias("platforms"), "origin_platform", "coordination_score",
+        F.round("duration_hours", 6).alias("duration_hours"), "peak_velocity", F.size("velocity_curve").cast("long").alias("days"),
+    )
+
+
+@query("historical_narratives", f"WITH {STATE} SELECT narrative_id, status FROM state WHERE status IN ('dead', 'dormant', 'declining')")
+def historical(spark, sf_dir):
+    return pr.historical_narratives(narrative_state(spark, sf_dir)).select("narrative_id", "status")
+
+
+@query("curve_similarity", f"WITH {SIMILAR} SELECT c AS narrative_a, h AS narrative_b, round(velocity, 7) AS similarity FROM vel WHERE CAST(h AS INT) = CAST(c AS INT) + 1")
+def curves(spark, sf_dir):
+    state = narrative_state(spark, sf_dir).select(F.col("narrative_id").cast("int").alias("n"), "velocity_curve")
+    nxt = state.select((F.col("n") - 1).alias("n"), F.col("velocity_curve").alias("other"))
+    return state.join(nxt, "n").select(
+        F.col("n").cast("string").alias("narrative_a"), (F.col("n") + 1).cast("string").alias("narrative_b"), F.round(curve_similarity("velocity_curve", "other"), 7).alias("similarity")
+    )
+
+
+@query(
+    "narrative_similarity",
+    f"WITH {SIMILAR} SELECT narrative_id, matched_narrative_id, round(score, 7) AS score, round(semantic, 7)::DOUBLE AS semantic, round(velocity, 7) AS velocity, "
+    "round(platform, 7)::DOUBLE AS platform, round(network, 7) AS network, origin FROM similar_n WHERE score > 0.5",
+)
+def similarity(spark, sf_dir):
+    found = _similar(spark, sf_dir)[2]
+    return found.select("narrative_id", "matched_narrative_id", *[F.round(c, 7).alias(c) for c in ("score", "semantic", "velocity", "platform", "network")], "origin")
+
+
+@query(
+    "pattern_matches",
+    f"WITH {SIMILAR} SELECT narrative_id, rank, matched_narrative_id, round(score, 4) AS similarity_score, status AS final_status, coordinated FROM matches",
+)
+def pattern_matches(spark, sf_dir):
+    found = matches(spark, sf_dir)[1]
+    return found.select(
+        "narrative_id", F.col("rank").cast("long").alias("rank"), "matched_narrative_id", "similarity_score", F.col("lifecycle.final_status").alias("final_status"),
+        F.col("lifecycle.coordination_detected").alias("coordinated"),
+    )
+
+
+PEAK = """
+peak AS (SELECT narrative_id, 'peak_timing' AS prediction_type, count(*) AS matches, round(avg(duration_hours * 0.4), 6) AS predicted_timeframe_hours,
+         round(stddev_pop(duration_hours * 0.4), 6) AS deviation_hours, round(least(0.85, 0.4 + count(*) * 0.1), 3)::DOUBLE AS confidence FROM matches WHERE duration_hours > 0 GROUP BY narrative_id)"""
+MIGRATION = """
+reached AS (SELECT narrative_id, unnest(platforms) AS platform FROM matches),
+here AS (SELECT narrative_id, unnest(platforms) AS platform FROM state),
+cnt AS (SELECT narrative_id, platform, count(*) AS n FROM reached WHERE (narrative_id, platform) NOT IN (SELECT (narrative_id, platform) FROM here) GROUP BY ALL),
+top1 AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY narrative_id ORDER BY n DESC, platform) = 1),
+mig AS (SELECT t.narrative_id, 'platform_migration' AS prediction_type, m AS matches, platform AS target_platform, n / m AS probability, round(least(0.85, n / m), 3) AS confidence
+        FROM top1 t JOIN (SELECT narrative_id, count(*) AS m FROM matches GROUP BY ALL) c ON c.narrative_id = t.narrative_id WHERE n / m >= 0.3)"""
+RISK = """
+risk AS (SELECT m.narrative_id, 'coordination_risk' AS prediction_type, count(*) AS matches,
+         round(0.6 * avg(coordinated::INT) + 0.4 * any_value(s.coordination_score), 9) AS probability, round(least(0.90, 0.3 + count(*) * 0.05), 3)::DOUBLE AS confidence
+         FROM matches m JOIN state s ON s.narrative_id = m.narrative_id GROUP BY m.narrative_id)"""
+
+
+@query("predict_peak", f"WITH {SIMILAR}, {PEAK} SELECT * FROM peak")
+def predict_peak(spark, sf_dir):
+    found = pr.predict_peak(matches(spark, sf_dir)[1])
+    return found.withColumn("predicted_timeframe_hours", F.round("predicted_timeframe_hours", 6)).withColumn("deviation_hours", F.round("deviation_hours", 6))
+
+
+@query("predict_migration", f"WITH {SIMILAR}, {MIGRATION} SELECT * FROM mig")
+def predict_migration(spark, sf_dir):
+    state, found = matches(spark, sf_dir)
+    return pr.predict_migration(found, state)
+
+
+@query("predict_coordination", f"WITH {SIMILAR}, {RISK} SELECT * FROM risk")
+def predict_coordination(spark, sf_dir):
+    state, found = matches(spark, sf_dir)
+    return pr.predict_coordination(found, state).withColumn("probability", F.round("probability", 9))
+
+
+ALL_PREDICTIONS = f"""{SIMILAR}, {PEAK}, {MIGRATION}, {RISK},
+basis AS (SELECT narrative_id, string_agg(matched_narrative_id, '|' ORDER BY rank) AS basis FROM matches WHERE rank <= 3 GROUP BY ALL),
+preds AS (SELECT narrative_id, prediction_type, confidence FROM peak UNION ALL SELECT narrative_id, prediction_type, confidence FROM mig
+          UNION ALL SELECT narrative_id, prediction_type, confidence FROM risk)"""
+
+
+@query("predictions", f"WITH {ALL_PREDICTIONS} SELECT narrative_id, prediction_type, confidence, basis FROM preds JOIN basis USING (narrative_id)")
+def predictions(spark, sf_dir):
+    state, found = matches(spark, sf_dir)
+    return pr.predictions(found, state).select("narrative_id", "prediction_type", "confidence", F.array_join("basis", "|").alias("basis"))

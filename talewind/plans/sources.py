@@ -437,10 +437,10 @@ def listed(spark, sf_dir):
     return page.select(F.col("platform_content_id").alias("content_id"), micros("created_at").alias("us"))
 
 
-@query("content_by_platform_id", f"WITH {POSTS} SELECT content_id, us FROM posts WHERE platform = 'view' AND content_id = 1234")
+@query("content_by_platform_id", f"WITH {POSTS} SELECT content_id, us FROM posts WHERE platform = 'view' AND content_id = 2")
 def by_platform_id(spark, sf_dir):
     rows = posts(spark, sf_dir).withColumnRenamed("content_id", "platform_content_id")
-    return store.content_by_platform_id(rows, "view", 1234).select(F.col("platform_content_id").alias("content_id"), micros("created_at").alias("us"))
+    return store.content_by_platform_id(rows, "view", 2).select(F.col("platform_content_id").alias("content_id"), micros("created_at").alias("us"))
 
 
 @query(
