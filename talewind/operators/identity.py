@@ -18,6 +18,7 @@ from talewind.functions.scores import (
 from talewind.functions.text import strip, words
 from talewind.functions.times import AsOf, instant
 from talewind.operators.skew import top_per_group
+from talewind.session import cut_lineage
 
 LINK_CONFIDENCE = 0.70
 HASHES_KEPT = 50
@@ -144,6 +145,8 @@ def content_fingerprints(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, actors: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """Scores of the four methods for every pair of different platforms."""
+    if hashes is not None:
+        pairs = cut_lineage(pairs)  # read twice below; finding candidates is the dear part
     needed = ["actor_id", "primary_platform", "username", "bio", "active_hours", "primary_topics"]
     a = actors.select(*[F.col(c).alias(f"a_{c}") for c in needed])
     b = actors.select(*[F.col(c).alias(f"b_{c}") for c in needed])
