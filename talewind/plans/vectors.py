@@ -187,10 +187,10 @@ def image_hash_matches(spark, sf_dir):
 
 @query(
     "image_match_members",
-    f"WITH {HASHES} SELECT o.content_id, o.platform, o.hash FROM h o JOIN h m ON m.content_id = 7 AND o.hash = m.hash AND o.platform <> m.platform",
+    f"WITH {HASHES} SELECT o.content_id, o.platform, o.hash FROM h o JOIN h m ON m.content_id = 4 AND o.hash = m.hash AND o.platform <> m.platform",
 )
 def image_match_members(spark, sf_dir):
-    return im.image_match_members(_hashes(spark, sf_dir), 7)
+    return im.image_match_members(_hashes(spark, sf_dir), 4)
 
 
 @query(

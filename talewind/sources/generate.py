@@ -12,7 +12,9 @@ from talewind.sources.record import ARRAYS, actor, engagement, typed_struct
 WORDS = ("alpha", "breeze", "cedar", "delta", "ember", "frost", "grove", "harbor", "island", "juniper", "kelp", "lumen")
 
 
-def generate_content(spark: SparkSession, n: int, seed: int = 0, as_of: AsOf = "2024-06-01") -> DataFrame:
+def generate_content(
+    spark: SparkSession, n: int, seed: int = 0, as_of: AsOf = "2024-06-01", people: int = 1000
+) -> DataFrame:
     def number(label: str, below: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(label)), F.lit(below))
 
@@ -24,7 +26,7 @@ def generate_content(spark: SparkSession, n: int, seed: int = 0, as_of: AsOf = "
         picks = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.get(all_words, F.pmod(F.xxhash64("id", F.lit(seed), F.lit(label), i), F.lit(len(WORDS)))))
         return F.slice(picks, F.lit(1), number(label, most + 1).cast("int"))
 
-    person = number("person", max(1, n // 3)).cast("string")
+    person = number("person", people).cast("string")
     score = number("score", 2001) / 1000 - 1
     values = {
         "id": F.concat_ws("-", F.lit("gen"), F.lit(seed), F.col("id")),
