@@ -39,7 +39,7 @@ def strip(c: ColumnOrName) -> Column:
 
 def words(c: ColumnOrName) -> Column:
     """White-space separated words, empty strings dropped; null text has no words."""
-    return F.filter(F.split(F.coalesce(col(c), F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col(c), F.lit("")), r"(?U)\s+"), "")
 
 
 def ngrams(word_array: Column, n: int) -> Column:

@@ -59,19 +59,22 @@ def actor_profile(actors: DataFrame, edges: DataFrame, links: DataFrame, actor_i
     ``links``: actor_a, actor_b (same person). The look-up touches one key, so every part is a pushed-down filter.
     """
     me = F.lit(actor_id)
-    degree = edges.filter((F.col("src") == me) | (F.col("dst") == me)).agg(
-        F.count(F.when(F.col("src") == me, 1)).alias("outgoing_connections"),
-        F.count(F.when(F.col("dst") == me, 1)).alias("incoming_connections"),
+    out = edges.filter(F.col("src") == me).groupBy(F.col("src").alias("actor_id")).agg(F.count("*").alias("_out"))
+    into = edges.filter(F.col("dst") == me).groupBy(F.col("dst").alias("actor_id")).agg(F.count("*").alias("_in"))
+    there = links.filter(F.col("actor_a") == me).select(F.col("actor_a").alias("actor_id"), F.col("actor_b").alias("_other"))
+    back = links.filter(F.col("actor_b") == me).select(F.col("actor_b").alias("actor_id"), F.col("actor_a").alias("_other"))
+    named = actors.select(F.col("actor_id").alias("_other"), "username", "primary_platform")
+    other = there.unionByName(back).distinct().join(named, "_other")
+    linked = other.groupBy("actor_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_other").alias("actor_id"), "username", "primary_platform"))).alias("_linked")
     )
-    mine = links.filter((F.col("actor_a") == me) | (F.col("actor_b") == me))
-    other = mine.select(F.when(F.col("actor_a") == me, F.col("actor_b")).otherwise(F.col("actor_a")).alias("actor_id"))
-    named = other.distinct().join(actors.select("actor_id", "username", "primary_platform"), "actor_id")
-    linked = named.agg(
-        F.array_sort(F.collect_list(F.struct("actor_id", "username", "primary_platform"))).alias("linked_accounts")
+    profile = actors.filter(F.col("actor_id") == me)
+    joined = profile.join(out, "actor_id", "left").join(into, "actor_id", "left").join(linked, "actor_id", "left")
+    nobody = F.expr("filter(array(named_struct('actor_id', '', 'username', '', 'primary_platform', '')), x -> false)")
+    return joined.select(
+        *actors.columns, F.coalesce("_out", F.lit(0)).alias("outgoing_connections"),
+        F.coalesce("_in", F.lit(0)).alias("incoming_connections"), F.coalesce("_linked", nobody).alias("linked_accounts"),
     )
-    profile = actors.filter(F.col("actor_id") == me).withColumn("_one", F.lit(1))
-    joined = profile.join(degree.withColumn("_one", F.lit(1)), "_one").join(linked.withColumn("_one", F.lit(1)), "_one")
-    return joined.drop("_one")
 
 
 def actor_history(posts: DataFrame, actor_id: object, per_platform: int = HISTORY_PER_PLATFORM, limit: int = HISTORY_SHOWN) -> DataFrame:

@@ -11,6 +11,7 @@ from talewind.functions.ids import row_key
 from talewind.functions.text import ngrams, words
 from talewind.functions.times import AsOf, instant, since
 from talewind.operators.skew import top_per_group
+from talewind.session import spread_small
 
 DRIFT_MEDIUM, DRIFT_HIGH = 0.15, 0.25
 MIN_TEXTS = 50
@@ -18,7 +19,7 @@ NEW_NGRAMS_SHOWN = 20
 
 
 def _lowered_words(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, words(F.lower(text)).alias("_words"))
+    return spread_small(df.select(*keep, text)).select(*keep, words(F.lower(text)).alias("_words"))
 
 
 def top_ngrams(df: DataFrame, group: Sequence[str], text: str = "text", n: int = 2, k: int = 100) -> DataFrame:

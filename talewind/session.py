@@ -50,3 +50,11 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def fits_one_task(df: DataFrame) -> bool:
     return estimated_bytes(df) <= ONE_TASK_BYTES
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread an input that may be a single file split over all cores before heavy work per row. Larger inputs have
+    splits enough and are left as they are, without a shuffle."""
+    if df.isStreaming or not fits_one_task(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
