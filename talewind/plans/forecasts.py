@@ -69,7 +69,9 @@ res AS (
   SELECT narrative_id, i, velocity_curve[lo + 1] * (1 - (pos - lo)) + velocity_curve[least(lo + 2, m + 1)] * (pos - lo) AS v
   FROM (SELECT narrative_id, i, velocity_curve, len(velocity_curve) - 1 AS m, i * (len(velocity_curve) - 1) / 47 AS pos,
                CAST(floor(i * (len(velocity_curve) - 1) / 47) AS BIGINT) AS lo FROM state CROSS JOIN idx)),
-vel AS (SELECT a.narrative_id AS c, b.narrative_id AS h, greatest(0.0, (corr(a.v, b.v) + 1) / 2) AS velocity FROM res a JOIN res b ON a.i = b.i AND a.narrative_id <> b.narrative_id GROUP BY ALL),
+vel AS (SELECT a.narrative_id AS c, b.narrative_id AS h, 
+        -- a flat curve has no correlation and counts as 0
+        CASE WHEN var_pop(a.v) > 1e-15 AND var_pop(b.v) > 1e-15 THEN greatest(0.0, (corr(a.v, b.v) + 1) / 2) ELSE 0.0 END::DOUBLE AS velocity FROM res a JOIN res b ON a.i = b.i AND a.narrative_id <> b.narrative_id GROUP BY ALL),
 dims AS (
   SELECT c.narrative_id, h.narrative_id AS matched_narrative_id,
     CASE WHEN len(c.keywords) > 0 AND len(h.keywords) > 0 THEN len(list_intersect(c.keywords, h.keywords)) / len(list_distinct(list_concat(c.keywords, h.keywords)))
