@@ -257,7 +257,8 @@ def components(spark, sf_dir):
 
 @query("betweenness")
 def betweenness_query(spark, sf_dir):
-    found = betweenness(gb.merge_edges(interactions(spark, sf_dir)), sample=20, directed=False)
+    # The default sample is larger than the sample graph, so every user is a source.
+    found = betweenness(pair_weights(spark, sf_dir))
     return found.withColumn("betweenness", F.round("betweenness", 6))
 
 
