@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talewind.llm.common import read_documents
 from talewind.llm.packing import packed_matrix, packed_pieces
+from talewind.llm.quality import COUNTS, judged
 from talewind.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,12 @@ def op1_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_matrix(read_documents(spark, sf_dir, "doc_id", "text"), public_path("byte_bpe_50k.tiktoken"), end_id=50256, pad_id=50256)
 
 
+@query("op2_risk_controlled_rules")
+def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = judged(read_documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return verdicts.select("doc_id", *COUNTS, "base_failed", "kept", "stratum")
+
+
 @query("op6_first_fit_packing")
 def op6_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed_pieces(read_documents(spark, sf_dir, "doc_id", "text"), public_path("word_bpe_49k.json"), end_id=2)
