@@ -154,3 +154,27 @@ def repeated_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select(*columns) if columns else docs
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+    """node -> component (its smallest node) for every node of ``links``.
+
+    Each round hooks a group to the neighbour of least hash and contracts the links, so their number falls by a random
+    factor; a chain takes rounds as the logarithm of its length. Hubs are met in joins that Spark can split.
+    """
+    nodes = links.select(F.col(a).alias("node")).union(links.select(F.col(b))).distinct()
+    labels = cut_lineage(nodes.withColumn("root", F.col("node")))
+    edges = cut_lineage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct())
+    for _ in range(most_rounds):
+        if edges.isEmpty():
+            return labels.join(labels.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+        both = edges.union(edges.select("v", "u"))
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        hooked = both.groupBy("u").agg(F.min(rank("v")).alias("m")).select("u", F.least("m", rank("u"))["id"].alias("to"))
+        hooked = cut_lineage(hooked)
+        of_v = hooked.select(F.col("u").alias("v"), F.col("to").alias("to_v"))
+        moved = edges.join(hooked, "u").join(of_v, "v").select(F.least("to", "to_v").alias("u"), F.greatest("to", "to_v").alias("v"))
+        edges = cut_lineage(moved.filter("u <> v").distinct())
+        to = hooked.select(F.col("u").alias("root"), "to")
+        labels = cut_lineage(labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

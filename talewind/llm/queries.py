@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talewind.llm.common import read_documents
+from talewind.llm.jaccard import near_duplicates
 from talewind.llm.packing import packed_matrix, packed_pieces
 from talewind.llm.quality import COUNTS, judged
 from talewind.llm.tokens import public_path
@@ -41,3 +42,8 @@ def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packed_pieces(read_documents(spark, sf_dir, "doc_id", "text"), public_path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_multiple_order_join")
+def op8_multiple_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_documents(spark, sf_dir, "doc_id", "text"))
