@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talewind.llm.common import read_documents
 from talewind.llm.jaccard import near_duplicates
+from talewind.llm.langid import predicted
 from talewind.llm.packing import packed_matrix, packed_pieces
 from talewind.llm.quality import COUNTS, judged
 from talewind.llm.tokens import public_path
@@ -47,3 +48,8 @@ def op6_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_multiple_order_join")
 def op8_multiple_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op10_language_hierarchy")
+def op10_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(read_documents(spark, sf_dir, "doc_id", "text", "lang"))
