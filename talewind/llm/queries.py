@@ -11,6 +11,7 @@ from talewind.llm.common import read_documents
 from talewind.llm.jaccard import near_duplicates
 from talewind.llm.langid import predicted
 from talewind.llm.packing import packed_matrix, packed_pieces
+from talewind.llm.pii import digest, found_spans
 from talewind.llm.quality import COUNTS, judged
 from talewind.llm.tokens import public_path
 
@@ -53,3 +54,8 @@ def op8_multiple_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_hierarchy")
 def op10_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(read_documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+@query("op9_bootstrapped_pii")
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(found_spans(read_documents(spark, sf_dir, "doc_id", "text")))
