@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talewind.llm.common import read_documents
+from talewind.llm import chat
+from talewind.llm.common import prepare, read_documents
 from talewind.llm.jaccard import near_duplicates
 from talewind.llm.langid import predicted
 from talewind.llm.packing import packed_matrix, packed_pieces
@@ -59,3 +61,32 @@ def op10_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bootstrapped_pii")
 def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(found_spans(read_documents(spark, sf_dir, "doc_id", "text")))
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op7_schema_fingerprints",
+    """
+    WITH given AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ), loss AS (
+        SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS t FROM given GROUP BY conv_id
+    ), turns AS (
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            sum(24 + length(role) + 4 * len(regexp_extract_all(role, '[&[\n]')) + 3 * len(regexp_extract_all(role, '<'))
+                + length(text) + 4 * len(regexp_extract_all(text, '[&[]')) + 3 * len(regexp_extract_all(text, '<'))) AS formatted_chars
+        FROM given GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, turns_sha256, CAST(length(t) AS BIGINT) AS loss_chars, sha256(t) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+    FROM turns JOIN loss USING (conv_id)
+    """,
+)
+def op7_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.turns_of_table(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+    said = [{"role": role, "content": CONTROL} for role in ("user", "assistant")]
+    record = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(json.dumps({"messages": said})).alias("record"))
+    return chat.digest(chat.formatted(rows.unionByName(chat.turns_of_json(record).select("conv_id", "turns"))))
