@@ -12,6 +12,7 @@ from talewind.llm import chat
 from talewind.llm.common import prepare, read_documents
 from talewind.llm.jaccard import near_duplicates
 from talewind.llm.langid import predicted
+from talewind.llm.latent import leaks
 from talewind.llm.packing import packed_matrix, packed_pieces
 from talewind.llm.pii import digest, found_spans
 from talewind.llm.quality import COUNTS, judged
@@ -90,3 +91,9 @@ def op7_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [{"role": role, "content": CONTROL} for role in ("user", "assistant")]
     record = spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(json.dumps({"messages": said})).alias("record"))
     return chat.digest(chat.formatted(rows.unionByName(chat.turns_of_json(record).select("conv_id", "turns"))))
+
+
+@query("op3_latent_retrieval")
+def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(read_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("text_key")
