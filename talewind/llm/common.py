@@ -85,22 +85,27 @@ def _inverse(a: int) -> int:
     return pow(a, -1, 1 << 64)
 
 
+class RangeHashes:
+    """Hashes of ranges of a sequence of 64-bit numbers: differences of prefix sums of a polynomial."""
+
+    def __init__(self, values: np.ndarray, odd: np.uint64 = _ODD):
+        n = len(values)
+        powers, self.back = np.full(n + 1, odd), np.full(n + 1, np.uint64(_inverse(int(odd))))
+        powers[0] = self.back[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        np.multiply.accumulate(self.back, out=self.back)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers[:n], out=self.sums[1:])
+
+    def __call__(self, begin, end) -> np.ndarray:
+        """begin, end: arrays of places, or slices of all places."""
+        return mixed((self.sums[end] - self.sums[begin]) * self.back[begin] + _ODD)
+
+
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
-    """For each i, a hash of values[i : i + k] (64-bit numbers): the difference of two prefix sums of a polynomial."""
+    """For each i, a hash of values[i : i + k] (64-bit numbers)."""
     n = len(values)
-    if n < k:
-        return np.zeros(0, np.uint64)
-    powers = np.empty(n, np.uint64)
-    powers[0] = 1
-    powers[1:] = _ODD
-    np.multiply.accumulate(powers, out=powers)
-    back = np.empty(n - k + 1, np.uint64)
-    back[0] = 1
-    back[1:] = np.uint64(_inverse(int(_ODD)))
-    np.multiply.accumulate(back, out=back)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers, out=sums[1:])
-    return mixed((sums[k:] - sums[: n - k + 1]) * back)
+    return RangeHashes(values)(slice(0, n - k + 1), slice(k, n + 1)) if n >= k else np.zeros(0, np.uint64)
 
 
 def sliding(values: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
@@ -115,11 +120,12 @@ def sliding(values: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
 
 
 def anchors(values: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Content-chosen positions of a sequence that consists of texts, such that equal windows have equal ones.
+    """Content-chosen positions of a sequence that consists of texts, such that each window has one and equal windows have it at
+    the same place.
 
-    In each window of ``window`` values within one text, every gram of ``gram`` values with the least hash is an anchor.
-    Returns positions, hashes, and the least and greatest distance from a window's start to the anchor over the windows that
-    chose it (these distances are contiguous). Runs of one value have many anchors, never too few.
+    A window of ``window`` values within one text is owned by the first of its grams of ``gram`` values with the least hash.
+    Returns positions of such grams, their hashes, and the least and greatest distance from an owned window's start (these
+    distances are contiguous).
     """
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     span = window - gram + 1
@@ -128,9 +134,11 @@ def anchors(values: np.ndarray, starts: np.ndarray, window: int, gram: int) -> t
     hashes = rolling(values, gram)
     least = sliding(hashes, span, np.minimum)
     lengths = np.diff(starts)
-    good = np.zeros(len(least), bool)
-    for a, n in zip(starts[:-1][lengths >= window], lengths[lengths >= window], strict=True):
-        good[a : a + n - window + 1] = True
+    change = np.zeros(len(least) + 1, np.int32)
+    long = lengths >= window
+    np.add.at(change, starts[:-1][long], 1)
+    np.add.at(change, starts[1:][long] - window + 1, -1)
+    good = np.cumsum(change[:-1]) > 0
     edge = np.zeros(span - 1, np.uint64)
     # The greatest of the minima of the good windows that hold a gram equals its hash if some window chose it.
     best = sliding(np.concatenate([edge, np.where(good, least, np.uint64(0)), edge]), span, np.maximum)
@@ -140,15 +148,21 @@ def anchors(values: np.ndarray, starts: np.ndarray, window: int, gram: int) -> t
     back = at[:, None] - np.arange(span)[None, :]
     inside = (back >= 0) & (back < len(least))
     back = np.clip(back, 0, len(least) - 1)
-    chose = inside & good[back] & (least[back] == hashes[at][:, None])
+    own = hashes[at][:, None]
+    chose = inside & good[back] & (least[back] == own)
+    # No equal gram before it in the window.
+    before = (hashes[np.maximum(at[:, None] - np.arange(1, span)[None, :], 0)] == own) & (np.arange(1, span)[None, :] <= at[:, None])
+    chose[:, 1:] &= np.cumsum(before, axis=1) == 0
+    owner = chose.any(axis=1)
+    at, chose = at[owner], chose[owner]
     return at, hashes[at], chose.argmax(1), span - 1 - chose[:, ::-1].argmax(1)
 
 
 def repeated_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:
-    """The keys that occur twice or more, as a written table (rows are combined before the shuffle; joins to the table can be
+    """The keys that occur twice or more, and how often (_n), as a written table (rows are combined before the shuffle; joins to the table can be
     split by Spark where a key is hot). n: a column of weights, 1 if not given."""
     count = F.count("*") if n is None else F.sum(n)
-    return cut_lineage(rows.groupBy(key).agg(count.alias("_n")).filter("_n > 1").select(key))
+    return cut_lineage(rows.groupBy(key).agg(count.alias("_n")).filter("_n > 1"))
 
 
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -178,3 +192,38 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         to = hooked.select(F.col("u").alias("root"), "to")
         labels = cut_lineage(labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of (doc_id, text) under unique ids in the order of doc_id, and what the ids stand for.
+
+    Where doc_ids are unique and not null they serve as they are (None). Else rows of one id and text are one document, whose number
+    comes from a sort by id (null first) and text; the second frame has doc_id, text_key, number and how often the rows come.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if ids.isEmpty():
+        return docs, None
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    every = keyed.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    # Sorted parts are numbered one after the other; written, so that the numbers stay.
+    named = cut_lineage(every.orderBy("doc_id", "text_key").withColumn("number", F.monotonically_increasing_id()))
+    to = named.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "number")
+    met = keyed.join(to, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (keyed["text_key"] == F.col("_key")))
+    return cut_lineage(met.select(F.col("number").alias("doc_id"), "text").dropDuplicates(["doc_id"])), named
+
+
+def back_to_rows(made: DataFrame, named: DataFrame | None) -> DataFrame:
+    """One row for each row given to in_order(), under its doc_id."""
+    if named is None:
+        return made
+    rows = named.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return made.withColumnRenamed("doc_id", "number").join(rows.select("number", "doc_id"), "number").drop("number")
+
+
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs that ranges cover; touching ones are one."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1]])[: len(begin)])
+    return begin[first], end[np.append(first[1:], len(begin)) - 1] if len(begin) else end

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talewind.llm import chat
+from talewind.llm import automata, chat
 from talewind.llm.common import prepare, read_documents
 from talewind.llm.jaccard import near_duplicates
 from talewind.llm.langid import predicted
@@ -97,3 +97,9 @@ def op7_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(read_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("text_key")
+
+
+@query("op5_suffix_automata")
+def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = automata.without_repeats(read_documents(spark, sf_dir, "doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
