@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talewind.llm import automata, chat
+from talewind.llm import automata, chat, radix
 from talewind.llm.common import prepare, read_documents
 from talewind.llm.jaccard import near_duplicates
 from talewind.llm.langid import predicted
@@ -103,3 +103,9 @@ def op3_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = automata.without_repeats(read_documents(spark, sf_dir, "doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_depth_limited_radix")
+def op4_depth_limited_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = radix.without_repeats(read_documents(spark, sf_dir, "doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
