@@ -24,8 +24,11 @@ from talewind.llm.common import components, filled, mixed, prepare, repeated_key
 from talewind.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 75
-#: Counters of the rarity sketch, in blocks; 2 MB whatever the input.
-COUNTERS, BLOCK = 1 << 18, 1 << 9
+#: The rarity sketch has some PER_DOC counters for each document, but not more than MOST (a byte each for the tasks). Its size
+#: decides how well frequent shingles are told from rare ones, never which links are found.
+PER_DOC, MOST, BLOCK = 16, 1 << 24, 1 << 12
+#: Shingles of so many nodes are frequent; their groups have so many pivots.
+FREQUENT, PIVOTS = 4, 24
 _SECOND, _THIRD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -52,14 +55,16 @@ def _key(own: np.ndarray) -> bytes:
 
 
 def _heads(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, set_key for each row, and the counters of shingles over all rows."""
+    """doc_id, n, set_key for each row, and how frequent shingles are over all rows: grades (twice the logarithm of a counter)."""
+
+    size_of_sketch = min(MOST, 1 << max(12, (PER_DOC * docs.count() - 1).bit_length()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint32)
+        counters = np.zeros(size_of_sketch, np.uint32)
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), size)
-            for own in sets:
-                np.add.at(counters, own & np.uint64(COUNTERS - 1), 1)
+            if sets:
+                np.add.at(counters, np.concatenate(sets) & np.uint64(size_of_sketch - 1), 1)
             n = pa.array([len(x) for x in sets], pa.int64())
             none = pa.nulls(len(sets), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -75,14 +80,15 @@ def _heads(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(BLOCK, np.uint64)
         for x in table.column("key"):
             total += np.frombuffer(x.as_py(), np.uint32)
-        return pa.table({"block": table.column("block").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+        grade = np.minimum(63, np.log2(total.astype(np.float64) + 1) * 2).astype(np.uint8)
+        return pa.table({"block": table.column("block").slice(0, 1), "total": pa.array([grade.tobytes()], pa.binary())})
 
     rows = cut_lineage(docs.select("doc_id", "text").mapInArrow(read, "doc_id long, n long, key binary, block int"))
-    # One row a block: COUNTERS * 8 bytes in all come to the driver and go to the tasks.
+    # A byte for each counter comes to the driver and goes to the tasks.
     blocks = rows.filter("block is not null").groupBy("block").applyInArrow(lambda table: summed(table), "block int, total binary").collect()
-    counters = np.zeros(COUNTERS, np.uint64)
+    counters = np.zeros(size_of_sketch, np.uint8)
     for block, total in blocks:
-        counters[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(total, np.uint64)
+        counters[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(total, np.uint8)
     return rows.filter("block is null").select("doc_id", "n", F.col("key").alias("set_key")), counters
 
 
@@ -94,8 +100,7 @@ def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _signatures(texts: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
     """node, n, first (the prefix under the first order), second and third (order values of those prefixes, 32 bits, sorted)."""
-    rarity = (np.log2(counters.astype(np.float64) + 1) * 1.9).astype(np.uint64).clip(0, 63)
-    shared = texts.sparkSession.sparkContext.broadcast(rarity)
+    shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
@@ -104,8 +109,8 @@ def _signatures(texts: DataFrame, counters: np.ndarray, size: int, percent: int)
             for doc, key, own in zip(batch.column("doc_id").to_pylist(), batch.column("set_key").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
                 if not len(own) or _key(own) != key:
                     continue
-                k, low = prefix_size(len(own), percent), rare[own & np.uint64(COUNTERS - 1)] << np.uint64(58)
-                first = own[np.argpartition(low | (own >> np.uint64(6)), k - 1)[:k]] if k < len(own) else own
+                k, low = prefix_size(len(own), percent), rare[own & np.uint64(len(rare) - 1)].astype(np.uint64) << np.uint64(58)
+                first = own[np.argsort(low | (own >> np.uint64(6)), kind="stable")[:k]]
                 second = np.sort(low | (mixed(own * _SECOND) >> np.uint64(6)))[:k]
                 third = np.sort(mixed(own * _THIRD))[:k]
                 made = (doc, len(own), first.view(np.int64), *((x >> np.uint64(32)).astype("<u4").tobytes() for x in (second, third)))
@@ -131,6 +136,13 @@ def similar_size(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
+def _may_link(n: str, i: str, m: str, j: str, percent: int):
+    """Whether sets of n and m shingles that meet at places i and j (from 0) of their orders can still be similar enough, if none
+    of the shingles before is common: at most the rest of the smaller one is."""
+    rest = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return similar_size(n, m, percent) & (rest * (100 + percent) >= (F.col(n) + F.col(m)) * percent)
+
+
 def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose sets are similar enough: a, b."""
     side = lambda c: signatures.select(*(F.col(x).alias(f"{c}_{x}") for x in ("n", "second", "third")), F.col("node").alias(c))
@@ -186,23 +198,34 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     alike = heads.filter("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     nodes = cut_lineage(alike.select("doc_id", "set_key"))
     signatures = _signatures(_of_nodes(docs, nodes), counters, size, percent)
-    every = signatures.select(F.explode("first").alias("token"), "node", "n")
-    postings = cut_lineage(every.join(repeated_keys(every, "token"), "token", "left_semi"))
-
-    # First each member of a shingle's group against the group's pivot.
-    pivots = cut_lineage(postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"))).alias("p")).select("token", "p.pivot", "p.m"))
-    star = postings.join(pivots, "token").filter((F.col("node") != F.col("pivot")) & similar_size("n", "m", percent)).select(*_pair("node", "pivot")).distinct()
-    links = _verified(cut_lineage(star), signatures, docs, nodes, size, percent)
+    every = signatures.select(F.posexplode("first").alias("i", "token"), "node", "n")
+    postings = cut_lineage(every.join(repeated_keys(every, "token"), "token"))
+
+    # First each member of a shingle's group against the group's pivot, and against PIVOTS others of a frequent shingle's.
+    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("p")
+    pivots = cut_lineage(postings.groupBy("token").agg(lead).select("token", "p.pivot", "p.m", "p.j"))
+    tried = postings.join(pivots, "token").filter((F.col("node") != F.col("pivot")) & _may_link("n", "i", "m", "j", percent)).select(*_pair("node", "pivot"))
+    for seed in range(2):
+        # Each node goes to the group of one of its frequent shingles.
+        least = postings.filter(F.col("_n") >= FREQUENT).groupBy("node", "n").agg(F.min(F.struct(F.xxhash64("token", F.lit(seed)).alias("h"), "token")).alias("t"))
+        dealt = cut_lineage(least.select("node", "n", "t.token", F.xxhash64("node", F.lit(seed)).alias("h")))
+        some = dealt.groupBy("token", F.pmod("h", F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct("h", F.col("node").alias("pivot"), F.col("n").alias("m"))).alias("p"))
+        some = cut_lineage(some.select("token", "p.pivot", "p.m"))
+        tried = tried.union(dealt.join(some, "token").filter((F.col("node") != F.col("pivot")) & similar_size("n", "m", percent)).select(*_pair("node", "pivot")))
+    star = cut_lineage(tried.distinct())
+    links = _verified(star, signatures, docs, nodes, size, percent)
 
     # Then all pairs that the components so far leave open.
     found = components(links).withColumnRenamed("component", "group")
-    grouped = cut_lineage(postings.join(found, "node", "left").withColumn("group", F.coalesce("group", "node")))
+    grouped = cut_lineage(postings.drop("_n").join(found, "node", "left").withColumn("group", F.coalesce("group", "node")))
     per = cut_lineage(grouped.groupBy("token", "group").agg(F.count("*").alias("k")))
     most = per.groupBy("token").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = cut_lineage(most.select("token", F.col("top.group").alias("main")))
     rest = cut_lineage(grouped.join(open_, "token"))
-    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("group").alias("g"))
-    crossed = few.join(rest.select("token", "node", "n", "group"), "token").filter((F.col("g") != F.col("group")) & similar_size("n", "m", percent))
+    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("group").alias("g"))
+    # Both orders of a pair meet where neither is of the main group; one is enough.
+    once = (F.col("group") == F.col("main")) | (F.col("x") < F.col("node"))
+    crossed = few.join(rest, "token").filter((F.col("g") != F.col("group")) & once & _may_link("n", "i", "m", "j", percent))
     pairs = cut_lineage(crossed.select(*_pair("x", "node")).distinct().join(star, ["a", "b"], "left_anti"))
     links = links.union(_verified(pairs, signatures, docs, nodes, size, percent))
 
@@ -217,3 +240,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         named = cut_lineage(named.join(more, "least", "left").select("set_key", F.coalesce("component", "least").alias("least")))
     rows = heads.join(named, "set_key", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns as they were, without those that are linked to a smaller id; of rows with one id, one. Rows
+    with a null id stay."""
+    found = cut_lineage(found)
+    gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_doc")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_doc"), "left_anti")
+    if found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    empty = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.filter(~empty).dropDuplicates(["doc_id"]).unionByName(left.filter(empty))
