@@ -99,9 +99,10 @@ def diff_size(new_length: ColumnOrName, old_length: ColumnOrName) -> Column:
     return F.coalesce(col(new_length), F.lit(0)) - F.coalesce(col(old_length), F.lit(0))
 
 
-def embedding_text(title: ColumnOrName, text: ColumnOrName, max_words: int = 400) -> Column:
-    """Title and body, first ``max_words`` words, single blanks between them (the encoder's input window)."""
-    return F.array_join(F.slice(words(F.concat_ws(" ", col(title), col(text))), 1, max_words), " ")
+def embedding_text(title: ColumnOrName, text: ColumnOrName, max_words: int | None = None) -> Column:
+    """Title and body, single blanks between the words. ``max_words``: the input window of an encoder that has one."""
+    every = words(F.concat_ws(" ", col(title), col(text)))
+    return F.array_join(every if max_words is None else F.slice(every, 1, max_words), " ")
 
 
 def preview(c: ColumnOrName, length: int = 200) -> Column:

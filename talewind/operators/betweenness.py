@@ -1,4 +1,4 @@
-"""Sampled betweenness centrality."""
+"""Betweenness centrality, exact or from sampled sources."""
 
 from __future__ import annotations
 
@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from talewind.operators.skew import split_hot
 from talewind.session import cut_lineage
 
-SAMPLE, BATCHES_OF = 5000, 500
+BATCHES_OF = 500
 
 
-def sampled_sources(nodes: DataFrame, sample: int, seed: int = 0) -> DataFrame:
-    """``sample`` nodes by seeded hash, numbered; all of them where there are fewer."""
+def sampled_sources(nodes: DataFrame, sample: int | None, seed: int = 0) -> DataFrame:
+    """``sample`` nodes by seeded hash; all of them where there are fewer, or without a sample."""
+    if sample is None:
+        return nodes
     return nodes.orderBy(F.xxhash64("actor_id", F.lit(seed)), "actor_id").limit(sample)
 
 
 def betweenness(
-    edges: DataFrame, sample: int = SAMPLE, seed: int = 0, directed: bool = True, sources_per_batch: int = BATCHES_OF,
+    edges: DataFrame, sample: int | None = None, seed: int = 0, directed: bool = True, sources_per_batch: int = BATCHES_OF,
     rows_per_piece: int | None = None,
 ) -> DataFrame:
-    """actor_id, betweenness: shortest paths from the sampled sources that lead through the actor (raw sums).
+    """actor_id, betweenness: shortest paths that lead through the actor (raw sums), from all
+    sources or from ``sample`` of them, then scaled by nodes / sample to mean the same.
 
     Level-synchronous Brandes. The state is a table (source, node, depth, paths); a level forward is one join and one
     sum, a level backward the same. Sources are handled in batches, which bounds the state to batch size x nodes.
@@ -36,7 +39,8 @@ def betweenness(
         links.select(F.col("src").alias("actor_id")).unionByName(links.select(F.col("dst").alias("actor_id"))).distinct()
     )
     total = nodes.count()
-    batches = max(1, -(-min(sample, total) // sources_per_batch))
+    used = total if sample is None else min(sample, total)
+    batches = max(1, -(-used // sources_per_batch))
     chosen = cut_lineage(
         sampled_sources(nodes, sample, seed).withColumn("batch", F.pmod(F.xxhash64("actor_id", F.lit(seed + 1)), F.lit(batches)))
     )
@@ -50,7 +54,7 @@ def betweenness(
             sums.unionByName(part).groupBy("actor_id").agg(F.sum("betweenness").alias("betweenness"))
         )
     scored = nodes.join(sums, "actor_id", "left")
-    return scored.select("actor_id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+    return scored.select("actor_id", (F.coalesce("betweenness", F.lit(0.0)) * (total / max(1, used))).alias("betweenness"))
 
 
 def _dependencies(starts: DataFrame, forward: DataFrame, to_forward, backward: DataFrame, to_backward) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from talewind.functions.ids import row_key
 from talewind.functions.times import AsOf, instant, micros, since
-from talewind.operators.skew import running_sum, top_per_group, with_previous
+from talewind.operators.skew import SLICE, running_sum, top_per_group, with_previous
+from talewind.session import cut_lineage
 
 BURST_SECONDS, BURST_AUTHORS, BURST_DENSITY = 120, 10, 0.1
 HISTORY, HISTORY_MIN, TIMES_MIN, GAPS_MIN = 100, 20, 10, 5
@@ -42,6 +43,23 @@ def active_spells(posts: DataFrame, window_seconds: int = BURST_SECONDS) -> Data
     ).drop("_spell")
 
 
+def _swept(posts: DataFrame, spells: DataFrame, marks: dict[str, DataFrame]) -> DataFrame:
+    """Running counts at every post time: ``marks`` maps a name to spells (narrative_id, start, end) that count from start to end."""
+    names = list(marks)
+    none = {name: F.lit(0) for name in names}
+    parts = [posts.select("narrative_id", micros("created_at").alias("window_end"), *[c.alias(n) for n, c in none.items()], F.lit(1).alias("posted"))]
+    for name, of in marks.items():
+        for at, step in ((F.col("start"), 1), (F.col("end") + 1, -1)):
+            own = {**none, name: F.lit(step)}
+            parts.append(of.select("narrative_id", at.alias("window_end"), *[c.alias(n) for n, c in own.items()], F.lit(0).alias("posted")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    steps = every.groupBy("narrative_id", "window_end").agg(*[F.sum(n).alias(f"_{n}") for n in names], F.max("posted").alias("posted"))
+    swept = running_sum(steps, ["narrative_id"], "window_end", ["window_end"], {n: f"_{n}" for n in names})
+    return swept.filter(F.col("posted") == 1).select("narrative_id", "window_end", *names)
+
+
 def burst_windows(posts: DataFrame, window_seconds: int = BURST_SECONDS, min_authors: int = BURST_AUTHORS) -> DataFrame:
     """Every post time at which the trailing window holds at least ``min_authors`` distinct authors:
     narrative_id, window_end (epoch microseconds), authors.
@@ -50,14 +68,20 @@ def burst_windows(posts: DataFrame, window_seconds: int = BURST_SECONDS, min_aut
     set is ever collected, and a narrative of any size is cut into time slices.
     """
     spells = active_spells(posts, window_seconds)
-    starts = spells.select("narrative_id", F.col("start").alias("window_end"), F.lit(1).alias("change"), F.lit(0).alias("posted"))
-    ends = spells.select("narrative_id", (F.col("end") + 1).alias("window_end"), F.lit(-1).alias("change"), F.lit(0).alias("posted"))
-    marks = posts.select("narrative_id", micros("created_at").alias("window_end"), F.lit(0).alias("change"), F.lit(1).alias("posted"))
-    steps = starts.unionByName(ends).unionByName(marks).groupBy("narrative_id", "window_end").agg(
-        F.sum("change").alias("change"), F.max("posted").alias("posted")
-    )
-    swept = running_sum(steps, ["narrative_id"], "window_end", ["window_end"], {"authors": "change"})
-    return swept.filter((F.col("posted") == 1) & (F.col("authors") >= min_authors)).select("narrative_id", "window_end", "authors")
+    return _swept(posts, spells, {"authors": spells}).filter(F.col("authors") >= min_authors)
+
+
+def linked_spells(spells: DataFrame, edges: DataFrame) -> DataFrame:
+    """When both accounts of an edge are in a spell of one narrative: narrative_id, start, end. Spells meet by day, so that an
+    account's spells are not all held against another's."""
+    pairs = edges.filter(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    day = lambda c: F.floor(F.col(c) / SLICE)
+    daily = spells.withColumn("_day", F.explode(F.sequence(day("start"), day("end"))))
+    one = daily.select("narrative_id", "_day", F.col("actor_id").alias("a"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    other = daily.select("narrative_id", "_day", F.col("actor_id").alias("b"), "start", "end")
+    met = one.join(pairs, "a").join(other, ["narrative_id", "_day", "b"])
+    both = met.select("narrative_id", "_day", F.greatest("_s", "start").alias("start"), F.least("_e", "end").alias("end"))
+    return both.filter((F.col("start") <= F.col("end")) & (day("start") == F.col("_day"))).drop("_day")
 
 
 def burst_peaks(windows: DataFrame) -> DataFrame:
@@ -103,13 +127,18 @@ def temporal_burst(
     posts: DataFrame, edges: DataFrame, window_seconds: int = BURST_SECONDS, min_authors: int = BURST_AUTHORS,
     max_density: float = BURST_DENSITY,
 ) -> DataFrame:
-    """Strongest burst per narrative by authors that are hardly connected."""
-    peaks = burst_peaks(burst_windows(posts, window_seconds, min_authors))
-    members = burst_members(posts, peaks, window_seconds)
-    scored = connection_density(members, edges, ["narrative_id", "window_end"]).filter(F.col("density") < max_density)
-    return scored.select(
-        "narrative_id", "window_end", F.col("accounts").alias("authors"), "density",
-        F.least(F.lit(0.95), 0.5 + (F.col("accounts") - BURST_AUTHORS) * 0.05).alias("confidence"),
+    """Strongest burst per narrative by authors that are hardly connected. Density is judged at every window, so a burst of
+    connected authors hides no other; linked pairs are counted by the same sweep as authors."""
+    spells = cut_lineage(active_spells(posts, window_seconds))
+    swept = _swept(posts, spells, {"authors": spells, "linked": linked_spells(spells, edges)})
+    density = F.col("linked") / (F.col("authors") * (F.col("authors") - 1) / 2)
+    scored = swept.filter(F.col("authors") >= min_authors).withColumn("density", F.coalesce(F.when(F.col("authors") > 1, density), F.lit(0.0)))
+    rest = F.struct("window_end", "authors", "density")
+    best = scored.filter(F.col("density") < max_density).groupBy("narrative_id").agg(
+        F.min_by(rest, F.struct(-F.col("authors"), "window_end")).alias("_b")
+    )
+    return best.select(
+        "narrative_id", "_b.*", F.least(F.lit(0.95), 0.5 + (F.col("_b.authors") - min_authors) * 0.05).alias("confidence")
     )
 
 
@@ -153,7 +182,8 @@ def posting_regularity(posts: DataFrame, max_cv: float = REGULAR_CV, max_mean: f
 
 
 def narrative_entropy(posts: DataFrame) -> DataFrame:
-    """Per author with a long enough history: classes, posts and normalised entropy of its narratives."""
+    """Per author with a long enough history, with enough positive gaps in it: classes, posts and normalised entropy of its
+    narratives."""
     history = recent_history(posts)
     sizes = history.groupBy("actor_id").agg(F.count("*").alias("history"))
     counts = history.filter(F.col("narrative_id").isNotNull()).groupBy("actor_id", "narrative_id").agg(F.count("*").alias("n"))
@@ -162,7 +192,9 @@ def narrative_entropy(posts: DataFrame) -> DataFrame:
         F.count("*").alias("narratives"), F.sum("n").alias("posts"), F.sum(F.col("n") * F.log2("n")).alias("_nlogn")
     )
     entropy = (F.log2("posts") - F.col("_nlogn") / F.col("posts")) / F.log2("narratives")
-    rich = sums.join(sizes, "actor_id").filter((F.col("history") >= HISTORY_MIN) & (F.col("narratives") >= DIVERSITY_CLASSES))
+    steady = posting_intervals(history).filter((F.col("posts") >= TIMES_MIN) & (F.col("gaps") >= GAPS_MIN)).select("actor_id")
+    long = sums.join(sizes, "actor_id").filter((F.col("history") >= HISTORY_MIN) & (F.col("narratives") >= DIVERSITY_CLASSES))
+    rich = long.join(steady, "actor_id", "left_semi")
     return rich.select("actor_id", "narratives", "posts", F.greatest(F.lit(0.0), entropy).alias("entropy"))
 
 
@@ -191,7 +223,7 @@ def fresh_account_swarm(
     fresh = fresh_accounts(actors, as_of, days, min_posts)
     taken = participation.select("narrative_id", "actor_id").distinct().join(fresh, "actor_id", "left_semi")
     swarm = taken.groupBy("narrative_id").agg(F.count("*").alias("accounts")).filter(F.col("accounts") >= min_accounts)
-    return swarm.withColumn("confidence", F.least(F.lit(0.90), 0.5 + (F.col("accounts") - FRESH_ACCOUNTS) * 0.05))
+    return swarm.withColumn("confidence", F.least(F.lit(0.90), 0.5 + (F.col("accounts") - min_accounts) * 0.05))
 
 
 def star_topology(
@@ -215,7 +247,7 @@ def star_topology(
     stars = scored.filter((F.col("leaf_links") < F.col("leaf_count")) & (F.col("leaf_connectivity") < max_connectivity))
     out = stars.select(
         "hub", "leaf_count", "repost_count", "leaf_links", F.round("leaf_connectivity", 4).alias("leaf_connectivity"),
-        F.least(F.lit(0.90), 0.6 + (F.col("leaf_count") - STAR_LEAVES) * 0.02).alias("confidence"),
+        F.least(F.lit(0.90), 0.6 + (F.col("leaf_count") - min_leaves) * 0.02).alias("confidence"),
     )
     return out if limit is None else out.orderBy(F.desc("confidence"), F.desc("repost_count"), "hub").limit(limit)
 

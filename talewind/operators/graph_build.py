@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talewind.functions.ids import actor_uuid
 from talewind.functions.times import micros
-from talewind.operators.skew import top_per_group, with_previous
+from talewind.operators.skew import SLICE, top_per_group, with_previous
 from talewind.schemas import DIRECTED_EDGES, UNDIRECTED_EDGES
 
 LOOKBACK_DAYS = 7
@@ -146,12 +146,12 @@ def interactions(posts: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
     )
 
 
-def merge_edges(events: DataFrame, rows_per_piece: int | None = None) -> DataFrame:
+def merge_edges(events: DataFrame, width: int = SLICE) -> DataFrame:
     """One edge per (src, dst, type). The weight starts at 1 and grows by 1 / (1 + whole days since the last
     interaction). Platforms are a set (their number is fixed); narratives are counted, see ``edge_narratives``."""
     keys = ["src", "dst", "edge_type"]
     timed = events.filter(F.col("src") != F.col("dst")).withColumn("_us", micros("ts"))
-    gaps = with_previous(timed, keys, "_us", ["_us", "content_id"], {"_prev": "_us"}, rows_per_piece)
+    gaps = with_previous(timed, keys, "_us", ["_us", "content_id"], {"_prev": "_us"}, width)
     days = F.floor((F.col("_us") - F.col("_prev")) / DAY_US)
     gain = F.when(F.col("_prev").isNull(), 1.0).otherwise(1.0 / (1.0 + days))
     return gaps.groupBy(*keys).agg(

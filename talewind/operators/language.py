@@ -69,18 +69,16 @@ def language_profile(df: DataFrame, group: str, text: str = "text", min_texts: i
 
 
 def ngram_drift(current: DataFrame, baseline: DataFrame, group: str) -> DataFrame:
-    """Jaccard distance of the n-gram sets per group, and the first new n-grams in alphabetical order."""
+    """Jaccard distance of the n-gram sets per group (1 where one side has none), and the first new n-grams in alphabetical order."""
     now = current.select(group, "ngram", F.lit(1).alias("_now"))
     then = baseline.select(group, "ngram", F.lit(1).alias("_then"))
     both = now.join(then, [group, "ngram"], "full_outer")
     fresh = F.when(F.col("_then").isNull(), F.col("ngram"))
     return both.groupBy(group).agg(
         (1 - F.count(F.when(F.col("_now").isNotNull() & F.col("_then").isNotNull(), 1)) / F.count("*")).alias("ngram_drift"),
-        F.count("_now").alias("_current"),
-        F.count("_then").alias("_baseline"),
         # Bounded by the n-grams kept per profile.
         F.slice(F.array_sort(F.collect_list(fresh)), 1, NEW_NGRAMS_SHOWN).alias("new_ngrams"),
-    ).filter((F.col("_current") > 0) & (F.col("_baseline") > 0)).drop("_current", "_baseline")
+    )
 
 
 def language_shift(

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from talewind.functions.ids import row_key
 from talewind.functions.times import AsOf, bucket, instant, seconds_between
 from talewind.operators.skew import with_previous
+
+# Some months of buckets.
+SLICE_SECONDS = 10_000_000
 from talewind.schemas import MIGRATING_STATES
 
 
@@ -59,7 +62,7 @@ def narrative_snapshots(posts: DataFrame, grain_seconds: int = 3600) -> DataFram
         F.avg("sentiment").alias("sentiment_avg"),
     )
     before = with_previous(
-        counted, ["narrative_id"], "bucket", ["bucket"], {"_count": "content_count", "_bucket": "bucket"}
+        counted, ["narrative_id"], "bucket", ["bucket"], {"_count": "content_count", "_bucket": "bucket"}, width=SLICE_SECONDS
     )
     hours = (F.col("bucket") - F.col("_bucket")) / 3600
     change = (F.col("content_count") - F.col("_count")) / hours

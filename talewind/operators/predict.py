@@ -154,14 +154,6 @@ def predict_coordination(matches: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-# Caveats given with each kind of forecast.
-CAVEATS = {
-    "peak_timing": "timing varies with platform reach, coordination and outside events",
-    "platform_migration": "migration depends on bridge accounts and platform rules",
-    "coordination_risk": "detection has false positives and small samples are unreliable",
-}
-
-
 def predictions(matches: DataFrame, state: DataFrame, as_of: AsOf | None = None) -> DataFrame:
     """All forecasts with the three best matches as their basis."""
     peak = predict_peak(matches)
@@ -171,8 +163,7 @@ def predictions(matches: DataFrame, state: DataFrame, as_of: AsOf | None = None)
     basis = matches.filter(F.col("rank") <= 3).groupBy("narrative_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "matched_narrative_id"))), lambda m: m["matched_narrative_id"]).alias("basis")
     )
-    caveats = F.create_map(*[F.lit(x) for pair in CAVEATS.items() for x in pair])
-    out = every.join(basis, "narrative_id").withColumn("caveat", F.element_at(caveats, F.col("prediction_type")))
+    out = every.join(basis, "narrative_id")
     if as_of is not None:
         out = out.withColumn("predicted_at", instant(as_of)).withColumn("id", row_key("narrative_id", "prediction_type"))
     return out

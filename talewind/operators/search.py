@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talewind.functions.scores import severity_of
 from talewind.functions.text import excerpt
 from talewind.functions.times import AsOf, instant, since
-from talewind.operators.skew import top_per_group
 
 MIGRATIONS_SHOWN = 50
 
@@ -200,10 +199,8 @@ def first_reach_order(migrations: DataFrame) -> DataFrame:
     origin = migrations.select("narrative_id", F.col("from_platform").alias("platform"), start.alias("at"))
     first = to.unionByName(origin).groupBy("narrative_id", "platform").agg(F.min("at").alias("first_reached"))
     # At most one row per platform and narrative.
-    return top_per_group(first, ["narrative_id"], [F.asc("first_reached"), F.asc("platform")], GROUP_PLATFORMS, rank="position")
-
-
-GROUP_PLATFORMS = 100
+    order = Window.partitionBy("narrative_id").orderBy("first_reached", "platform")
+    return first.withColumn("position", F.row_number().over(order))
 
 
 def new_narratives(state: DataFrame, as_of: AsOf, hours: int = 24) -> DataFrame:

@@ -3,8 +3,9 @@
 Three shapes are covered:
 
 * ``top_per_group``    - ranking with a bound k: reduced to k rows per key before the final shuffle.
-* ``with_previous`` / ``running_sum`` - ordered logic over *all* rows of a key: a hot key is cut into time
-  slices, each slice is one window partition, and only one summary row per slice is carried across.
+* ``with_previous`` / ``running_sum`` - ordered logic over *all* rows of a key: every key is cut into time slices of
+  one width, each slice is one window partition, and only one summary row per slice is carried across. The input is
+  written once, whatever its size.
 * ``split_hot``        - equi-joins repeated in a loop, where adaptive skew handling does not reach.
 
 Every list of hot keys is small by counting: at most ``rows / rows_per_piece`` keys can exceed
@@ -18,105 +19,69 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talewind.session import ROWS_PER_PIECE, fits_one_task
+from talewind.session import ROWS_PER_PIECE, cut_lineage
 
 # Spark reduces "row_number() <= k" below the shuffle only up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT_MAX = 1000
 SPREAD = 64
+# A day in microseconds.
+SLICE = 86_400_000_000
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every key in ``order`` (which must be a total order), with their rank."""
     if k > GROUP_LIMIT_MAX:
-        spread = df.withColumn("_spread", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SPREAD)))
+        # Maps can't be hashed.
+        plain = [F.col(c) for c, kind in df.dtypes if "map<" not in kind]
+        spread = df.withColumn("_spread", F.pmod(F.xxhash64(*plain), F.lit(SPREAD)))
         part = Window.partitionBy(*keys, "_spread").orderBy(*order)
         df = spread.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= k).drop("_r", "_spread")
     whole = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], ts: str, rows: int) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, a time slice number for keys with more than ``rows`` rows."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-        .filter(F.col("_n") > rows)
-        .withColumn("_slices", F.ceil(F.col("_n") / rows) * 8)
-        .withColumn("_width", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_slices"))))
-        .select(*keys, "_lo", "_width")
-    )
-    joined = df.join(F.broadcast(hot), list(keys), "left")
-    number = F.floor((F.col(ts) - F.col("_lo")) / F.col("_width")).cast("long")
-    return (
-        joined.withColumn("_hot", F.col("_lo").isNotNull())
-        .withColumn("_slice", F.coalesce(number, F.lit(0).cast("long")))
-        .drop("_lo", "_width")
-    )
+def _sliced(df: DataFrame, ts: str, width: int) -> DataFrame:
+    """``df`` written once, with ``_slice``: the number of the time slice of ``width`` that ``ts`` is in."""
+    return cut_lineage(df.withColumn("_slice", F.floor(F.col(ts) / width).cast("long")))
 
 
 def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    order: Sequence[str],
-    previous: dict[str, str],
-    rows_per_piece: int | None = None,
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], previous: dict[str, str], width: int = SLICE
 ) -> DataFrame:
     """``lag(1)`` of several columns per key. ``previous`` maps new column -> source column.
 
-    ``ts`` is a long (or other integral) column that leads ``order``; ``order`` must be total within a key.
+    ``ts`` is a long (or other integral) column that leads ``order``; ``order`` must be total within a key. A key's rows are
+    ordered within slices of ``width`` only; one row per slice is carried on to the next.
     """
     keys, order = list(keys), list(order)
-    if rows_per_piece is None and fits_one_task(df):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        for out, src in previous.items():
-            df = df.withColumn(out, F.lag(src).over(w))
-        return df
-    sliced = _sliced(df, keys, ts, rows_per_piece or ROWS_PER_PIECE)
+    rows = _sliced(df, ts, width)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order)
     packed = F.struct(*[F.col(src).alias(out) for out, src in previous.items()])
-    lagged = sliced.withColumn("_pack", packed).withColumn("_before", F.lag("_pack").over(w))
-    tails = (
-        sliced.filter("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    )
-    carried = tails.select(
-        *keys, "_slice", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried")
-    )
-    # One row per slice of a hot key: at most 16 rows per rows_per_piece input rows.
-    out = lagged.join(F.broadcast(carried), [*keys, "_slice"], "left")
+    lagged = rows.withColumn("_pack", packed).withColumn("_before", F.lag("_pack").over(w))
+    tails = rows.groupBy(*keys, "_slice").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+    carried = tails.select(*keys, "_slice", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carried"))
+    out = lagged.join(carried, [*keys, "_slice"], "left")
     before = F.coalesce("_before", "_carried")
     for name in previous:
         out = out.withColumn(name, before.getField(name))
-    return out.drop("_pack", "_before", "_carried", "_hot", "_slice")
+    return out.drop("_pack", "_before", "_carried", "_slice")
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], sums: dict[str, str],
-    rows_per_piece: int | None = None,
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], sums: dict[str, str], width: int = SLICE
 ) -> DataFrame:
-    """Running totals per key up to and including the row. ``sums`` maps new column -> source column."""
+    """Running totals per key up to and including the row. ``sums`` maps new column -> source column. See with_previous."""
     keys, order = list(keys), list(order)
-    if rows_per_piece is None and fits_one_task(df):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        for out, src in sums.items():
-            df = df.withColumn(out, F.sum(src).over(w))
-        return df
-    sliced = _sliced(df, keys, ts, rows_per_piece or ROWS_PER_PIECE)
+    rows = _sliced(df, ts, width)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = sliced
-    for out, src in sums.items():
-        inside = inside.withColumn(out, F.sum(src).over(w))
-    totals = (
-        sliced.filter("_hot").groupBy(*keys, "_slice").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
-    )
+    inside = rows.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
+    totals = rows.groupBy(*keys, "_slice").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys, "_slice", *[F.sum(f"_t_{out}").over(earlier).alias(f"_b_{out}") for out in sums])
-    joined = inside.join(F.broadcast(base), [*keys, "_slice"], "left")
+    joined = inside.join(base, [*keys, "_slice"], "left")
     for out in sums:
         joined = joined.withColumn(out, F.col(out) + F.coalesce(F.col(f"_b_{out}"), F.lit(0)))
-    return joined.drop("_hot", "_slice", *[f"_b_{out}" for out in sums])
+    return joined.drop("_slice", *[f"_b_{out}" for out in sums])
 
 
 def split_hot(
@@ -125,11 +90,7 @@ def split_hot(
     """Cut hot keys of ``big`` into pieces (column ``_piece``) and return a function that copies the rows of the
     other side of the join to every piece. Join on ``[key, "_piece"]``. ``known_rows``: row count, where the caller
     has it anyway; a frame no larger than one piece needs no look for hot keys."""
-    if known_rows is not None:
-        plain = known_rows <= (rows_per_piece or ROWS_PER_PIECE)
-    else:
-        plain = rows_per_piece is None and fits_one_task(big)
-    if plain:
+    if known_rows is not None and known_rows <= (rows_per_piece or ROWS_PER_PIECE):
         return big.withColumn("_piece", F.lit(0)), lambda other, k: other.withColumn("_piece", F.lit(0))
     rows = rows_per_piece or ROWS_PER_PIECE
     pieces = (

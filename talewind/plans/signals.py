@@ -42,24 +42,26 @@ members AS (
 
 @query(
     "temporal_burst",
-    f"""WITH {PAIR_WEIGHTS}, {PEAKS},
-    und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM pairs),
+    f"""WITH {PAIR_WEIGHTS}, {TOPIC_WINDOWS},
+    members AS (SELECT DISTINCT w.narrative_id, w.window_end, tp.actor_id FROM windows w
+                JOIN tp ON tp.narrative_id = w.narrative_id AND tp.us BETWEEN w.window_end - 3600000000 AND w.window_end),
+    und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM pairs WHERE src <> dst),
     met AS (
-      SELECT m.narrative_id, m.window_end, count(*) AS n FROM members m JOIN und ON und.a = m.actor_id
-      JOIN members o ON o.narrative_id = m.narrative_id AND o.window_end = m.window_end AND o.actor_id = und.b GROUP BY ALL),
-    sized AS (SELECT narrative_id, window_end, count(*) AS authors FROM members GROUP BY ALL),
+      SELECT m.narrative_id, m.window_end, count(*) AS n FROM members m JOIN members o
+      ON o.narrative_id = m.narrative_id AND o.window_end = m.window_end AND m.actor_id < o.actor_id
+      JOIN und ON und.a = m.actor_id AND und.b = o.actor_id GROUP BY ALL),
     scored AS (
-      SELECT s.*, coalesce(n, 0) / (authors * (authors - 1) / 2) AS density
-      FROM sized s LEFT JOIN met l ON s.narrative_id = l.narrative_id AND s.window_end = l.window_end)
+      SELECT w.*, coalesce(n, 0) / (authors * (authors - 1) / 2) AS density
+      FROM windows w LEFT JOIN met l ON w.narrative_id = l.narrative_id AND w.window_end = l.window_end)
     SELECT narrative_id, window_end, authors, round(density, 9) AS density,
-           round(least(0.95, 0.5 + (authors - 10) * 0.05), 9)::DOUBLE AS confidence
-    FROM scored WHERE density < 0.7""",
+           round(least(0.95, 0.5 + (authors - 3) * 0.05), 9)::DOUBLE AS confidence
+    FROM scored WHERE density < 0.1
+    QUALIFY row_number() OVER (PARTITION BY narrative_id ORDER BY authors DESC, window_end) = 1""",
 )
 def temporal_burst(spark, sf_dir):
-    # The sample users answer one another so often that only a high density bound leaves rows.
-    found = co.temporal_burst(topic_posts(spark, sf_dir), pair_weights(spark, sf_dir), WINDOW, AUTHORS, max_density=0.7)
+    found = co.temporal_burst(topic_posts(spark, sf_dir), pair_weights(spark, sf_dir), WINDOW, AUTHORS)
     return found.select(
-        "narrative_id", "window_end", "authors", F.round("density", 9).alias("density"), F.round("confidence", 9).alias("confidence")
+        "narrative_id", "window_end", F.col("authors").cast("long").alias("authors"), F.round("density", 9).alias("density"), F.round("confidence", 9).alias("confidence")
     )
 
 
@@ -125,8 +127,9 @@ def posting_regularity(spark, sf_dir):
     f"""WITH {POSTS}, {HISTORY},
     c AS (SELECT actor_id, topic, count(*) AS n FROM history GROUP BY ALL),
     t AS (SELECT actor_id, count(*) AS narratives, sum(n)::BIGINT AS posts FROM c GROUP BY ALL)
-    SELECT actor_id, narratives, posts, round(-sum(n / posts * log2(n / posts)) / log2(narratives), 6) AS entropy
-    FROM c JOIN t USING (actor_id) WHERE narratives >= 3 AND posts >= 20 GROUP BY actor_id, narratives, posts""",
+    SELECT actor_id, narratives, t.posts, round(-sum(n / t.posts * log2(n / t.posts)) / log2(narratives), 6) AS entropy
+    FROM c JOIN t USING (actor_id) JOIN stats s USING (actor_id)
+    WHERE narratives >= 3 AND t.posts >= 20 AND s.gaps >= 5 GROUP BY actor_id, narratives, t.posts""",
 )
 def narrative_entropy(spark, sf_dir):
     found = co.narrative_entropy(topic_posts(spark, sf_dir))
@@ -138,8 +141,9 @@ def narrative_entropy(spark, sf_dir):
     f"""WITH {POSTS}, {HISTORY},
     c AS (SELECT actor_id, topic, count(*) AS n FROM history GROUP BY ALL),
     t AS (SELECT actor_id, count(*) AS narratives, sum(n)::BIGINT AS posts FROM c GROUP BY ALL),
-    e AS (SELECT actor_id, narratives, posts, -sum(n / posts * log2(n / posts)) / log2(narratives) AS h
-          FROM c JOIN t USING (actor_id) WHERE narratives >= 3 AND posts >= 20 GROUP BY actor_id, narratives, posts)
+    e AS (SELECT actor_id, narratives, t.posts, -sum(n / t.posts * log2(n / t.posts)) / log2(narratives) AS h
+          FROM c JOIN t USING (actor_id) JOIN stats s USING (actor_id)
+          WHERE narratives >= 3 AND t.posts >= 20 AND s.gaps >= 5 GROUP BY actor_id, narratives, t.posts)
     SELECT actor_id, narratives, posts, round(h, 4) AS entropy, round(0.7 - h, 3) AS confidence FROM e WHERE h < 0.97""",
 )
 def content_diversity(spark, sf_dir):
@@ -238,11 +242,12 @@ def signal_graph(spark, sf_dir):
 @query(
     "recent_signals",
     f"""WITH {MERGED_EDGES}, {STARS}
-    SELECT hub, round(confidence, 9) AS confidence FROM stars""",
+    SELECT hub, round(confidence, 9) AS confidence FROM stars WHERE leaf_count % 5 * 20 < 48""",
 )
 def recent_signals(spark, sf_dir):
     stars = co.star_topology(merge_edges(interactions(spark, sf_dir)))
-    signals = co.as_signals(stars, "star_topology", NOW, ["hub", "leaf_count", "repost_count"], key=["hub"])
+    when = F.lit(NOW).cast("timestamp") - F.make_dt_interval(hours=(F.col("leaf_count") % 5 * 20).cast("int"))
+    signals = co.as_signals(stars, "star_topology", when, ["hub", "leaf_count", "repost_count"], key=["hub"])
     kept = co.recent_signals(signals, NOW, 48)
     return kept.select(F.col("evidence")["hub"].alias("hub"), F.round("confidence", 9).alias("confidence"))
 

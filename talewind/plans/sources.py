@@ -104,7 +104,7 @@ def n_reddit_posts(spark, sf_dir):
 
 @query(
     "normalize_reddit_comments",
-    """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS n FROM conversations)
+    """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, turn || '@' || conv_id) AS n FROM conversations)
     SELECT turn || '@' || conv_id AS id, CAST(conv_id AS VARCHAR) AS root_id, md5(text) AS text_md5, length(text) AS likes,
       CASE WHEN turn > 0 THEN (turn - 1) || '@' || conv_id END AS parent_id, role AS author FROM c WHERE n <= 4""",
 )
@@ -502,10 +502,13 @@ def comment_html(spark, sf_dir):
     "text_references",
     """SELECT doc_id, array_to_string(regexp_extract_all(text, '>>(\\d+)', 1), '|') AS backlinks,
       array_to_string(regexp_extract_all(text, '(?i)(?:^|[\\s(])/?(u/\\w+)', 1), '|') AS mentions,
-      array_to_string(regexp_extract_all(text, '\\$([A-Z]{1,5})\\b', 1), '|') AS cashtags FROM documents""",
+      array_to_string(regexp_extract_all(text, '\\$([A-Z]{1,5})\\b', 1), '|') AS cashtags
+    FROM (SELECT doc_id, '>>' || doc_id || ' (u/' || source || ' >>x $' || upper(lang) || '. $TOOLONG /u/' || lang || ' ' || text AS text FROM documents)""",
 )
 def references(spark, sf_dir):
     t = table(spark, sf_dir, "documents")
+    marked = F.concat(F.lit(">>"), "doc_id", F.lit(" (u/"), "source", F.lit(" >>x $"), F.upper("lang"), F.lit(". $TOOLONG /u/"), "lang", F.lit(" "), "text")
+    t = t.withColumn("text", marked)
     return t.select("doc_id", *[F.array_join(f("text"), "|").alias(n) for f, n in ((tx.backlinks, "backlinks"), (tx.user_mentions, "mentions"), (tx.cashtags, "cashtags"))])
 
 
@@ -527,15 +530,20 @@ def uuids(spark, sf_dir):
 
 @query(
     "page_hosts",
-    """SELECT page_id, contains(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), 'ft.com') OR contains(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), 'wsj.com') AS paywalled FROM pages""",
+    """SELECT page_id, host LIKE '%ft.com' OR host LIKE '%wsj.com' OR host LIKE '%nytimes.com' OR host LIKE '%washingtonpost.com'
+      OR host LIKE '%bloomberg.com' OR host LIKE '%economist.com' AS paywalled
+    FROM (SELECT page_id, ['www.nytimes.com', 'washingtonpost.com', 'BLOOMBERG.com', 'blog.wsj.com', 'ft.com', 'economist.com', 'example.org', 'wsj.org'][1 + page_id % 8] AS h,
+      lower(h) AS host FROM pages)""",
 )
 def hosts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.is_paywalled("url").alias("paywalled"))
+    hosts = ("www.nytimes.com", "washingtonpost.com", "BLOOMBERG.com", "blog.wsj.com", "ft.com", "economist.com", "example.org", "wsj.org")
+    url = F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, hosts)), (F.col("page_id") % 8 + 1).cast("int")), F.lit("/a?b=ft.com"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.is_paywalled(url).alias("paywalled"))
 
 
 @query(
     "content_facts",
-    f"""SELECT doc_id, md5(array_to_string(list_slice(list_filter(regexp_split_to_array(source || ' ' || text, '{WHITE}'), lambda w: w <> ''), 1, 400), ' ')) AS embedding_md5,
+    f"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(source || ' ' || text, '{WHITE}'), lambda w: w <> ''), ' ')) AS embedding_md5,
       md5(left(text, 200)) AS preview_md5, md5(CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END) AS excerpt_md5,
       contains(lower(text), 'revert') OR contains(lower(text), 'undo') AS is_revert, CASE lang WHEN 'en' THEN 'comments' WHEN 'de' THEN 'articles' ELSE 'posts' END AS family,
       n_chars * 1000 AS traffic FROM documents""",

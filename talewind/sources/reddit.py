@@ -20,7 +20,6 @@ from talewind.sources.record import actor, as_content, engagement
 IMAGE_ENDINGS = r"\.(jpg|jpeg|png|gif|webp)$"
 SITE = "https://reddit.com"
 DELETED = "[deleted]"
-COMMENTS_PER_POST = 200
 
 
 def media_urls() -> Column:
@@ -70,18 +69,17 @@ def normalize_reddit_posts(posts: DataFrame, as_of: AsOf) -> DataFrame:
         engagement=engagement(
             likes=F.col("score"), replies=F.col("num_comments"), views=F.col("view_count"), quotes=F.col("num_crossposts")
         ),
-        mentions=F.transform(user_mentions(text), lambda m: F.substring(m, 3, 64)),
+        mentions=F.transform(user_mentions(text), lambda m: F.substr(m, F.lit(3))),
         raw_payload=F.to_json(
             F.struct("subreddit", "upvote_ratio", "is_self", "link_flair_text", "over_18", "spoiler", "stickied", "domain")
         ),
     )
 
 
-def normalize_reddit_comments(comments: DataFrame, as_of: AsOf, per_post: int | None = COMMENTS_PER_POST) -> DataFrame:
-    """Comments below their post. ``per_post`` keeps the source's bound of comments read per post, best score first;
-    ``None`` keeps all."""
+def normalize_reddit_comments(comments: DataFrame, as_of: AsOf, per_post: int | None = None) -> DataFrame:
+    """Comments below their post. ``per_post`` is a client's bound of comments read per post, newest first; all by default."""
     if per_post is not None:
-        order = [F.desc_nulls_last("score"), F.asc("id")]
+        order = [F.desc_nulls_last("created_utc"), F.asc("id")]
         comments = top_per_group(comments, ["submission_id"], order, per_post, rank="_rank")
     body = F.coalesce("body", F.lit(""))
     return as_content(
@@ -96,6 +94,6 @@ def normalize_reddit_comments(comments: DataFrame, as_of: AsOf, per_post: int |
         conversation_id=F.col("submission_id"),
         actor=_author(with_age=False),
         engagement=engagement(likes=F.col("score"), replies=F.col("n_replies")),
-        mentions=F.transform(user_mentions(body), lambda m: F.substring(m, 3, 64)),
+        mentions=F.transform(user_mentions(body), lambda m: F.substr(m, F.lit(3))),
         raw_payload=F.to_json(F.struct("depth", "is_submitter", "controversiality", "distinguished", "stickied")),
     )

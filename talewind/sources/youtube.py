@@ -13,10 +13,10 @@ from talewind.sources.record import actor, as_content, engagement
 
 # Thumbnail sizes, best first.
 THUMBNAILS = ("maxres", "high", "medium", "default")
-MAX_TAGS = 50
 
 
-def normalize_youtube(videos: DataFrame, as_of: AsOf) -> DataFrame:
+def normalize_youtube(videos: DataFrame, as_of: AsOf, max_tags: int | None = None) -> DataFrame:
+    """``max_tags``: a client's bound of tags per video; all by default."""
     snippet, stats = F.col("snippet"), F.col("statistics")
     transcript = F.concat(F.lit("\n[TRANSCRIPT]\n"), blank_to_null("transcript"))
     channel = F.coalesce(snippet["channelId"], F.lit(""))
@@ -45,7 +45,7 @@ def normalize_youtube(videos: DataFrame, as_of: AsOf) -> DataFrame:
             likes=stats["likeCount"].try_cast("long"), replies=stats["commentCount"].try_cast("long"),
             views=stats["viewCount"].try_cast("long"), bookmarks=stats["favoriteCount"].try_cast("long"),
         ),
-        hashtags=F.slice(snippet["tags"], 1, MAX_TAGS),
+        hashtags=snippet["tags"] if max_tags is None else F.slice(snippet["tags"], 1, max_tags),
         raw_payload=F.to_json(
             F.struct(
                 snippet["categoryId"].alias("category_id"), F.col("contentDetails.duration").alias("duration"),

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from talewind.functions.times import micros
 from talewind.operators.coordination import (
     DIVERSITY_CLASSES, DIVERSITY_ENTROPY, GAPS_MIN, HISTORY, HISTORY_MIN, REGULAR_CV, REGULAR_MEAN,
+    TIMES_MIN,
 )
 
 HISTORY_KEPT = 200
@@ -27,11 +28,12 @@ def _judge(history_us: np.ndarray, narratives: list[str], max_cv: float, max_mea
     found = []
     gaps = np.diff(np.sort(history_us)) / 1e6
     gaps = gaps[gaps > 0]
-    if len(gaps) >= GAPS_MIN:
-        mean = float(gaps.mean())
-        cv = float(gaps.std() / mean)
-        if cv < max_cv and mean < max_mean:
-            found.append(("posting_regularity", float(min(1.0, max(0.0, 0.9 - cv * 2))), round(cv, 4), len(gaps)))
+    if len(history_us) < TIMES_MIN or len(gaps) < GAPS_MIN:
+        return found
+    mean = float(gaps.mean())
+    cv = float(gaps.std() / mean)
+    if cv < max_cv and mean < max_mean:
+        found.append(("posting_regularity", float(min(1.0, max(0.0, 0.9 - cv * 2))), round(cv, 4), len(gaps)))
     counts = pd.Series([n for n in narratives if n]).value_counts().to_numpy(dtype=float)
     if len(counts) >= DIVERSITY_CLASSES:
         share = counts / counts.sum()

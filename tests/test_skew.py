@@ -1,5 +1,6 @@
 """The paths for hot keys give the same rows as the plain ones."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talewind.functions.times import micros
@@ -9,8 +10,9 @@ from talewind.operators.components import connected_components
 from talewind.operators.identity import candidates_by_username
 from talewind.operators.louvain import communities
 from talewind.operators.rank import pagerank
-from talewind.operators.skew import running_sum, split_hot, top_per_group, with_previous
-from talewind.plans.tables import answers, interactions, pair_weights, posts
+from talewind.operators.skew import SLICE, running_sum, split_hot, top_per_group, with_previous
+from talewind.operators.coordination import temporal_burst
+from talewind.plans.tables import answers, interactions, pair_weights, posts, topic_posts
 from talewind.sources.seen import drop_seen
 
 PIECE = 40
@@ -30,13 +32,18 @@ def hot_posts(spark, sf):
 def test_with_previous(spark, sf):
     p = hot_posts(spark, sf).select("actor_id", "us", "content_id", "value")
     args = (["actor_id"], "us", ["us", "content_id"], {"before": "value", "at": "us"})
-    assert rows(with_previous(p, *args)) == rows(with_previous(p, *args, rows_per_piece=PIECE))
+    w = Window.partitionBy("actor_id").orderBy("us", "content_id")
+    plain = p.withColumn("before", F.lag("value").over(w)).withColumn("at", F.lag("us").over(w))
+    for width in (60_000_000, SLICE, 1 << 60):
+        assert rows(with_previous(p, *args, width=width)) == rows(plain)
 
 
 def test_running_sum(spark, sf):
     p = hot_posts(spark, sf).select("actor_id", "us", "content_id", F.round("value").cast("long").alias("value"))
     args = (["actor_id"], "us", ["us", "content_id"], {"total": "value"})
-    assert rows(running_sum(p, *args)) == rows(running_sum(p, *args, rows_per_piece=PIECE))
+    plain = p.withColumn("total", F.sum("value").over(Window.partitionBy("actor_id").orderBy("us", "content_id").rowsBetween(Window.unboundedPreceding, 0)))
+    for width in (60_000_000, SLICE, 1 << 60):
+        assert rows(running_sum(p, *args, width=width)) == rows(plain)
 
 
 def test_top_per_group_beyond_the_group_limit(spark):
@@ -45,6 +52,18 @@ def test_top_per_group_beyond_the_group_limit(spark):
     assert out.count() == 3000 and out.agg(F.min("v")).first()[0] == 3000
 
 
+def test_top_per_group_with_maps(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"), F.create_map(F.lit("a"), "id").alias("tags"))
+    assert top_per_group(df, ["k"], [F.desc("v")], 1001).count() == 2002
+
+
+def test_plans_read_their_input_once(spark, sf):
+    p = topic_posts(spark, sf)
+    found = temporal_burst(p, pair_weights(spark, sf), 3600, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") < 10 and plan.count("Exchange") < 20
+
+
 def test_split_hot_join(spark, sf):
     p = hot_posts(spark, sf).select("actor_id", "content_id")
     names = p.select("actor_id").distinct().withColumn("name", F.concat(F.lit("n"), "actor_id"))
@@ -61,7 +80,7 @@ def test_first_sightings(spark, sf):
 
 def test_merge_edges(spark, sf):
     e = interactions(spark, sf).withColumn("src", F.when(F.col("content_id") % 3 == 0, "c0").otherwise(F.col("src"))).withColumn("dst", F.lit("s0"))
-    assert rows(gb.merge_edges(e)) == rows(gb.merge_edges(e, rows_per_piece=PIECE))
+    assert rows(gb.merge_edges(e)) == rows(gb.merge_edges(e, width=3_600_000_000))
 
 
 def test_graph_algorithms(spark, sf):
