@@ -27,8 +27,8 @@ SHINGLE, PERCENT = 5, 75
 #: The rarity sketch has some PER_DOC counters for each document, but not more than MOST (a byte each for the tasks). Its size
 #: decides how well frequent shingles are told from rare ones, never which links are found.
 PER_DOC, MOST, BLOCK = 16, 1 << 24, 1 << 12
-#: Shingles of so many nodes are frequent; their groups have so many pivots.
-FREQUENT, PIVOTS = 4, 24
+#: Two rounds of deals into groups of frequent shingles: seeds, and how many nodes have such a shingle; pivots a group.
+DEALS, PIVOTS = ((range(1), 4), (range(2, 6), 32)), 8
 _SECOND, _THIRD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -185,6 +185,19 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _dealt(postings: DataFrame, seeds: range, frequent: int, percent: int) -> DataFrame:
+    """Candidates: for each seed, each node goes to the group of one of its frequent shingles and meets the group's pivots."""
+    out = None
+    for seed in seeds:
+        least = postings.filter(F.col("_n") >= frequent).groupBy("node", "n").agg(F.min(F.struct(F.xxhash64("token", F.lit(seed)).alias("h"), "token")).alias("t"))
+        dealt = cut_lineage(least.select("node", "n", "t.token", F.xxhash64("node", F.lit(seed)).alias("h")))
+        some = dealt.groupBy("token", F.pmod("h", F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct("h", F.col("node").alias("pivot"), F.col("n").alias("m"))).alias("p"))
+        some = cut_lineage(some.select("token", "p.pivot", "p.m"))
+        pairs = dealt.join(some, "token").filter((F.col("node") != F.col("pivot")) & similar_size("n", "m", percent)).select(*_pair("node", "pivot"))
+        out = pairs if out is None else out.union(pairs)
+    return out
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are not read).
 
@@ -201,19 +214,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     every = signatures.select(F.posexplode("first").alias("i", "token"), "node", "n")
     postings = cut_lineage(every.join(repeated_keys(every, "token"), "token"))
 
-    # First each member of a shingle's group against the group's pivot, and against PIVOTS others of a frequent shingle's.
+    # First each member of a shingle's group against the group's pivot, and against pivots of some frequent shingles' groups.
     lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("i").alias("j"))).alias("p")
     pivots = cut_lineage(postings.groupBy("token").agg(lead).select("token", "p.pivot", "p.m", "p.j"))
-    tried = postings.join(pivots, "token").filter((F.col("node") != F.col("pivot")) & _may_link("n", "i", "m", "j", percent)).select(*_pair("node", "pivot"))
-    for seed in range(2):
-        # Each node goes to the group of one of its frequent shingles.
-        least = postings.filter(F.col("_n") >= FREQUENT).groupBy("node", "n").agg(F.min(F.struct(F.xxhash64("token", F.lit(seed)).alias("h"), "token")).alias("t"))
-        dealt = cut_lineage(least.select("node", "n", "t.token", F.xxhash64("node", F.lit(seed)).alias("h")))
-        some = dealt.groupBy("token", F.pmod("h", F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct("h", F.col("node").alias("pivot"), F.col("n").alias("m"))).alias("p"))
-        some = cut_lineage(some.select("token", "p.pivot", "p.m"))
-        tried = tried.union(dealt.join(some, "token").filter((F.col("node") != F.col("pivot")) & similar_size("n", "m", percent)).select(*_pair("node", "pivot")))
-    star = cut_lineage(tried.distinct())
-    links = _verified(star, signatures, docs, nodes, size, percent)
+    star = postings.join(pivots, "token").filter((F.col("node") != F.col("pivot")) & _may_link("n", "i", "m", "j", percent)).select(*_pair("node", "pivot"))
+    tried = cut_lineage(star.union(_dealt(postings, *DEALS[0], percent)).distinct())
+    links = _verified(tried, signatures, docs, nodes, size, percent)
+    found = cut_lineage(components(links).withColumnRenamed("component", "group"))
+
+    # Again with other pivots, for what isn't joined yet.
+    more = _dealt(postings, *DEALS[1], percent).distinct()
+    of = lambda c: found.select(F.col("node").alias(c), F.col("group").alias(f"g_{c}"))
+    apart = F.coalesce("g_a", "a") != F.coalesce("g_b", "b")
+    more = cut_lineage(more.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    links = cut_lineage(links.union(_verified(more, signatures, docs, nodes, size, percent)))
+    tried = tried.union(more)
 
     # Then all pairs that the components so far leave open.
     found = components(links).withColumnRenamed("component", "group")
@@ -222,11 +237,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     most = per.groupBy("token").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = cut_lineage(most.select("token", F.col("top.group").alias("main")))
     rest = cut_lineage(grouped.join(open_, "token"))
-    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("group").alias("g"))
+    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("group").alias("g"))
     # Both orders of a pair meet where neither is of the main group; one is enough.
     once = (F.col("group") == F.col("main")) | (F.col("x") < F.col("node"))
-    crossed = few.join(rest, "token").filter((F.col("g") != F.col("group")) & once & _may_link("n", "i", "m", "j", percent))
-    pairs = cut_lineage(crossed.select(*_pair("x", "node")).distinct().join(star, ["a", "b"], "left_anti"))
+    crossed = few.join(rest, "token").filter((F.col("g") != F.col("group")) & once & similar_size("n", "m", percent))
+    # Common shingles are common in both prefixes, or beyond the prefix that ends first.
+    beyond = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in "nm"))
+    met = crossed.groupBy(*_pair("x", "node"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).agg(F.count("*").alias("c"))
+    met = met.filter((F.col("c") + beyond) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    pairs = cut_lineage(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     links = links.union(_verified(pairs, signatures, docs, nodes, size, percent))
 
     joined = components(links).withColumnRenamed("node", "doc_id")
