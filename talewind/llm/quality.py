@@ -20,13 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talewind.llm.common import filled, prepare, raw_bytes, slices, split_words
+from talewind.operators.skew import top_per_group
 from talewind.session import cut_lineage
 
 ALPHA, DELTA = 0.02, 0.05
 #: Steps of a cutoff between 0 and 1.
 STEPS = 200
 WINDOW = 8
-RULES = ("symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "top_word_share")
+#: Toxic words of a stratum: in so many tuning texts labelled toxic at least, and so many times as often there as in others.
+TOXIC_TEXTS, TOXIC_TIMES, TOXIC_WORDS = 5, 10, 1000
+TRIMMED = ".,;:!?\"'()[]{}*#|<>&%$-_"
+RULES = ("symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share", "top_word_share", "toxic_share")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = f"doc_id long, stratum string, text_key long, {', '.join(f'{x} long' for x in COUNTS)}, {', '.join(f'{x} double' for x in RULES)}"
 
@@ -65,7 +69,7 @@ def repeated_words(codes: np.ndarray, starts: np.ndarray, window: int = WINDOW)
     return _sums(np.cumsum(change)[:n] > 0, starts)
 
 
-def _measured(texts: pa.Array) -> dict[str, np.ndarray]:
+def _measured(texts: pa.Array, strata: list[str], toxic: dict[str, list[str]]) -> dict[str, np.ndarray]:
     texts = filled(texts)
     docs = len(texts)
     codes, starts, words = split_words(texts)
@@ -85,20 +89,55 @@ def _measured(texts: pa.Array) -> dict[str, np.ndarray]:
     pair, pairs = pd.factorize(codes.astype(np.int64) * max(1, docs) + doc)
     top = np.zeros(docs, np.int64)
     np.maximum.at(top, pairs % max(1, docs), np.bincount(pair, minlength=len(pairs)))
+    n_toxic, of_doc = np.zeros(docs, np.int64), np.array(strata, dtype=object)
+    plain = pc.utf8_trim(pc.utf8_lower(words), characters=TRIMMED) if toxic else words
+    for x in set(strata) & set(toxic) if len(words) else ():
+        hit = pc.is_in(plain, value_set=pa.array(toxic[x], pa.string())).to_numpy(zero_copy_only=False)[codes]
+        n_toxic = np.where(of_doc == x, _sums(hit, starts), n_toxic)
     share = lambda a, b: np.minimum(1, a / np.maximum(1, b))
     return {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
         "symbol_share": share(n_symbols, word_chars), "upper_share": share(upper, letters), "mark_share": share(marks, n_words),
         "dup_line_share": share(n_dup, n_lines), "repeat_share": share(n_repeat, n_words), "top_word_share": share(top, n_words),
+        "toxic_share": share(n_toxic, n_words),
     }
 
 
-def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+def _stratum(name: str):
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def _tuning(text_key):
+    return F.pmod(F.xxhash64(text_key), F.lit(4)) == 0
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> dict[str, list[str]]:
+    """For each stratum the words that mark toxic texts in the tuning part, at most TOXIC_WORDS, the most frequent first."""
+    if "toxic" not in labels.columns:
+        return {}
+    marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") == 1).cast("long").alias("toxic"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _stratum(stratum).alias("stratum"), F.xxhash64("text").alias("text_key"), "text")
+    texts = own.filter(F.col("text").isNotNull() & _tuning("text_key")).join(marks, "doc_id").groupBy("stratum", "text_key").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    texts = cut_lineage(texts)
+    word = F.array_distinct(F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.btrim(w, F.lit(TRIMMED))))
+    each = texts.select("stratum", "toxic", F.explode(word).alias("word")).filter(F.col("word") != "")
+    counts = each.groupBy("stratum", "word").agg(F.sum("toxic").alias("there"), F.sum(1 - F.col("toxic")).alias("other")).filter(F.col("there") >= TOXIC_TEXTS)
+    totals = texts.groupBy("stratum").agg(F.sum("toxic").alias("n_there"), F.sum(1 - F.col("toxic")).alias("n_other"))
+    often = F.col("there") * F.col("n_other") >= TOXIC_TIMES * F.col("other") * F.col("n_there")
+    found = counts.join(totals, "stratum").filter(often & (F.col("n_other") > 0))
+    top = top_per_group(found, ["stratum"], [F.desc("there"), F.asc("word")], TOXIC_WORDS)
+    out: dict[str, list[str]] = {}
+    for r in top.select("stratum", "word").collect():
+        out.setdefault(r["stratum"], []).append(r["word"])
+    return out
+
+
+def measures(docs: DataFrame, stratum: str = "lang", toxic: dict[str, list[str]] | None = None) -> DataFrame:
     """Counts and rule values of each whole text: see MEASURES. A null text has no words; a null stratum is its own, ''."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = _measured(batch.column("text"))
+            found = _measured(batch.column("text"), batch.column("stratum").to_pylist(), toxic or {})
             own = [batch.column("doc_id"), batch.column("stratum"), batch.column("text_key")]
             kinds = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(RULES)
             made = [pa.array(found[x], kind) for x, kind in zip((*COUNTS, *RULES), kinds, strict=True)]
@@ -106,7 +145,7 @@ def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
 
     prepare(docs.sparkSession)
     given = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+        F.col("doc_id").cast("long").alias("doc_id"), _stratum(stratum).alias("stratum"),
         F.xxhash64("text").alias("text_key"), "text",
     )
     return given.mapInArrow(measure, MEASURES)
@@ -142,14 +181,15 @@ def _from_top(rows: pd.DataFrame, good: int) -> np.ndarray:
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum, rule, step, n_good, n_lost: the cutoffs that the labelled holdouts warrant.
 
-    labels: doc_id, quality (1 good, 0 bad; null: not labelled). Equal texts count once, as copies are no independent draws;
+    labels: doc_id, quality (1 good, 0 bad; null: not labelled) and, if there, toxic (1: bad whatever its quality). Equal texts count once, as copies are no independent draws;
     of differing labels of one text the worse holds. Strata with too few labelled documents for the bound get no cutoffs.
     """
-    marks = labels.filter(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
+    good = F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality")) if "toxic" in labels.columns else F.col("quality")
+    marks = labels.withColumn("_good", good.cast("int")).filter(F.col("_good").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("_good").alias("good"))
     once = measured.join(marks, "doc_id").groupBy("stratum", "text_key").agg(F.min("good").alias("good"), *(F.max(x).alias(x) for x in RULES))
     step = F.floor(F.col("value") * STEPS).cast("int")
     long = once.select(
-        "stratum", "good", (F.pmod(F.xxhash64("text_key"), F.lit(4)) == 0).alias("tune"),
+        "stratum", "good", _tuning("text_key").alias("tune"),
         F.explode(F.array(*(F.struct(F.lit(x).alias("rule"), F.col(x).alias("value")) for x in RULES))).alias("_r"),
     ).select("stratum", "good", "tune", "_r.rule", F.col("_r.value").alias("value"))
     # At most 2 * 2 * len(RULES) * (STEPS + 1) rows for a stratum from here on, whatever the input.
@@ -189,7 +229,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
     cutoffs of the row's stratum; a stratum without cutoffs rejects nothing. A null or empty text has no words and fails.
     Repeated rows are judged alike, null doc_ids too; an empty table or no labels give no cutoffs.
     """
-    measured = cut_lineage(measures(docs, stratum))
+    measured = cut_lineage(measures(docs, stratum, toxic_words(docs, labels, stratum)))
     cuts = cutoffs(measured, labels, alpha, delta)
     wide = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == x, F.col("step"))).alias(f"_cut_{x}") for x in RULES))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -68,3 +68,15 @@ def test_rules_reject_what_labels_show(spark):
     verdicts = quality.judged(docs, docs.select("doc_id", "quality")).select("doc_id", "kept").collect()
     lost = sum(not r.kept for r in verdicts if r.doc_id < 5000)
     assert lost <= 0.02 * len(good) and not any(r.kept for r in verdicts if r.doc_id >= 5000)
+
+
+def test_toxic_documents_are_not_good(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi".split()
+    text = lambda i, more: " ".join([words[(i * j * j + j) % 14] + str(i * j) for j in range(30)] + more)
+    good = [(i, text(i, []), "en", 1, 0) for i in range(1, 1500)]
+    toxic = [(5000 + i, text(5000 + i, ["Nasty,", "vile"]), "en", 1, 1) for i in range(200)]
+    docs = spark.createDataFrame(good + toxic, "doc_id long, text string, lang string, quality int, toxic int")
+    labels = docs.select("doc_id", "quality", "toxic")
+    assert {"nasty", "vile"} <= set(quality.toxic_words(docs, labels)["en"])
+    kept = {r.doc_id for r in quality.judged(docs, labels).filter("kept").collect()}
+    assert sum(i not in kept for i in range(1, 1500)) <= 0.02 * len(good) and not any(i >= 5000 for i in kept)
