@@ -17,7 +17,7 @@ from talewind.sources.record import actor, as_content, engagement
 
 SOURCE = "google_trends"
 PAGE = "https://trends.google.com/trends/explore?q="
-SNIPPETS, QUERIES, ARTICLES, RISING = 3, 10, 5, 5
+RISING = 5
 
 
 def _page(term: str) -> Column:
@@ -29,18 +29,26 @@ def _source_actor() -> Column:
     return actor(platform_id=F.lit(SOURCE), username=F.lit(SOURCE), display_name=label)
 
 
-def normalize_trending(topics: DataFrame, as_of: AsOf) -> DataFrame:
+def _first(name: str, most: int | None) -> Column:
+    return F.col(name) if most is None else F.slice(name, 1, most)
+
+
+def normalize_trending(
+    topics: DataFrame, as_of: AsOf, snippets: int | None = None, queries: int | None = None, articles: int | None = None,
+) -> DataFrame:
+    """Daily topics. A client's bounds, all off by default: ``snippets`` of articles in the text, ``queries`` and ``articles`` in
+    the payload."""
     day = F.date_format(instant(as_of), "yyyy-MM-dd")
     lines = F.transform(
-        F.slice("articles", 1, SNIPPETS),
+        _first("articles", snippets),
         lambda a: F.concat(
             F.lit("- "), F.coalesce(a["title"], F.lit("")), F.lit(" ("), F.coalesce(a["source"], F.lit("")), F.lit(")")
         ),
     )
     payload = F.struct(
         "region", F.coalesce("formattedTraffic", F.lit("0")).alias("formatted_traffic"),
-        F.slice("relatedQueries", 1, QUERIES).alias("related_queries"),
-        F.slice("articles", 1, ARTICLES).alias("articles"), F.lit("daily_trending").alias("source_type"),
+        _first("relatedQueries", queries).alias("related_queries"),
+        _first("articles", articles).alias("articles"), F.lit("daily_trending").alias("source_type"),
     )
     return as_content(
         topics, as_of, "web",

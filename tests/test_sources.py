@@ -9,6 +9,7 @@ from talewind.sources.generate import generate_content
 from talewind.sources.reddit import normalize_reddit_comments, normalize_reddit_posts
 from talewind.sources.telegram import normalize_telegram
 from talewind.sources.topics import keyed_json, read_topic, write_topic
+from talewind.sources.trends import normalize_trending
 from talewind.sources.validate import validate_content
 
 NOW = "2024-06-01"
@@ -75,3 +76,11 @@ def test_bounds(spark):
     bad_score = generate_content(spark, 3).withColumn("nlp", F.col("nlp").withField("sentiment_score", F.lit(1.5)))
     good, bad = validate_content(bad_score)
     assert good.count() == 0 and {r.reject_reason for r in bad.collect()} == {"sentiment_score out of bounds"}
+
+
+def test_trending_topics_are_whole_unless_bounded(spark):
+    schema = "region string, title string, formattedTraffic string, articles array<struct<title:string,source:string,url:string>>, relatedQueries array<string>"
+    df = raw(spark, schema, {"region": "US", "title": "t", "articles": [{"title": f"a{i}", "source": "s", "url": "u"} for i in range(12)], "relatedQueries": [f"q{i}" for i in range(15)]})
+    sizes = lambda r: (len(r.text.split("\n")), len(json.loads(r.raw_payload)["related_queries"]), len(json.loads(r.raw_payload)["articles"]))
+    assert sizes(normalize_trending(df, NOW).first()) == (12, 15, 12)
+    assert sizes(normalize_trending(df, NOW, snippets=3, queries=10, articles=5).first()) == (3, 10, 5)
