@@ -31,7 +31,7 @@ def test_reddit_posts(spark):
         spark, POST,
         {"id": "a", "title": "T", "selftext": "body u/bob", "author": {"name": "ann", "created_utc": 60.0}, "score": 5, "num_comments": 2, "created_utc": 120.0, "permalink": "/r/x/a", "url": "https://i/x.jpg",
          "is_gallery": True, "media_metadata": {"1": {"status": "valid", "s": {"u": "g?a=1&amp;b"}}, "2": {"status": "failed", "s": {"u": "no"}}}},
-        {"id": "b", "title": "only", "selftext": "", "created_utc": 1.0, "permalink": "/p"},
+        {"id": "b", "title": "only", "selftext": "", "created_utc": 1.0 + i, "permalink": "/p"},
     )
     out = {r.platform_content_id: r for r in normalize_reddit_posts(df, NOW).collect()}
     a, b = out["a"], out["b"]
@@ -44,7 +44,7 @@ def test_reddit_posts(spark):
 def test_reddit_comment_parent_loses_its_prefix(spark):
     schema = ("id string, submission_id string, body string, author struct<name:string,has_verified_email:boolean>, score long, created_utc double, permalink string, parent_id string, depth int, n_replies long, "
               "is_submitter boolean, controversiality int, distinguished string, stickied boolean")
-    rows = [{"id": f"c{i}", "submission_id": "p", "body": "x", "score": i, "created_utc": 1.0, "permalink": "/", "parent_id": "t3_p"} for i in range(5)]
+    rows = [{"id": f"c{i}", "submission_id": "p", "body": "x", "score": i, "created_utc": 1.0 + i, "permalink": "/", "parent_id": "t3_p"} for i in range(5)]
     out = normalize_reddit_comments(raw(spark, schema, *rows), NOW, per_post=2).collect()
     assert {r.platform_content_id for r in out} == {"c3", "c4"} and {r.parent_id for r in out} == {"p"} and out[0].actor.username == "[deleted]"
 
