@@ -16,6 +16,7 @@ from talewind.llm.latent import leaks
 from talewind.llm.packing import packed_matrix, packed_pieces
 from talewind.llm.pii import digest, found_spans
 from talewind.llm.quality import COUNTS, judged
+from talewind.llm.spelling import variants
 from talewind.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,44 @@ def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_depth_limited_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = radix.without_repeats(read_documents(spark, sf_dir, "doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The checksum of UTF-8 bytes by its table of 256 entries; {text} is an expression of code points below 2048.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"""
+CRC_OF = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END))),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE t AS ({CRC_TABLE}), runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents
+    ), hashed AS (
+        SELECT run, {CRC_OF.format(text="id || ':' || run")} AS h FROM runs, t WHERE length(run) >= 7
+    ), made AS (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
+    ), words AS (SELECT word, count(*) AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+    cut AS (
+        SELECT word, i, left(word, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM words)
+    ), pairs AS (
+        SELECT x.word, y.word AS near FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+        UNION SELECT x.word, w.word FROM cut x JOIN words w ON w.word = x.a || x.b
+        UNION SELECT w.word, x.word FROM cut x JOIN words w ON w.word = x.a || x.b
+    ), best AS (
+        SELECT p.word, count(*) AS n_near, max(w.n) AS m, arg_min(w.word, (-w.n, w.word)) AS near FROM pairs p JOIN words w ON w.word = p.near GROUP BY p.word
+    ), formed AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN near END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+        FROM words LEFT JOIN best USING (word)
+    ), steps AS (
+        SELECT word, word AS root, form AS further FROM formed
+        UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON f.word = s.further
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM steps WHERE further IS NULL) USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_documents(spark, sf_dir, "doc_id", "text"))
