@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talewind.llm import automata, chat, radix
+from talewind.llm import automata, chat, radix, templates
 from talewind.llm.common import prepare, read_documents
 from talewind.llm.jaccard import near_duplicates
 from talewind.llm.langid import predicted
@@ -151,3 +151,9 @@ CRC_OF = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(stri
 )
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read_documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op13_path_templates")
+def op13_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = prepare(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return templates.judged(pages).drop("bad_share")
