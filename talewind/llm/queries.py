@@ -18,6 +18,7 @@ from talewind.llm.pii import digest, found_spans
 from talewind.llm.quality import COUNTS, judged
 from talewind.llm.spelling import variants
 from talewind.llm.tokens import public_path
+from talewind.llm.trie import trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +158,45 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = prepare(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return templates.judged(pages).drop("bad_share")
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+    WITH t AS ({CRC_TABLE}), own AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC_OF.format(text="conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), t
+    ), rows AS (
+        SELECT c.conv_id, 0 AS side, o.place, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.place < c.h
+        UNION ALL SELECT c.conv_id, 1, o.place, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.place >= c.h
+    ), turns AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, place) AS depth, role, text FROM rows
+    ), prefixes AS (
+        SELECT conv_id, 0 AS depth, sha256('') AS node, NULL AS parent, NULL AS text FROM convs
+        UNION ALL
+        SELECT x.conv_id, x.depth, sha256(string_agg(y.role || chr(1) || y.text || chr(2), '' ORDER BY y.depth)),
+            sha256(coalesce(string_agg(y.role || chr(1) || y.text || chr(2), '' ORDER BY y.depth) FILTER (y.depth < x.depth), '')), any_value(x.text)
+        FROM turns x JOIN turns y ON y.conv_id = x.conv_id AND y.depth <= x.depth GROUP BY x.conv_id, x.depth
+    ), lengths AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+    nodes AS (
+        SELECT node, p.depth, any_value(parent) AS parent, min(p.conv_id) AS conv_id, count(*) AS n_convs,
+            (count(*) - 1) * len(regexp_extract_all(coalesce(any_value(text), ''), '[^\x20\x09-\x0D]+')) AS own_saved,
+            sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (l.depth = p.depth), '')) AS ends_sha256
+        FROM prefixes p JOIN lengths l USING (conv_id) GROUP BY node, p.depth
+    ), children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+    above AS (
+        SELECT DISTINCT x.node AS top, y.node AS below FROM prefixes x JOIN prefixes y ON x.conv_id = y.conv_id AND x.depth <= y.depth
+    ), under AS (
+        SELECT top, sum(own_saved) AS saved_tokens, count(*) FILTER (c.node IS NULL) AS n_leaves
+        FROM above JOIN nodes n ON n.node = above.below LEFT JOIN children c ON c.node = n.node GROUP BY top
+    )
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, u.n_leaves,
+        u.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.node = n.node JOIN under u ON u.top = n.node
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
