@@ -160,7 +160,7 @@ def recent_vectors(spark, sf_dir):
 @query("density_clusters")
 def clusters(spark, sf_dir):
     rows = _text_vectors(spark, sf_dir).select("id", "vector")
-    return density_clusters(rows, min_cluster_size=10, min_samples=5, radius=1.0)
+    return density_clusters(rows, min_cluster_size=10, min_samples=5)
 
 
 # --- images: a checksum of brand and size stands for the hash ---------------------------------------------------------------
