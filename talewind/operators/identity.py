@@ -22,8 +22,6 @@ from talewind.session import cut_lineage
 
 LINK_CONFIDENCE = 0.70
 HASHES_KEPT = 50
-# Names held by more accounts than this are paired through the representatives of equal profiles.
-CROWDED_NAME = 500
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -44,45 +42,67 @@ def _pairs_on(df: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(F.col("actor_id").alias("actor_a"), F.col("_b").alias("actor_b"))
 
 
-def candidates_by_username(
-    actors: DataFrame, links: DataFrame | None = None, hashes: DataFrame | None = None, crowded: int = CROWDED_NAME,
-    limit: int | None = None,
-) -> DataFrame:
-    """Accounts of different platforms with the same name (any case) that are not linked yet.
+def account_groups(actors: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """actor_id, head: accounts that are alike in all that a score looks at - name, platform, biography, hours, topics and shared
+    content (``hashes``: actor_id, hash) - are one group under its smallest account. Accounts without a name are in none.
 
-    A name held by very many accounts ("anonymous") would give a quadratic number of pairs, nearly all of which the
-    score rejects: an equal name alone is below the threshold. Such accounts are first grouped by equal profile (name,
-    platform, hours, topics - the score of a pair depends on nothing else but content and biography). Groups are paired
-    once and every account is linked to the representative of the other group: the linked sets are the same, their
-    size is linear. Shared content (``hashes``: actor_id, hash) is followed in the same way, per platform.
+    A name held by very many accounts ("anonymous") is mostly held by alike ones. What holds for two heads holds for all accounts of
+    their groups, so groups are paired and scored once, at every size, and no pair of accounts is made for it.
     """
-    named = actors.withColumn("_name", F.lower("username")).filter(F.coalesce("_name", F.lit("")) != "")
-    sizes = named.groupBy("_name").agg(F.count("*").alias("_n"))
-    many = sizes.filter(F.col("_n") > crowded).select("_name")
-    columns = ["_name", "actor_id", "primary_platform"]
-    plain = _pairs_on(named.join(many, "_name", "left_anti").select(*columns), ["_name"])
-
-    busy = named.join(many, "_name", "left_semi")
-    profile = ["_name", "primary_platform", F.to_json(F.struct(F.array_sort("active_hours"), F.array_sort("primary_topics"))).alias("_profile")]
-    groups = busy.select(*profile, "actor_id")
-    keys = ["_name", "primary_platform", "_profile"]
-    heads = groups.groupBy(*keys).agg(F.min("actor_id").alias("actor_id"))
-    head_pairs = _pairs_on(heads.select(*columns), ["_name"])
-    member = groups.join(heads.withColumnRenamed("actor_id", "_head"), keys).select("actor_id", "_head")
-    to_b = head_pairs.join(member, F.col("actor_a") == F.col("_head")).select("actor_id", F.col("actor_b").alias("_other"))
-    to_a = head_pairs.join(member, F.col("actor_b") == F.col("_head")).select("actor_id", F.col("actor_a").alias("_other"))
-    through_heads = to_b.unionByName(to_a).select(*_ordered("actor_id", "_other"))
-
-    pairs = plain.unionByName(through_heads)
+    named = actors.filter(F.coalesce("username", F.lit("")) != "").select(
+        "actor_id", F.lower("username").alias("_name"), "username", "primary_platform", F.to_json(F.struct(
+            "bio", F.array_sort("active_hours").alias("h"), F.array_sort("primary_topics").alias("t"))).alias("_profile"),
+    )
     if hashes is not None:
-        shared = busy.select(*columns).join(hashes, "actor_id")
-        first = shared.groupBy("_name", "hash", F.col("primary_platform").alias("_p")).agg(F.min("actor_id").alias("_other"))
-        met = shared.join(first, ["_name", "hash"]).filter(F.col("primary_platform") != F.col("_p"))
-        pairs = pairs.unionByName(met.select(*_ordered("actor_id", "_other")))
-    pairs = _not_linked(pairs.distinct(), links)
+        sums = [F.bit_xor(F.xxhash64("hash", F.lit(k))) for k in (0, 1)]
+        contents = hashes.distinct().groupBy("actor_id").agg(F.concat_ws("/", F.count("*"), *sums).alias("_contents"))
+        named = named.join(contents, "actor_id", "left")
+    else:
+        named = named.withColumn("_contents", F.lit(None).cast("string"))
+    alike = [F.coalesce(c, F.lit("")).alias(c) for c in ("username", "primary_platform", "_profile", "_contents")]
+    named = named.select("actor_id", "_name", *alike)
+    keys = ["_name", "username", "primary_platform", "_profile", "_contents"]
+    heads = named.groupBy(*keys).agg(F.min("actor_id").alias("head"))
+    return named.join(heads, keys).select("actor_id", "head")
+
+
+def group_pairs(actors: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of heads of different platforms with the same name (any case)."""
+    heads = groups.filter(F.col("actor_id") == F.col("head")).select("actor_id")
+    named = actors.join(heads, "actor_id").select(F.lower("username").alias("_name"), "actor_id", "primary_platform")
+    return _pairs_on(named, ["_name"])
+
+
+def expanded(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of heads as pairs of all their accounts; further columns are kept."""
+    rest = [c for c in pairs.columns if c not in ("actor_a", "actor_b")]
+    of_a = groups.select(F.col("head").alias("actor_a"), F.col("actor_id").alias("_a"))
+    of_b = groups.select(F.col("head").alias("actor_b"), F.col("actor_id").alias("_b"))
+    return pairs.join(of_a, "actor_a").join(of_b, "actor_b").select(*_ordered("_a", "_b"), *rest)
+
+
+def candidates_by_username(actors: DataFrame, links: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Accounts of different platforms with the same name (any case) that are not linked yet, one row for each pair.
+
+    That is the product of a crowded name's groups; ``linked_accounts`` follows the same rule without it.
+    """
+    named = actors.filter(F.coalesce("username", F.lit("")) != "").select(F.lower("username").alias("_name"), "actor_id", "primary_platform")
+    pairs = _not_linked(_pairs_on(named, ["_name"]).distinct(), links)
     return pairs if limit is None else pairs.orderBy("actor_a", "actor_b").limit(limit)
 
 
+def linked_accounts(
+    actors: DataFrame, hashes: DataFrame | None = None, min_confidence: float = LINK_CONFIDENCE
+) -> tuple[DataFrame, DataFrame]:
+    """(links between heads with accounts_a and accounts_b, the sizes of their groups; account_groups): the links of all pairs of accounts
+    of one name, as many rows as there are pairs of different profiles. ``expanded`` gives the pairs of accounts."""
+    groups = cut_lineage(account_groups(actors, hashes))
+    links = score_identity(group_pairs(actors, groups), actors, hashes, min_confidence=min_confidence)
+    sizes = groups.groupBy("head").agg(F.count("*").alias("_n"))
+    size_of = lambda side: sizes.select(F.col("head").alias(f"actor_{side}"), F.col("_n").alias(f"accounts_{side}"))
+    return links.join(size_of("a"), "actor_a").join(size_of("b"), "actor_b"), groups
+
+
 def candidates_by_bio(actors: DataFrame, links: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Accounts whose biography names the other account, not linked yet.
 

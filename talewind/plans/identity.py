@@ -144,3 +144,14 @@ def score_identity(spark, sf_dir):
 @query("link_edges", f"WITH {ACTORS}, {HASHES}, {SCORES} SELECT actor_a AS src, actor_b AS dst, 'SAME_PERSON' AS edge_type, round(c, 4) AS confidence FROM total WHERE c >= 0.70")
 def link_edges(spark, sf_dir):
     return idn.link_edges(_links(spark, sf_dir)).drop("methods")
+
+
+@query(
+    "linked_accounts",
+    f"""WITH {ACTORS}, {HASHES}, {SCORES} SELECT round(c, 4) AS confidence, count(*) AS links, count(DISTINCT actor_a) AS accounts
+        FROM total JOIN by_name USING (actor_a, actor_b) WHERE c >= 0.7 GROUP BY ALL""",
+)
+def linked_accounts(spark, sf_dir):
+    links, groups = idn.linked_accounts(_actors(spark, sf_dir), _hashes(spark, sf_dir))
+    first = links.join(groups.withColumnRenamed("actor_id", "_a"), F.col("actor_a") == F.col("head")).groupBy("confidence").agg(F.countDistinct("_a").alias("accounts"))
+    return links.groupBy("confidence").agg(F.sum(F.col("accounts_a") * F.col("accounts_b")).alias("links")).join(first, "confidence")

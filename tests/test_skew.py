@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from talewind.functions.times import micros
 from talewind.operators import graph_build as gb
+from talewind.operators import identity as idn
 from talewind.operators.betweenness import betweenness
 from talewind.operators.components import connected_components
-from talewind.operators.identity import candidates_by_username
 from talewind.operators.louvain import communities
 from talewind.operators.rank import pagerank
 from talewind.operators.skew import SLICE, running_sum, split_hot, top_per_group, with_previous
@@ -93,15 +93,19 @@ def test_graph_algorithms(spark, sf):
     assert rows(communities(small)) == rows(communities(small, rows_per_piece=5))
 
 
-def test_crowded_names_link_through_representatives(spark):
-    people = [(f"{p}{i}", p, "Anonymous", None, [i % 2], ["x"]) for p in ("reddit", "gab") for i in range(20)]
+def test_crowded_names_lose_no_link(spark):
+    """400 accounts of one name: the links between groups stand for exactly those of all pairs."""
+    hours, topics = ([9, 10], [10, 11], [1]), (["x"], ["x", "y"], ["z"])
+    people = [(f"{p}{i:03}", p, "Anonymous" if i % 2 else "anonymous", None, hours[i % 3], topics[i % 9 // 3]) for p in ("reddit", "gab") for i in range(200)]
+    people += [("t1", "twitter", None, None, [1], ["x"]), ("t2", "twitter", "", None, [1], ["x"])]
     actors = spark.createDataFrame(people, "actor_id string, primary_platform string, username string, bio string, active_hours array<int>, primary_topics array<string>")
-    every = candidates_by_username(actors)
-    few = candidates_by_username(actors, crowded=10)
-    assert every.count() == 400 and few.count() < 160
-    # The same accounts hang together.
-    parts = lambda d: connected_components(d, "actor_a", "actor_b").select("component").distinct().count()
-    assert parts(every) == parts(few) == 1
-    assert {r.actor_a for r in few.collect()} | {r.actor_b for r in few.collect()} == {p[0] for p in people}
-    shared = spark.createDataFrame([("gab3", "h"), ("reddit4", "h")], "actor_id string, hash string")
-    assert ("gab3", "reddit4") in {tuple(r) for r in candidates_by_username(actors, hashes=shared, crowded=10).collect()}
+    shared = spark.createDataFrame([("gab003", "h"), ("reddit004", "h"), ("reddit007", "h"), ("gab003", "k"), ("reddit007", "k")], "actor_id string, hash string")
+    for hashes in (None, shared):
+        links, groups = idn.linked_accounts(actors, hashes)
+        every = idn.score_identity(idn.candidates_by_username(actors), actors, hashes)
+        found = [(r.actor_a, r.actor_b, r.confidence) for r in idn.expanded(links, groups).select("actor_a", "actor_b", "confidence").collect()]
+        want = [(r.actor_a, r.actor_b, r.confidence) for r in every.collect()]
+        assert sorted(found) == sorted(want) and 0 < len(want) < 40_000
+        sizes = links.select("accounts_a", "accounts_b").collect()
+        assert len(sizes) < 500 and sum(r.accounts_a * r.accounts_b for r in sizes) == len(want)
+    assert groups.filter("actor_id in ('t1', 't2')").isEmpty()
