@@ -12,6 +12,7 @@ copies to components; then only pairs of different components are left, and they
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,6 +144,26 @@ def _may_link(n: str, i: str, m: str, j: str, percent: int):
     return similar_size(n, m, percent) & (rest * (100 + percent) >= (F.col(n) + F.col(m)) * percent)
 
 
+def _early(n: str, i: str, percent: int):
+    """Whether place i of n is early. If two sets that may link meet first at places i and j, the shingles after are enough for both, so
+    i + j <= (n + m) (1 - t) / (1 + t), and one of the two is at most half of that; with m <= n / t it is at most n (1 - t) / 2 t."""
+    return F.col(i) * 2 * percent <= F.col(n) * (100 - percent)
+
+
+def _met(few: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Candidates a, b of different groups, few (x, m, j, g) against rest (node, n, i, group, main), by a shingle that may be their first
+    common one. Sizes are dealt to classes of ratio t, so that only texts of similar size come together."""
+    ratio = math.log(100 / percent)
+    size_class = lambda c: F.floor(F.log(F.col(c).cast("double")) / ratio).cast("int")
+    few = few.withColumn("early_x", _early("m", "j", percent)).withColumn("c", F.explode(F.array(*(size_class("m") + k for k in (-1, 0, 1)))))
+    rest = rest.withColumn("early", _early("n", "i", percent)).withColumn("c", size_class("n"))
+    # Both orders of a pair meet where neither is of the main group; one is enough.
+    once = (F.col("group") == F.col("main")) | (F.col("x") < F.col("node"))
+    apart = (F.col("g") != F.col("group")) & once & _may_link("n", "i", "m", "j", percent)
+    met = [few.filter(a).join(rest.filter(b), ["token", "c"]).filter(apart).select(*_pair("x", "node")) for a, b in (("early_x", "true"), ("not early_x", "early"))]
+    return met[0].union(met[1])
+
+
 def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose sets are similar enough: a, b."""
     side = lambda c: signatures.select(*(F.col(x).alias(f"{c}_{x}") for x in ("n", "second", "third")), F.col("node").alias(c))
@@ -237,15 +258,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     most = per.groupBy("token").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = cut_lineage(most.select("token", F.col("top.group").alias("main")))
     rest = cut_lineage(grouped.join(open_, "token"))
-    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("group").alias("g"))
-    # Both orders of a pair meet where neither is of the main group; one is enough.
-    once = (F.col("group") == F.col("main")) | (F.col("x") < F.col("node"))
-    crossed = few.join(rest, "token").filter((F.col("g") != F.col("group")) & once & similar_size("n", "m", percent))
-    # Common shingles are common in both prefixes, or beyond the prefix that ends first.
-    beyond = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in "nm"))
-    met = crossed.groupBy(*_pair("x", "node"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).agg(F.count("*").alias("c"))
-    met = met.filter((F.col("c") + beyond) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    pairs = cut_lineage(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("group").alias("g"))
+    # A pair may link by the first shingle both have, and there one of the two is early (see _early); so only early ones look for partners.
+    met = _met(few, rest, percent)
+    pairs = cut_lineage(met.distinct().join(tried, ["a", "b"], "left_anti"))
     links = links.union(_verified(pairs, signatures, docs, nodes, size, percent))
 
     joined = components(links).withColumnRenamed("node", "doc_id")
