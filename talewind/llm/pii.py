@@ -27,7 +27,8 @@ def _at_run(run: str) -> str:
 
 
 PATTERNS = {
-    "email": _at_run(_LOCAL) + _LOCAL + r"+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    # Possessive repeats match the same, as nothing follows, and don't recurse on addresses of many parts.
+    "email": _at_run(_LOCAL) + _LOCAL + r"+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": _at_run("[0-9]") + r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

@@ -73,3 +73,12 @@ def test_running_sums(spark):
     rows = spark.createDataFrame([([*range(n)],) for n in (1, 2, 255, 256, 257, 1000)], "v array<long>")
     for r in rows.select("v", pii.running_sums(F.col("v")).alias("s")).collect():
         assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
+
+
+def test_very_long_matches(spark):
+    """Addresses and numbers of very many parts neither recurse nor take long."""
+    texts = ["a@b" + ".c" * 100_000, "1" + " 2" * 50_000, "+1" + " 2" * 50_000 + "3", "1." * 2000 + "1"]
+    rows = {r.doc_id: r for r in pii.digest(pii.found_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert rows[0].n_email == 1 and "email:0:200003" in rows[0].spans
+    assert all(rows[i].n_email == 0 and rows[i].n_card == 0 and rows[i].n_phone == 0 for i in (1, 2))
+    assert rows[3].n_ip == 500
