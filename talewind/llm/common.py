@@ -15,6 +15,8 @@ from talewind.session import cut_lineage
 
 #: Bytes of text that one step of a Python task looks at; a single longer text is one step of its own.
 SLICE_BYTES = 2 << 20
+#: Anchors that are looked at together; each takes some KB.
+ANCHOR_ROWS = 1 << 13
 #: Words are runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -145,6 +147,15 @@ def anchors(values: np.ndarray, starts: np.ndarray, window: int, gram: int) -> t
     at = np.flatnonzero((best == hashes) & (hashes > 0))
     if not len(at):
         return none
+    # In pieces: each has tables of positions and distances, and in a run of one value every position is an anchor.
+    parts = [_owned(at[i : i + ANCHOR_ROWS], hashes, least, good, span) for i in range(0, len(at), ANCHOR_ROWS)]
+    owner, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at = at[owner]
+    return at, hashes[at], lo[owner], hi[owner]
+
+
+def _owned(at: np.ndarray, hashes: np.ndarray, least: np.ndarray, good: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each gram at ``at``: whether it owns a window, and the least and greatest distance from an owned window's start."""
     back = at[:, None] - np.arange(span)[None, :]
     inside = (back >= 0) & (back < len(least))
     back = np.clip(back, 0, len(least) - 1)
@@ -153,9 +164,7 @@ def anchors(values: np.ndarray, starts: np.ndarray, window: int, gram: int) -> t
     # No equal gram before it in the window.
     before = (hashes[np.maximum(at[:, None] - np.arange(1, span)[None, :], 0)] == own) & (np.arange(1, span)[None, :] <= at[:, None])
     chose[:, 1:] &= np.cumsum(before, axis=1) == 0
-    owner = chose.any(axis=1)
-    at, chose = at[owner], chose[owner]
-    return at, hashes[at], chose.argmax(1), span - 1 - chose[:, ::-1].argmax(1)
+    return chose.any(axis=1), chose.argmax(1), span - 1 - chose[:, ::-1].argmax(1)
 
 
 def repeated_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:

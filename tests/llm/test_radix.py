@@ -1,7 +1,11 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+
 from talewind.llm import radix
+from talewind.llm.common import anchors
 
 
 def brute(rows, window=200):
@@ -61,3 +65,15 @@ def test_odd_rows(spark, odd):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(radix.without_repeats(frame)) == brute(rows)
     assert radix.without_repeats(odd.limit(0)).count() == 0
+
+
+def test_runs_of_one_byte(spark):
+    rows = [(1, "=" * 2500), (2, "x" + "=" * 900 + "y"), (3, "=" * 150), (4, "-" * 700 + "q")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(radix.without_repeats(frame)) == brute(rows)
+    values = np.full(200_000, 7, np.uint64)
+    tracemalloc.start()
+    at, _, lo, hi = anchors(values, np.array([0, len(values)]), 200, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) == len(values) - 199 and not lo.any() and not hi.any() and peak < 150 << 20
