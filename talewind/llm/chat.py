@@ -53,6 +53,11 @@ MAPPINGS = (
     Mapping("question and answer", ("question", "answer"), turns=(("user", "question"), ("assistant", "answer"))),
     Mapping("instruction", ("instruction", "output"), turns=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction with input", ("instruction", "input", "output"), turns=(("user", "instruction"), ("user", "input"), ("assistant", "output")), skipped=("input",)),
+    Mapping("system and instruction", ("system", "instruction", "output"), turns=(("system", "system"), ("user", "instruction"), ("assistant", "output")), skipped=("system",)),
+    Mapping(
+        "system and instruction with input", ("system", "instruction", "input", "output"),
+        turns=(("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), skipped=("system", "input"),
+    ),
     Mapping("system, prompt and response", ("system", "prompt", "response"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response")), skipped=("system",)),
 )
 #: Names that other layouts give to the canonical roles.
@@ -68,14 +73,18 @@ def nested_paths(kind: DataType, at: str = "") -> list[str]:
 
 
 def mapping_for(kind: StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
-    """The mapping whose fingerprint equals that of the schema's paths. Paths that no mapping names are not looked at, so other
-    columns do no harm."""
-    known = {p for m in mappings for p in m.paths}
-    found = fingerprint_of(set(nested_paths(kind)) & known)
-    for m in mappings:
-        if m.fingerprint == found:
+    """The mapping whose fingerprint equals that of its own paths among the schema's. Other columns do no harm, also where they have
+    names of other mappings: the mapping of most paths is taken, of as many the first."""
+    found = set(nested_paths(kind))
+    for m in by_paths(mappings):
+        if m.fingerprint == fingerprint_of(found & set(m.paths)):
             return m
-    raise ValueError(f"no mapping for the layout {sorted(set(nested_paths(kind)) & known)}")
+    raise ValueError(f"no mapping for the layout {sorted(found)}")
+
+
+def by_paths(mappings: tuple[Mapping, ...]) -> list[Mapping]:
+    """Mappings of most paths first."""
+    return sorted(mappings, key=lambda m: -len(m.paths))
 
 
 def _canonical(role: Column) -> Column:
@@ -101,40 +110,37 @@ def _turns(m: Mapping, field) -> Column:
 
 
 def turns_of_table(df: DataFrame, id_column: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """conv_id and turns (array of turn, role, text) for each row of a table whose schema has a known layout."""
+    """conv_id and turns (array of turn, role, text) for each row of a table whose schema has a known layout; one that has none is
+    an error. A null role or text is empty, a null conv_id or turn stays null, a null array of turns stays null; an empty table
+    gives no rows. Other columns are not read."""
     m = mapping_for(df.schema, mappings)
     return df.select(F.col(id_column).cast("long").alias("conv_id"), _turns(m, F.col).alias("turns"))
 
 
 def turns_of_json(df: DataFrame, record: str = "record", id_column: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """conv_id, layout and turns for each JSON record, whatever its layout. An unknown layout has null for layout and turns."""
-    known = {p for m in mappings for p in m.paths}
-    arrays = sorted({p.split("[].")[0] for p in known if "[]." in p})
-    top = sorted(p for p in known if "[]." not in p)
+    """conv_id, layout and turns for each JSON record, whatever its layout. The keys of all elements of an array count, and keys that
+    the taken mapping does not name are passed over. Null and broken records and unknown layouts have null for layout and turns."""
+    arrays = sorted({p.split("[].")[0] for m in mappings for p in m.paths if "[]." in p})
     keys = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
-    inner = [
-        F.transform(
-            F.filter(keys(F.get_json_object(record, f"$.{a}[0]")), _among([p.split("[].")[1] for p in known if p.startswith(f"{a}[].")])),
-            _prefixed(f"{a}[]."),
-        )
-        for a in arrays
-    ]
-    paths = F.array_sort(F.concat(F.filter(keys(F.col(record)), _among(top)), *inner))
-    df = df.withColumn("_print", F.sha2(F.array_join(paths, "\n"), 256))
+    elements = lambda a: F.coalesce(F.from_json(F.get_json_object(record, f"$.{a}"), "array<string>"), F.array().cast("array<string>"))
+    inner = [F.transform(F.flatten(F.transform(elements(a), keys)), _prefixed(f"{a}[].")) for a in arrays]
+    rows = df.select(F.col(id_column).cast("long").alias("conv_id"), F.col(record).alias("record"), F.array_distinct(F.concat(keys(F.col(record)), *inner)).alias("paths"))
 
     def parsed(m: Mapping) -> Column:
         if m.each:
             kind = f"struct<{m.each}:array<struct<{m.role}:string,{m.text}:string>>>"
         else:
             kind = "struct<" + ",".join(f"{p}:string" for p in m.paths) + ">"
-        value = F.from_json(record, kind)
+        value = F.from_json("record", kind)
         return _turns(m, lambda name: value[name])
 
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    for m in mappings:
-        layout = F.when(F.col("_print") == m.fingerprint, F.lit(m.name)).otherwise(layout)
-        turns = F.when(F.col("_print") == m.fingerprint, parsed(m)).otherwise(turns)
-    return df.select(F.col(id_column).cast("long").alias("conv_id"), layout.alias("layout"), turns.alias("turns"))
+    # The last one put in front is tried first.
+    for m in reversed(by_paths(mappings)):
+        found = F.sha2(F.array_join(F.array_sort(F.filter("paths", _among(list(m.paths)))), "\n"), 256) == m.fingerprint
+        layout = F.when(found, F.lit(m.name)).otherwise(layout)
+        turns = F.when(found, parsed(m)).otherwise(turns)
+    return rows.select("conv_id", layout.alias("layout"), turns.alias("turns"))
 
 
 def _among(names: list[str]):
@@ -174,10 +180,11 @@ def formatted(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """conv_id, segments (array of text and loss, whose texts joined are the whole) and formatted, from rows of conv_id and turns.
 
     A conversation's turns may come in many rows; they are put in order of turn (null first), then role and text where turns
-    tie; repeated rows stay. Null roles and texts are empty; rows with a null conv_id are one conversation; no rows give none. A
+    tie; repeated rows stay. Null roles and texts are empty; rows with a null conv_id are one conversation; no rows give none.
+    Null turns (records of unknown layout) add none: a conversation of these alone is an empty string without segments. A
     conversation is one row of the result, so it is held by one task.
     """
-    each = turns.select("conv_id", F.explode("turns").alias("t"))
+    each = turns.select("conv_id", F.explode_outer("turns").alias("t"))
     rows = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
 
     def parts(t: Column) -> Column:

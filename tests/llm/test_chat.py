@@ -24,20 +24,28 @@ def test_layouts(spark):
         {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r", "w": 2}]},
         {"instruction": "do", "input": "", "output": "done"}, {"output": "done", "input": "x", "instruction": "do"},
         {"prompt": "p", "response": "r"}, {"system": "s", "prompt": "p", "response": "r"}, {"foo": 1}, {"messages": []},
+        {"system": "s", "instruction": "do", "output": "done", "id": 7}, {"prompt": "p", "response": "r", "question": "other"},
+        {"messages": [{"role": "user"}, {"role": "assistant", "content": "late"}]}, {"conversations": [{"from": "human"}]},
     ]
     want = [
         [("user", "a"), ("assistant", "")], [("user", "q"), ("assistant", "r")], [("user", "do"), ("assistant", "done")],
         [("user", "do"), ("user", "x"), ("assistant", "done")], [("user", "p"), ("assistant", "r")], [("system", "s"), ("user", "p"), ("assistant", "r")], None, None,
+        [("system", "s"), ("user", "do"), ("assistant", "done")], [("user", "p"), ("assistant", "r")], [("user", ""), ("assistant", "late")], None,
     ]
     frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(98, "no json"), (99, None)], "conv_id long, record string")
     rows = {r.conv_id: r for r in chat.turns_of_json(frame).collect()}
-    assert [rows[i].turns and [(t.role, t.text) for t in rows[i].turns] for i in range(8)] == want
+    assert [rows[i].turns and [(t.role, t.text) for t in rows[i].turns] for i in range(12)] == want
+    kept = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.turns_of_json(frame))).collect()}
+    # Records of unknown layout stay, as conversations without turns.
+    assert len(kept) == 14 and all(len(kept[i].turns) == len(want[i] or []) for i in range(12)) and kept[99].formatted == "" and kept[98].loss_text == ""
     assert rows[98].turns is None and rows[99].layout is None
 
 
 def test_table_layouts(spark):
     nested = spark.createDataFrame([(1, [("human", "hi"), ("gpt", "yo")])], "conv_id long, conversations array<struct<from:string,value:string>>")
     assert [t.role for t in chat.turns_of_table(nested).first().turns] == ["user", "assistant"]
+    wide = spark.createDataFrame([(1, 2, "user", "x", "s", "i", "p", "a")], "conv_id long, turn long, role string, text string, system string, input string, prompt string, answer string")
+    assert [tuple(t) for t in chat.turns_of_table(wide).first().turns] == [(2, "user", "x")]
     with pytest.raises(ValueError, match="no mapping"):
         chat.turns_of_table(spark.range(1).withColumnRenamed("id", "conv_id"))
 
