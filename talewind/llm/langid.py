@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talewind.llm.common import filled, prepare, raw_bytes, slices
+from talewind.session import cut_lineage
 
 DIMENSIONS = 2048
 #: The classifier is fitted on at most about so many labelled rows, as many of each language; everything else reads all rows.
 SAMPLE = 8000
-#: Machines grow with the square of a family's languages; with so many, all machines take at most 20 MB.
-MOST_LANGUAGES = 64
+#: Machines of one versus one grow with the square of their classes; more classes than so many are first parted in halves.
+MOST_CLASSES = 64
 ROWS = 256
 # Families of languages by their ISO 639-1 codes. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -97,12 +98,42 @@ class OneVersusOne:
         return best, 1 / (1 + np.exp(-2 * np.clip(least[np.arange(len(x)), best], -20, 20)))
 
 
+class Halves:
+    """Very many classes: a machine tells one half from the other, parted by the main direction of the classes' means."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.classes = sorted(set(y.tolist()))
+        code = np.searchsorted(np.array(self.classes, dtype=object), y)
+        means = np.array([x[code == c].mean(0) for c in range(len(self.classes))], np.float64)
+        main = np.linalg.svd(means - means.mean(0), full_matrices=False)[2][0]
+        order = np.argsort(means @ main, kind="stable")
+        self.halves = [np.sort(order[: len(order) // 2]), np.sort(order[len(order) // 2 :])]
+        side = np.isin(code, self.halves[1]).astype(int)
+        self.side = OneVersusOne(x, side)
+        self.within = [machines(x[side == s], y[side == s]) for s in (0, 1)]
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        side, sure = self.side(x)
+        best = np.zeros(len(x), np.int64)
+        for s, half in enumerate(self.halves):
+            own = np.flatnonzero(side == s)
+            if len(own):
+                inner, more = self.within[s](x[own])
+                best[own] = half[inner]
+                sure[own] *= more
+        return best, sure
+
+
+def machines(x: np.ndarray, y: np.ndarray) -> OneVersusOne | Halves:
+    return OneVersusOne(x, y) if len(set(y.tolist())) <= MOST_CLASSES else Halves(x, y)
+
+
 class Hierarchy:
     def __init__(self, x: np.ndarray, langs: np.ndarray, family_of: dict[str, str] | None = None):
         known = FAMILY_OF if family_of is None else family_of
         families = np.array([known.get(lang, f"={lang}") for lang in langs.tolist()], dtype=object)
-        self.top = OneVersusOne(x, families)
-        self.within = [OneVersusOne(x[families == f], langs[families == f]) for f in self.top.classes]
+        self.top = machines(x, families)
+        self.within = [machines(x[families == f], langs[families == f]) for f in self.top.classes]
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         family, sure = self.top(x)
@@ -121,15 +152,16 @@ def fold(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, family_of: dict[str, str] | None = None) -> Hierarchy | None:
-    """A hierarchy learned from the rows with a language outside the held-out fold, or None if there are none."""
+    """A hierarchy learned from the rows with a language outside the held-out fold, or None if there are none.
+
+    Any number of languages is learned, as long as some of their rows are drawn: about ``sample`` rows, as many of each."""
     given = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0)).select("doc_id", "text", "lang")
-    counts = dict(given.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
-    if not counts:
+    counts = cut_lineage(given.groupBy("lang").agg(F.count("*").alias("_of")))
+    languages = counts.count()
+    if not languages:
         return None
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(int((1 << 30) * min(1, sample / len(counts) / n)))) for k, n in counts.items()))
+    share = F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(sample / languages) / F.col("_of"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -142,7 +174,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, family_of: dict[str, str] | None
         order = np.lexsort((x.sum(1), x[:, :64].sum(1), langs.astype(str)))
         return pa.table({"model": pa.array([pickle.dumps(Hierarchy(x[order], langs[order], family_of))], pa.binary())})
 
-    rows = given.filter(draw < share).mapInArrow(read, "lang string, x binary")
+    drawn = given.join(counts, "lang").filter(draw < share).select("text", "lang")
+    rows = drawn.mapInArrow(read, "lang string, x binary")
     # One group of about ``sample`` rows of 4 KB.
     model = rows.groupBy(F.lit(0).alias("_g")).applyInArrow(lambda table: learn(table), "model binary").first()
     return pickle.loads(model[0]) if model else None

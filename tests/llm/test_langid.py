@@ -43,3 +43,19 @@ def test_features_stay_within_a_text():
     x = langid.features(pa.array(["ab", "cd", "", None, "abcd"]))
     assert not x[2].any() and not x[3].any() and not x[0].any()
     assert np.allclose(langid.features(pa.array(["abcd"]))[0], x[4])
+
+
+def test_more_languages_than_machines_of_one_versus_one(spark, monkeypatch):
+    # Each language has words of its own; with so few classes allowed at once, families and languages are parted in halves.
+    rng, rows = np.random.default_rng(2), []
+    for lang in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(6)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 10)), f"x{lang:02}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = {r.doc_id: r.lang_pred for r in langid.predicted(frame).collect()}
+    assert len(found) == len(rows) and np.mean([found[i] == lang for i, _, lang in rows]) > 0.9
+    monkeypatch.setattr(langid, "MOST_CLASSES", 3)
+    texts, langs = pa.array([t for _, t, _ in rows[:200]]), np.array([x for _, _, x in rows[:200]], dtype=object)
+    model = langid.Hierarchy(langid.features(texts), langs, {x: "one" for x in set(langs)})
+    best, sure = model(langid.features(texts))
+    assert isinstance(model.within[0], langid.Halves) and np.mean(best == langs) > 0.9 and ((0 <= sure) & (sure <= 1)).all()
