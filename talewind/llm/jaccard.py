@@ -30,7 +30,9 @@ SHINGLE, PERCENT = 5, 75
 PER_DOC, MOST, BLOCK = 16, 1 << 24, 1 << 12
 #: Two rounds of deals into groups of frequent shingles: seeds, and how many nodes have such a shingle; pivots a group.
 DEALS, PIVOTS = ((range(1), 4), (range(2, 6), 32)), 8
-_SECOND, _THIRD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_SECOND, _THIRD, _FOURTH = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: 256 bits of a set: whether an even or odd number of its shingles falls on each place.
+PARITY = ("p0", "p1", "p2", "p3")
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -100,13 +102,13 @@ def _of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _signatures(texts: DataFrame, counters: np.ndarray, size: int, percent: int) -> DataFrame:
-    """node, n, first (the prefix under the first order), second and third (order values of those prefixes, 32 bits, sorted)."""
+    """node, n, first (the prefix under the first order), second and third (order values of those prefixes, 32 bits, sorted), parity."""
     shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
         for batch in slices(batches):
-            rows = ([], [], [], [], [])
+            rows = tuple([] for _ in range(9))
             for doc, key, own in zip(batch.column("doc_id").to_pylist(), batch.column("set_key").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
                 if not len(own) or _key(own) != key:
                     continue
@@ -114,13 +116,26 @@ def _signatures(texts: DataFrame, counters: np.ndarray, size: int, percent: int)
                 first = own[np.argsort(low | (own >> np.uint64(6)), kind="stable")[:k]]
                 second = np.sort(low | (mixed(own * _SECOND) >> np.uint64(6)))[:k]
                 third = np.sort(mixed(own * _THIRD))[:k]
-                made = (doc, len(own), first.view(np.int64), *((x >> np.uint64(32)).astype("<u4").tobytes() for x in (second, third)))
+                made = (doc, len(own), first.view(np.int64), *((x >> np.uint64(32)).astype("<u4").tobytes() for x in (second, third)), *_parity(own))
                 for to, x in zip(rows, made, strict=True):
                     to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["node", "n", "first", "second", "third"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["node", "n", "first", "second", "third", *PARITY])
 
-    return cut_lineage(texts.mapInArrow(read, "node long, n long, first array<long>, second binary, third binary"))
+    kinds = ", ".join(f"{p} long" for p in PARITY)
+    return cut_lineage(texts.mapInArrow(read, f"node long, n long, first array<long>, second binary, third binary, {kinds}"))
+
+
+def _parity(own: np.ndarray) -> list[int]:
+    odd = np.bincount((mixed(own * _FOURTH) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_be_alike(n: str, m: str, percent: int):
+    """Whether sets of n and m shingles with parities p0.. and q0.. can be similar enough: of two that are, at most
+    (n + m) (1 - t) / (1 + t) shingles are in one alone, and a place whose parities differ has at least one of those."""
+    differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p[1:]}"))) for p in PARITY), F.lit(0))
+    return differ * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
 
 
 def _reach(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> int:
@@ -151,15 +166,15 @@ def _early(n: str, i: str, percent: int):
 
 
 def _met(few: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
-    """Candidates a, b of different groups, few (x, m, j, g) against rest (node, n, i, group, main), by a shingle that may be their first
-    common one. Sizes are dealt to classes of ratio t, so that only texts of similar size come together."""
+    """Candidates a, b of different groups, few (x, m, j, g, q0..) against rest (node, n, i, group, main, p0..), by a shingle that may be
+    their first common one. Sizes are dealt to classes of ratio t, so that only texts of similar size come together."""
     ratio = math.log(100 / percent)
     size_class = lambda c: F.floor(F.log(F.col(c).cast("double")) / ratio).cast("int")
     few = few.withColumn("early_x", _early("m", "j", percent)).withColumn("c", F.explode(F.array(*(size_class("m") + k for k in (-1, 0, 1)))))
     rest = rest.withColumn("early", _early("n", "i", percent)).withColumn("c", size_class("n"))
     # Both orders of a pair meet where neither is of the main group; one is enough.
     once = (F.col("group") == F.col("main")) | (F.col("x") < F.col("node"))
-    apart = (F.col("g") != F.col("group")) & once & _may_link("n", "i", "m", "j", percent)
+    apart = (F.col("g") != F.col("group")) & once & _may_link("n", "i", "m", "j", percent) & _may_be_alike("n", "m", percent)
     met = [few.filter(a).join(rest.filter(b), ["token", "c"]).filter(apart).select(*_pair("x", "node")) for a, b in (("early_x", "true"), ("not early_x", "early"))]
     return met[0].union(met[1])
 
@@ -253,12 +268,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     # Then all pairs that the components so far leave open.
     found = components(links).withColumnRenamed("component", "group")
-    grouped = cut_lineage(postings.drop("_n").join(found, "node", "left").withColumn("group", F.coalesce("group", "node")))
+    of_node = signatures.select("node", *PARITY).join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    grouped = cut_lineage(postings.drop("_n").join(of_node, "node"))
     per = cut_lineage(grouped.groupBy("token", "group").agg(F.count("*").alias("k")))
     most = per.groupBy("token").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
     open_ = cut_lineage(most.select("token", F.col("top.group").alias("main")))
     rest = cut_lineage(grouped.join(open_, "token"))
-    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("group").alias("g"))
+    few = rest.filter("group <> main").select("token", F.col("node").alias("x"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("group").alias("g"), *(F.col(p).alias(f"q{p[1:]}") for p in PARITY))
     # A pair may link by the first shingle both have, and there one of the two is early (see _early); so only early ones look for partners.
     met = _met(few, rest, percent)
     pairs = cut_lineage(met.distinct().join(tried, ["a", "b"], "left_anti"))

@@ -78,6 +78,23 @@ def test_reach_is_a_bound():
         assert jaccard._reach(*k, len(a), len(b)) >= len(np.intersect1d(a, b))
 
 
+def test_parities_differ_little_for_similar_sets(spark):
+    rng, rows = np.random.default_rng(4), []
+    for n in (1, 2, 7, 40, 300, 2000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, len(a) // 4 + 1)], rng.integers(0, 2**63, rng.integers(0, n // 4 + 1), dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            rows.append((len(a), len(b), 100 * common >= 75 * (len(a) + len(b) - common), *jaccard._parity(a), *jaccard._parity(b)))
+        c = rng.integers(0, 2**63, n, dtype=np.uint64)
+        rows.append((len(a), n, None, *jaccard._parity(a), *jaccard._parity(c)))
+    names = "n long, m long, alike boolean, " + ", ".join(f"{x}{k} long" for x in "pq" for k in range(4))
+    told = spark.createDataFrame(rows, names).select("n", "alike", jaccard._may_be_alike("n", "m", 75).alias("may")).collect()
+    assert all(r.may for r in told if r.alike) and sum(bool(r.alike) for r in told) > 40
+    # Sets with nothing in common are told apart while 256 bits are enough.
+    assert not any(r.may for r in told if r.alike is None and 2 < r.n <= 300)
+
+
 def test_short_sequences_differ_from_shingles():
     sets = jaccard.shingle_sets(pa.array(["a b c d e", "a b c d", "A  b\tc d", None, "b a c d"]))
     assert [len(x) for x in sets] == [1, 1, 1, 0, 1]
