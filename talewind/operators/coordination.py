@@ -252,6 +252,15 @@ def star_topology(
     return out if limit is None else out.orderBy(F.desc("confidence"), F.desc("repost_count"), "hub").limit(limit)
 
 
+def star_accounts(edges: DataFrame, stars: DataFrame, repost_type: str = "REPOSTED") -> DataFrame:
+    """All accounts of each star: hub, actor_id, role (hub or leaf). ``edges`` are the merged edges that ``stars`` were found in."""
+    hubs = stars.select("hub").distinct()
+    reposts = edges.filter((F.col("edge_type") == repost_type) & (F.col("src") != F.col("dst")))
+    leaves = reposts.select(F.col("dst").alias("hub"), F.col("src").alias("actor_id")).distinct().join(hubs, "hub", "left_semi")
+    centres = hubs.select("hub", F.col("hub").alias("actor_id"), F.lit("hub").alias("role"))
+    return leaves.withColumn("role", F.lit("leaf")).unionByName(centres)
+
+
 # --- signal tables ----------------------------------------------------------------------------------------------------
 
 def as_signals(
@@ -271,6 +280,12 @@ def as_signals(
     )
 
 
+def as_signal_accounts(df: DataFrame, signal_type: str, key: Sequence[str], actor: str = "actor_id") -> DataFrame:
+    """Accounts of signals as rows: signal_id, actor_id. ``df`` has a row for each account, with the key columns that
+    ``as_signals`` made the signal's id from."""
+    return df.select(row_key(F.lit(signal_type), *key).alias("signal_id"), F.col(actor).alias("actor_id")).distinct()
+
+
 def recent_signals(signals: DataFrame, as_of: AsOf, hours: int = 48) -> DataFrame:
     return signals.filter(since("detected_at", as_of, hours=hours) & (F.col("detected_at") <= instant(as_of)))
 

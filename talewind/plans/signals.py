@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talewind.operators import coordination as co
-from talewind.operators.components import coordination_clusters
+from talewind.operators.components import cluster_narratives, cluster_signals, coordination_clusters
 from talewind.operators.graph_build import merge_edges
 from talewind.plans.catalog import query
 from talewind.plans.tables import (
@@ -332,3 +332,41 @@ def tagged(spark, sf_dir):
 def alerts(spark, sf_dir):
     found, _ = _clusters(spark, sf_dir)
     return co.cluster_alerts(found, 0.45).select("cluster_id", "confidence", "account_count", "severity")
+
+
+@query(
+    "star_accounts",
+    f"""WITH {MERGED_EDGES}, {STARS}
+    SELECT hub, leaf AS actor_id, 'leaf' AS role FROM (SELECT DISTINCT hub, leaf FROM leaves) JOIN (SELECT hub FROM stars) USING (hub)
+    UNION ALL SELECT hub, hub, 'hub' FROM stars""",
+)
+def star_accounts(spark, sf_dir):
+    edges = merge_edges(interactions(spark, sf_dir))
+    return co.star_accounts(edges, co.star_topology(edges))
+
+
+def _contents(spark, sf_dir):
+    signals, accounts_of = _signal_tables(spark, sf_dir)
+    _, members = _clusters(spark, sf_dir)
+    return cluster_signals(signals, accounts_of, members)
+
+
+CONTENTS = """
+contents AS (
+  SELECT DISTINCT cluster_id, signal_id, narrative_id, round(s.confidence, 9) AS confidence
+  FROM se JOIN members ON u = actor_id JOIN clusters c USING (component) JOIN signals s USING (signal_id))"""
+
+
+@query("cluster_signals", f"WITH {PAIR_WEIGHTS}, {USER_ACTORS}, {SIGNALS}, {CLUSTERS}, {CONTENTS} SELECT * FROM contents")
+def signals_of_clusters(spark, sf_dir):
+    found = _contents(spark, sf_dir)
+    return found.select("cluster_id", "signal_id", "narrative_id", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    "cluster_narratives",
+    f"""WITH {PAIR_WEIGHTS}, {USER_ACTORS}, {SIGNALS}, {CLUSTERS}, {CONTENTS}
+    SELECT cluster_id, narrative_id, count(*) AS signal_count FROM contents WHERE narrative_id IS NOT NULL GROUP BY ALL""",
+)
+def narratives_of_clusters(spark, sf_dir):
+    return cluster_narratives(_contents(spark, sf_dir)).select("cluster_id", "narrative_id", "signal_count")
