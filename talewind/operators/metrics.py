@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talewind.functions.times import AsOf, bucket, instant, micros, since
+from talewind.functions.times import AsOf, bucket, instant, since
 from talewind.operators.skew import top_per_group
 
 # Counter families summed per platform; seconds per counter grain.
@@ -54,26 +54,30 @@ def timer_recent(events: DataFrame, keys: Sequence[str] = ("name",), n: int = TI
     return top_per_group(events, list(keys), [F.desc("ts"), F.desc(tie)], n)
 
 
+def _last(as_of: AsOf, n: int, seconds: int) -> Column:
+    """``ts`` lies in the running minute or hour (of ``seconds``) or the n - 1 before it: plain bounds, so that a scan can skip files."""
+    start = bucket(instant(as_of), seconds)
+    return (F.col("ts") >= F.timestamp_seconds(start - (n - 1) * seconds)) & (F.col("ts") < F.timestamp_seconds(start + seconds))
+
+
 def rate_per_minute(events: DataFrame, as_of: AsOf, keys: Sequence[str] = ("name",), value: str = "value") -> DataFrame:
     """Mean per minute over the running minute and the four before it."""
-    minute = F.floor(micros("ts") / 60_000_000)
-    now = F.floor(micros(instant(as_of)) / 60_000_000)
-    recent = events.filter((minute <= now) & (minute > now - RATE_MINUTES))
+    recent = events.filter(_last(as_of, RATE_MINUTES, 60))
     return recent.groupBy(*keys).agg((F.sum(value) / float(RATE_MINUTES)).alias("per_minute"))
 
 
-def hourly_counts(events: DataFrame, as_of: AsOf, hours: int = 24, keys: Sequence[str] = ("name",), value: str = "value") -> DataFrame:
-    """Zero-filled hour series per key: ``hour_offset`` (0, -1, ...), ``hour`` (epoch seconds), ``total``."""
+def hourly_counts(
+    events: DataFrame, as_of: AsOf, hours: int = 24, keys: Sequence[str] = ("name",), value: str = "value", names: DataFrame | None = None,
+) -> DataFrame:
+    """Zero-filled hour series per key: ``hour_offset`` (0, -1, ...), ``hour`` (epoch seconds), ``total``.
+
+    Keys without recent events get their zeros too: those of ``names`` (such as totals of a roll-up), else all of ``events``.
+    """
     now = bucket(instant(as_of), 3600)
-    hour = bucket("ts", 3600)
-    # The hour filter reaches the scan as a plain time range; keys without recent events still get their zeros.
-    counted = (
-        events.filter((hour <= now) & (hour > now - hours * 3600))
-        .groupBy(*keys, hour.alias("hour")).agg(F.sum(value).alias("_n"))
-    )
+    counted = events.filter(_last(as_of, hours, 3600)).groupBy(*keys, bucket("ts", 3600).alias("hour")).agg(F.sum(value).alias("_n"))
     offsets = F.explode(F.sequence(F.lit(0), F.lit(hours - 1)))
     grid = (
-        events.select(*keys).distinct().withColumn("_o", offsets)
+        (events if names is None else names).select(*keys).distinct().withColumn("_o", offsets)
         .select(*keys, (-F.col("_o")).alias("hour_offset"), (now - F.col("_o") * 3600).alias("hour"))
     )
     return grid.join(counted, [*keys, "hour"], "left").select(
@@ -95,16 +99,24 @@ def _sum_if(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
-def source_health(ingested: DataFrame, as_of: AsOf) -> DataFrame:
+def _with_totals(ingested: DataFrame, totals: DataFrame | None) -> tuple[DataFrame, Column]:
+    """Rows to sum and which of them make up totals: without ``totals`` all, else those, which have no time."""
+    if totals is None:
+        return ingested, F.lit(True)
+    untimed = totals.select("platform", "family", "n", F.lit(None).cast("timestamp").alias("ts"))
+    return ingested.select("platform", "family", "n", "ts").unionByName(untimed), F.col("ts").isNull()
+
+
+def source_health(ingested: DataFrame, as_of: AsOf, totals: DataFrame | None = None) -> DataFrame:
     """One row per platform. ``ingested``: platform, family, n, ts, where family is one of posts, comments, articles,
     errors, pauses. Grey without records, red on more than 10 errors or no recent records, yellow on any error or
-    more than 5 pauses, else green. One pass: all figures are conditional sums."""
+    more than 5 pauses, else green. One pass: all figures are conditional sums. With ``totals`` (platform, family, n) of all
+    time, ``ingested`` needs only hold the day and the last minutes."""
     records = F.col("family").isin(*FAMILIES)
-    minute = F.floor(micros("ts") / 60_000_000)
-    now = F.floor(micros(instant(as_of)) / 60_000_000)
-    recent = (minute <= now) & (minute > now - RATE_MINUTES)
-    figures = ingested.groupBy("platform").agg(
-        _sum_if(records).alias("records_total"),
+    recent = _last(as_of, RATE_MINUTES, 60)
+    rows, whole = _with_totals(ingested, totals)
+    figures = rows.groupBy("platform").agg(
+        _sum_if(records & whole).alias("records_total"),
         _sum_if(records & _today(as_of)).alias("records_today"),
         (_sum_if(records & recent) / float(RATE_MINUTES)).alias("records_per_minute"),
         _sum_if((F.col("family") == "errors") & _today(as_of)).alias("errors_today"),
@@ -130,20 +142,21 @@ def source_overview(health: DataFrame) -> DataFrame:
     )
 
 
-def ingestion_rate(ingested: DataFrame, as_of: AsOf, hours: int = 24) -> DataFrame:
-    """Zero-filled hour series per platform, the three families summed."""
+def ingestion_rate(ingested: DataFrame, as_of: AsOf, hours: int = 24, totals: DataFrame | None = None) -> DataFrame:
+    """Zero-filled hour series per platform, the three families summed. ``totals``: see source_health."""
     records = ingested.filter(F.col("family").isin(*FAMILIES))
-    return hourly_counts(records, as_of, hours, keys=["platform"], value="n")
+    names = None if totals is None else totals.filter(F.col("family").isin(*FAMILIES))
+    return hourly_counts(records, as_of, hours, keys=["platform"], value="n", names=names)
 
 
-def source_detail(ingested: DataFrame, platform: str, as_of: AsOf) -> DataFrame:
-    own = ingested.filter(F.col("platform") == platform)
-    totals = [_sum_if(F.col("family") == family).alias(f"total_{family}") for family in FAMILIES]
-    minute = F.floor(micros("ts") / 60_000_000)
-    now = F.floor(micros(instant(as_of)) / 60_000_000)
-    recent = (minute <= now) & (minute > now - RATE_MINUTES) & F.col("family").isin(*FAMILIES)
+def source_detail(ingested: DataFrame, platform: str, as_of: AsOf, totals: DataFrame | None = None) -> DataFrame:
+    """Figures of one platform. ``totals``: see source_health."""
+    rows, whole = _with_totals(ingested, totals)
+    own = rows.filter(F.col("platform") == platform)
+    sums = [_sum_if((F.col("family") == family) & whole).alias(f"total_{family}") for family in FAMILIES]
+    recent = _last(as_of, RATE_MINUTES, 60) & F.col("family").isin(*FAMILIES)
     return own.groupBy("platform").agg(
-        *totals,
+        *sums,
         _sum_if((F.col("family") == "errors") & _today(as_of)).alias("errors_today"),
         F.round(_sum_if(recent) / float(RATE_MINUTES), 1).alias("records_per_minute"),
     )

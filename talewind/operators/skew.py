@@ -3,7 +3,7 @@
 Three shapes are covered:
 
 * ``top_per_group``    - ranking with a bound k: reduced to k rows per key before the final shuffle.
-* ``with_previous`` / ``running_sum`` - ordered logic over *all* rows of a key: every key is cut into time slices of
+* ``with_previous`` / ``with_last_two`` / ``running_sum`` - ordered logic over *all* rows of a key: every key is cut into time slices of
   one width, each slice is one window partition, and only one summary row per slice is carried across. The input is
   written once, whatever its size.
 * ``split_hot``        - equi-joins repeated in a loop, where adaptive skew handling does not reach.
@@ -40,9 +40,10 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
 
-def _sliced(df: DataFrame, ts: str, width: int) -> DataFrame:
+def _sliced(df: DataFrame, ts: str, width: int, written: bool = True) -> DataFrame:
     """``df`` written once, with ``_slice``: the number of the time slice of ``width`` that ``ts`` is in."""
-    return cut_lineage(df.withColumn("_slice", F.floor(F.col(ts) / width).cast("long")))
+    sliced = df.withColumn("_slice", F.floor(F.col(ts) / width).cast("long"))
+    return cut_lineage(sliced) if written else sliced
 
 
 def with_previous(
@@ -67,12 +68,34 @@ def with_previous(
     return out.drop("_pack", "_before", "_carried", "_slice")
 
 
+def with_last_two(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], columns: Sequence[str], width: int = SLICE) -> DataFrame:
+    """``columns`` of the two rows before, as structs ``_one`` (just before) and ``_two``, null where there are none. See with_previous.
+
+    A slice hands on its last two rows; where it holds a single one, the second comes from the slice before.
+    """
+    keys, order = list(keys), list(order)
+    rows = _sliced(df, ts, width)
+    pack, w = F.struct(*columns), Window.partitionBy(*keys, "_slice").orderBy(*order)
+    lagged = rows.withColumn("_one", F.lag(pack).over(w)).withColumn("_two", F.lag(pack, 2).over(w))
+    tail = F.struct(pack.alias("last"), F.col("_one").alias("earlier"))
+    tails = lagged.groupBy(*keys, "_slice").agg(F.max_by(tail, F.struct(*order)).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy("_slice")
+    carried = tails.select(*keys, "_slice", F.lag("_tail").over(before).alias("_near"), F.lag("_tail", 2).over(before).alias("_far"))
+    out = lagged.join(carried, [*keys, "_slice"], "left")
+    first = F.col("_one").isNull()
+    two = F.when(first, F.coalesce("_near.earlier", "_far.last")).otherwise(F.coalesce("_two", "_near.last"))
+    return out.withColumn("_two", two).withColumn("_one", F.coalesce("_one", "_near.last")).drop("_near", "_far", "_slice")
+
+
 def running_sum(
-    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], sums: dict[str, str], width: int = SLICE
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], sums: dict[str, str], width: int = SLICE, written: bool = True
 ) -> DataFrame:
-    """Running totals per key up to and including the row. ``sums`` maps new column -> source column. See with_previous."""
+    """Running totals per key up to and including the row. ``sums`` maps new column -> source column. See with_previous.
+
+    ``written``: false where reading the input twice costs less than writing it (a few columns of stored rows).
+    """
     keys, order = list(keys), list(order)
-    rows = _sliced(df, ts, width)
+    rows = _sliced(df, ts, width, written)
     w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.select("*", *[F.sum(src).over(w).alias(out) for out, src in sums.items()])
     totals = rows.groupBy(*keys, "_slice").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])

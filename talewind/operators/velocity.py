@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talewind.functions.times import AsOf, bucket, instant, micros
-from talewind.operators.skew import running_sum, with_previous
+from talewind.operators.skew import running_sum, with_last_two
 
 # Seconds after posting at which counters are read again.
 SNAPSHOT_SECONDS = (300, 900, 3600, 21600, 86400, 259200)
@@ -36,17 +36,21 @@ def engagement_velocity(snapshots: DataFrame) -> DataFrame:
 
     ``snapshots``: content_id, ts, likes, replies. The first snapshot and those at a zero distance give no row.
     """
-    timed = snapshots.withColumn("_us", micros("ts"))
+    timed = snapshots.select("content_id", "ts", "likes", "replies", micros("ts").alias("_us"))
     order = ["_us", "likes", "replies"]
-    one = with_previous(timed, ["content_id"], "_us", order, {"_us1": "_us", "_likes1": "likes", "_replies1": "replies"})
-    hours = (F.col("_us") - F.col("_us1")) / 3_600_000_000
-    one = one.withColumn("_hours", hours).withColumn(
-        "likes_per_hour", F.when(hours != 0, (F.col("likes") - F.col("_likes1")) / hours)
-    ).withColumn("replies_per_hour", F.when(hours != 0, (F.col("replies") - F.col("_replies1")) / hours))
-    two = with_previous(one, ["content_id"], "_us", order, {"_earlier": "likes_per_hour"})
-    acceleration = (F.col("likes_per_hour") - F.col("_earlier")) / F.col("_hours")
-    return two.filter(F.col("likes_per_hour").isNotNull()).select(
-        "content_id", "ts", "likes_per_hour", "replies_per_hour", acceleration.alias("acceleration")
+    both = with_last_two(timed, ["content_id"], "_us", order, order)
+
+    def hours(later: str, earlier: str):
+        return (F.col(f"{later}_us") - F.col(f"{earlier}_us")) / 3_600_000_000
+
+    def rate(name: str, later: str, earlier: str):
+        return F.when(hours(later, earlier) != 0, (F.col(f"{later}{name}") - F.col(f"{earlier}{name}")) / hours(later, earlier))
+
+    likes = rate("likes", "", "_one.")
+    acceleration = (likes - rate("likes", "_one.", "_two.")) / hours("", "_one.")
+    return both.filter(likes.isNotNull()).select(
+        "content_id", "ts", likes.alias("likes_per_hour"), rate("replies", "", "_one.").alias("replies_per_hour"),
+        acceleration.alias("acceleration"),
     )
 
 
@@ -68,11 +72,14 @@ def edit_wars(edits: DataFrame, min_edits: int = WAR_EDITS, min_reverts: int = W
 
     ``edits``: title, edit_id, ts, is_revert.
     """
-    flagged = edits.withColumn("hour", bucket("ts", 3600)).withColumn("_us", micros("ts")).withColumn(
-        "_one", F.lit(1)
-    ).withColumn("_revert", F.when(F.col("is_revert"), 1).otherwise(0))
+    flagged = edits.select(
+        "title", "edit_id", "ts", "is_revert", bucket("ts", 3600).alias("hour"), micros("ts").alias("_us"), F.lit(1).alias("_one"),
+        F.when(F.col("is_revert"), 1).otherwise(0).alias("_revert"),
+    )
+    # An hour's edits are cut by the minute; the sums of minutes read the edits once more.
     counted = running_sum(
-        flagged, ["title", "hour"], "_us", ["_us", "edit_id"], {"hourly_edits": "_one", "hourly_reverts": "_revert"}
+        flagged, ["title", "hour"], "_us", ["_us", "edit_id"], {"hourly_edits": "_one", "hourly_reverts": "_revert"},
+        width=60_000_000, written=False,
     )
     war = F.col("is_revert") & (F.col("hourly_edits") >= min_edits) & (F.col("hourly_reverts") >= min_reverts)
     return counted.filter(war).select("title", "hour", "edit_id", "ts", "hourly_edits", "hourly_reverts")

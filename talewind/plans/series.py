@@ -8,9 +8,11 @@ from talewind.functions.times import micros
 from talewind.operators import engagement as en
 from talewind.operators import metrics as me
 from talewind.operators import migration as mi
+from talewind.operators import rollups as ro
 from talewind.operators import velocity as ve
 from talewind.plans.catalog import query
 from talewind.plans.tables import HALF, INGESTED, NOW, POSTS, ingested, posts, table, topic_posts
+from talewind.session import new_folder
 
 # A moment with busy minutes before it, for the queries about the last minutes.
 BUSY = "2024-01-15 12:00:00"
@@ -427,3 +429,52 @@ def edit_wars(spark, sf_dir):
         (F.col("value") > 30).alias("is_revert"),
     )
     return ve.edit_wars(edits, 5, 2).drop("ts")
+
+
+# --- the dashboards from a roll-up ------------------------------------------------------------------------------------
+
+def _stored(spark, sf_dir):
+    """A roll-up of all ingestion counters in a folder of its own: rows of the last day, totals."""
+    path = new_folder(spark)
+    ro.write_days(ingested(spark, sf_dir), path, ["platform", "family"])
+    return ro.recent(spark, path, BUSY), ro.totals(spark, path)
+
+
+# Minutes are the least that a roll-up knows: the running one counts as a whole.
+BY_MINUTE = f"ts < TIMESTAMP '{BUSY}' + INTERVAL 1 MINUTE"
+
+
+@query("rollup_source_health", f"WITH {INGESTED}, {HEALTH} SELECT * FROM rated".replace(f"ts <= TIMESTAMP '{BUSY}'", BY_MINUTE))
+def rollup_source_health(spark, sf_dir):
+    rows, totals = _stored(spark, sf_dir)
+    return me.source_health(rows, BUSY, totals)
+
+
+@query(
+    "rollup_ingestion_rate",
+    f"""WITH {INGESTED}, r AS (SELECT * FROM ingested WHERE family IN ('posts', 'comments', 'articles')),
+    names AS (SELECT DISTINCT platform FROM r), o AS (SELECT unnest(range(24)) AS o),
+    c AS (SELECT platform, (epoch_us(ts) // 3600000000) * 3600 AS hour, count(*) AS n FROM r WHERE {BY_MINUTE} GROUP BY ALL)
+    SELECT n.platform, -o AS hour_offset, (epoch_us(TIMESTAMP '{BUSY}') // 3600000000 - o) * 3600 AS hour, coalesce(c.n, 0) AS total
+    FROM names n CROSS JOIN o LEFT JOIN c
+      ON c.platform = n.platform AND c.hour = (epoch_us(TIMESTAMP '{BUSY}') // 3600000000 - o) * 3600""",
+)
+def rollup_ingestion_rate(spark, sf_dir):
+    rows, totals = _stored(spark, sf_dir)
+    found = me.ingestion_rate(rows, BUSY, totals=totals)
+    return found.withColumn("hour_offset", F.col("hour_offset").cast("long"))
+
+
+@query(
+    "rollup_source_detail",
+    f"""WITH {INGESTED}
+    SELECT platform, count(*) FILTER (family = 'posts') AS total_posts, count(*) FILTER (family = 'comments') AS total_comments,
+      count(*) FILTER (family = 'articles') AS total_articles,
+      count(*) FILTER (family = 'errors' AND ts >= DATE '2024-01-15' AND {BY_MINUTE}) AS errors_today,
+      round(count(*) FILTER (family IN ('posts', 'comments', 'articles') AND {BY_MINUTE}
+        AND epoch_us(ts) // 60000000 > epoch_us(TIMESTAMP '{BUSY}') // 60000000 - 5) / 5.0::DOUBLE, 1) AS records_per_minute
+    FROM ingested WHERE platform = 'p3' GROUP BY platform""",
+)
+def rollup_source_detail(spark, sf_dir):
+    rows, totals = _stored(spark, sf_dir)
+    return me.source_detail(rows, "p3", BUSY, totals)

@@ -30,6 +30,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a table below the shared checkpoint folder that no other has."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/talewind/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the shared checkpoint folder and read it back.
 
@@ -37,8 +43,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     joins in later rounds are planned from it, and estimates do not multiply from round to round.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/talewind/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from talewind.operators.betweenness import betweenness
 from talewind.operators.components import connected_components
 from talewind.operators.louvain import communities
 from talewind.operators.rank import pagerank
-from talewind.operators.skew import SLICE, running_sum, split_hot, top_per_group, with_previous
+from talewind.operators.skew import SLICE, running_sum, split_hot, top_per_group, with_last_two, with_previous
 from talewind.operators.coordination import temporal_burst
 from talewind.plans.tables import answers, interactions, pair_weights, posts, topic_posts
 from talewind.sources.seen import drop_seen
@@ -38,12 +38,23 @@ def test_with_previous(spark, sf):
         assert rows(with_previous(p, *args, width=width)) == rows(plain)
 
 
+def test_with_last_two(spark, sf):
+    p = hot_posts(spark, sf).select("actor_id", "us", "content_id", "value")
+    w = Window.partitionBy("actor_id").orderBy("us", "content_id")
+    plain = p.select("*", *[F.lag(c, n).over(w).alias(f"{c}{n}") for n in (1, 2) for c in ("us", "value")])
+    for width in (60_000_000, SLICE, 1 << 60):
+        found = with_last_two(p, ["actor_id"], "us", ["us", "content_id"], ["us", "value"], width=width)
+        both = found.select(*p.columns, *[F.col(f"{s}.{c}").alias(f"{c}{n}") for n, s in ((1, "_one"), (2, "_two")) for c in ("us", "value")])
+        assert rows(both) == rows(plain)
+
+
 def test_running_sum(spark, sf):
     p = hot_posts(spark, sf).select("actor_id", "us", "content_id", F.round("value").cast("long").alias("value"))
     args = (["actor_id"], "us", ["us", "content_id"], {"total": "value"})
     plain = p.withColumn("total", F.sum("value").over(Window.partitionBy("actor_id").orderBy("us", "content_id").rowsBetween(Window.unboundedPreceding, 0)))
     for width in (60_000_000, SLICE, 1 << 60):
-        assert rows(running_sum(p, *args, width=width)) == rows(plain)
+        for written in (True, False):
+            assert rows(running_sum(p, *args, width=width, written=written)) == rows(plain)
 
 
 def test_top_per_group_beyond_the_group_limit(spark):
