@@ -21,6 +21,8 @@ from talewind.operators.skew import top_per_group
 from talewind.session import cut_lineage
 
 LINK_CONFIDENCE = 0.70
+# Length of the pieces by which names are looked for in biographies.
+GRAM = 3
 HASHES_KEPT = 50
 
 
@@ -133,6 +135,71 @@ def candidates_by_bio(actors: DataFrame, links: DataFrame | None = None, limit:
     return pairs if limit is None else pairs.orderBy("actor_a", "actor_b").limit(limit)
 
 
+def _grams(text: str, size: int) -> Column:
+    """All pieces of ``size`` characters, in one pass over the text; none of a shorter one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def contained(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Which of ``names`` (name) each of ``texts`` (key, text) holds, inside words too: key, name, one row each.
+
+    A name meets only texts that hold its rarest piece of GRAM characters (a shorter name is its own piece), so a piece that is in very
+    many texts is looked at for no name that has another; whether the text holds the whole name is checked then. Empty names are in
+    no text.
+    """
+    names = names.filter(F.col("name") != "").select("name").distinct()
+    sizes = range(1, GRAM + 1)
+    of_texts = texts.select("key", F.explode(F.array_distinct(F.concat(*[_grams("text", q) for q in sizes]))).alias("gram"))
+    size = F.least(F.length("name"), F.lit(GRAM))
+    pieces = reduce(lambda rest, q: F.when(size == q, _grams("name", q)).otherwise(rest), sizes, F.array().cast("array<string>"))
+    of_names = cut_lineage(names.select("name", F.explode(F.array_distinct(pieces)).alias("gram")))
+    counts = of_texts.join(of_names.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = of_names.join(counts, "gram", "left").groupBy("name").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_g")
+    ).filter(F.col("_g.n") > 0).select("name", F.col("_g.gram").alias("gram"))
+    met = of_texts.join(rarest, "gram").select("key", "name")
+    return met.join(texts, "key").filter(F.contains("text", "name")).select("key", "name")
+
+
+def _named(actors: DataFrame, names: DataFrame) -> DataFrame:
+    """actor_id, _own, name: accounts whose biography holds a name. Equal biographies are looked at once."""
+    text = F.lower("bio")
+    writers = actors.filter(F.coalesce("bio", F.lit("")) != "").select("actor_id", F.col("primary_platform").alias("_own"), F.sha2(text, 256).alias("key"), text.alias("text"))
+    found = contained(cut_lineage(writers.groupBy("key").agg(F.first("text").alias("text"))), names)
+    return writers.drop("text").join(found, "key").drop("key")
+
+
+def candidates_by_mention(actors: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Accounts of different platforms of which one's biography holds the other's name (any case, as it is written, inside words
+    too), not linked yet, one row for each pair. Accounts without a name are named by none."""
+    names = actors.select(F.lower("username").alias("name"), F.col("actor_id").alias("_other"), F.col("primary_platform").alias("_p"))
+    found = _named(actors, names).join(names, "name").filter((F.col("_own") != F.col("_p")) & (F.col("actor_id") != F.col("_other")))
+    return _not_linked(found.select(*_ordered("actor_id", "_other")).distinct(), links)
+
+
+def platform_mentions(actors: DataFrame) -> DataFrame:
+    """actor_id, platform: other platforms that an account's biography names.
+
+    Each row stands for a candidate with every account of that platform, which is a product and is not made here: next to what
+    other rules find, a score can only reach the threshold for accounts that share contents or a name. ``mentioned_pairs`` picks these.
+    """
+    platforms = actors.select("primary_platform", F.lower("primary_platform").alias("name")).distinct()
+    found = _named(actors, platforms).join(platforms, "name").filter(F.col("_own") != F.col("primary_platform"))
+    return found.select("actor_id", F.col("primary_platform").alias("platform")).distinct()
+
+
+def mentioned_pairs(pairs: DataFrame, actors: DataFrame) -> DataFrame:
+    """Of given pairs, those in which one account's biography names the other's platform."""
+    named = platform_mentions(actors).withColumn("_named", F.lit(True))
+    on = actors.select("actor_id", "primary_platform")
+    out = pairs
+    for side, other in (("actor_a", "actor_b"), ("actor_b", "actor_a")):
+        at = on.select(F.col("actor_id").alias(other), F.col("primary_platform").alias("_at"))
+        named_here = named.select(F.col("actor_id").alias(side), F.col("platform").alias("_at"), F.col("_named").alias(f"_by_{side}"))
+        out = out.join(at, other).join(named_here, [side, "_at"], "left").drop("_at")
+    return out.filter(F.coalesce("_by_actor_a", "_by_actor_b").isNotNull()).select(*pairs.columns)
+
+
 def fuzzy_candidates(actors: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Optional rule: names of different platforms that agree without separators."""
     bare = F.regexp_replace(account_name("username"), r"[_\-.]", "")

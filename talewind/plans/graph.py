@@ -11,7 +11,7 @@ from talewind.operators.betweenness import betweenness
 from talewind.operators.components import connected_components
 from talewind.operators.louvain import communities, modularity, undirected_weights
 from talewind.operators.paths import shortest_path
-from talewind.operators.rank import influence_scores, pagerank, top_bridges
+from talewind.operators.rank import ROUNDS, influence_scores, pagerank, top_bridges
 from talewind.plans.catalog import query
 from talewind.plans.tables import (
     ACCOUNTS, INTERACTIONS, MERGED_EDGES, PAIR_WEIGHTS, POSTS, USER_ACTORS, accounts, interactions, pair_weights, posts, table,
@@ -222,13 +222,13 @@ def amplification_score(spark, sf_dir):
 RANK_ROUNDS = 10
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(n: int = RANK_ROUNDS) -> str:
     rounds = [
         f"""r{i} AS MATERIALIZED (SELECT n.id, 0.15 + 0.85 * coalesce(sum(r.rank * l.share), 0) AS rank
         FROM nodes n LEFT JOIN links l ON l.dst = n.id LEFT JOIN r{i - 1} r ON r.id = l.src GROUP BY n.id)"""
-        for i in range(1, RANK_ROUNDS + 1)
+        for i in range(1, n + 1)
     ]
-    last = f"r{RANK_ROUNDS}"
+    last = f"r{n}"
     return f"""WITH {PAIR_WEIGHTS},
     links AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM pairs),
     nodes AS MATERIALIZED (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs),
@@ -242,6 +242,12 @@ def pagerank_query(spark, sf_dir):
     return found.withColumn("pagerank", F.round("pagerank", 9))
 
 
+@query("pagerank_in_full", _pagerank_sql(ROUNDS))
+def pagerank_in_full(spark, sf_dir):
+    found = pagerank(pair_weights(spark, sf_dir), tolerance=0.0)
+    return found.withColumn("pagerank", F.round("pagerank", 9))
+
+
 @query(
     "connected_components",
     f"""WITH RECURSIVE {THREADS},

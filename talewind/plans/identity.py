@@ -60,6 +60,36 @@ def by_bio(spark, sf_dir):
     return idn.candidates_by_bio(_actors(spark, sf_dir))
 
 
+MENTIONS = """
+mentions AS (
+  SELECT DISTINCT least(a.actor_id, b.actor_id) AS actor_a, greatest(a.actor_id, b.actor_id) AS actor_b FROM actors a JOIN actors b
+  ON a.platform <> b.platform AND contains(lower(a.bio), lower(b.username)))"""
+
+
+@query("candidates_by_mention", f"WITH {ACTORS}, {MENTIONS} SELECT * FROM mentions")
+def by_mention(spark, sf_dir):
+    return idn.candidates_by_mention(_actors(spark, sf_dir))
+
+
+@query(
+    "platform_mentions",
+    f"""WITH {ACTORS} SELECT DISTINCT a.actor_id, p.platform FROM actors a JOIN (SELECT DISTINCT platform FROM actors) p
+    ON p.platform <> a.platform AND contains(lower(a.bio), p.platform)""",
+)
+def platform_mentions(spark, sf_dir):
+    return idn.platform_mentions(_actors(spark, sf_dir))
+
+
+@query(
+    "mentioned_pairs",
+    f"""WITH {ACTORS}, {MENTIONS} SELECT actor_a, actor_b FROM mentions JOIN actors a ON a.actor_id = actor_a JOIN actors b ON b.actor_id = actor_b
+    WHERE contains(lower(a.bio), b.platform) OR contains(lower(b.bio), a.platform)""",
+)
+def mentioned_pairs(spark, sf_dir):
+    actors = _actors(spark, sf_dir)
+    return idn.mentioned_pairs(idn.candidates_by_mention(actors), actors)
+
+
 def _candidates(spark, sf_dir):
     actors = _actors(spark, sf_dir)
     return actors, idn.candidate_pairs(idn.candidates_by_username(actors), idn.candidates_by_bio(actors))

@@ -109,6 +109,19 @@ def n_reddit_posts(spark, sf_dir):
       CASE WHEN turn > 0 THEN (turn - 1) || '@' || conv_id END AS parent_id, role AS author FROM c WHERE n <= 4""",
 )
 def n_reddit_comments(spark, sf_dir):
+    return _comments(spark, sf_dir, per_post=4)
+
+
+@query(
+    "normalize_reddit_comments_all",
+    """SELECT turn || '@' || conv_id AS id, CAST(conv_id AS VARCHAR) AS root_id, md5(text) AS text_md5, length(text) AS likes,
+      CASE WHEN turn > 0 THEN (turn - 1) || '@' || conv_id END AS parent_id, role AS author FROM conversations""",
+)
+def n_reddit_comments_all(spark, sf_dir):
+    return _comments(spark, sf_dir)
+
+
+def _comments(spark, sf_dir, per_post=None):
     t = table(spark, sf_dir, "conversations")
     raw = t.select(
         F.concat_ws("@", "turn", "conv_id").alias("id"), s("conv_id").alias("submission_id"), F.col("text").alias("body"),
@@ -117,7 +130,7 @@ def n_reddit_comments(spark, sf_dir):
         F.when(F.col("turn") > 0, F.concat(F.lit("t1_"), F.concat_ws("@", F.col("turn") - 1, "conv_id"))).alias("parent_id"),
         *[none().alias(c) for c in ("depth", "is_submitter", "controversiality", "distinguished", "stickied")],
     )
-    out = normalize_reddit_comments(raw, AS_OF, per_post=4)
+    out = normalize_reddit_comments(raw, AS_OF, per_post=per_post)
     return out.select(
         F.col("platform_content_id").alias("id"), "root_id", F.md5("text").alias("text_md5"), F.col("engagement.likes").alias("likes"), "parent_id",
         F.col("actor.username").alias("author"),
