@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talewind.operators.skew import split_hot
 from talewind.session import cut_lineage
 
-BATCHES_OF = 500
+# Rows (source, node) of a batch, at most, unless so few sources have more; sources and links of one task.
+STATE_ROWS, BATCHES_OF = 20_000_000, 500
+SOURCES_PER_TASK, LINKS_PER_TASK = 128, 1_000_000
+_LINKS_AT_ONCE = 1 << 14
 
 
 def sampled_sources(nodes: DataFrame, sample: int | None, seed: int = 0) -> DataFrame:
@@ -19,52 +24,95 @@ def sampled_sources(nodes: DataFrame, sample: int | None, seed: int = 0) -> Data
 
 
 def betweenness(
-    edges: DataFrame, sample: int | None = None, seed: int = 0, directed: bool = True, sources_per_batch: int = BATCHES_OF,
+    edges: DataFrame, sample: int | None = None, seed: int = 0, directed: bool = True, sources_per_batch: int | None = None,
     rows_per_piece: int | None = None,
 ) -> DataFrame:
     """actor_id, betweenness: shortest paths that lead through the actor (raw sums), from all
     sources or from ``sample`` of them, then scaled by nodes / sample to mean the same.
 
-    Level-synchronous Brandes. The state is a table (source, node, depth, paths); a level forward is one join and one
-    sum, a level backward the same. Sources are handled in batches, which bounds the state to batch size x nodes.
+    Level-synchronous Brandes. The state is a table (source, node, paths) for each depth; a level forward brings a block of
+    links and the rows of its nodes for some sources into one task, which adds them up as matrices, so that links are never
+    multiplied by sources as rows; a level backward does the same. Sources are handled in batches, which bounds the state.
     """
     pairs = edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
     if not directed:
         pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = cut_lineage(pairs.distinct())
+    pairs = cut_lineage(pairs.distinct())
+    ends = pairs.select(F.col("src").alias("actor_id")).unionByName(pairs.select(F.col("dst").alias("actor_id"))).distinct()
+    nodes = cut_lineage(ends.withColumn("node", F.monotonically_increasing_id()))
+    number = lambda end: nodes.select(F.col("actor_id").alias(end), F.col("node").alias(f"_{end}"))
+    links = cut_lineage(pairs.join(number("src"), "src").join(number("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))
     rows = links.count()
-    forward, to_forward = split_hot(links, "src", "dst", rows_per_piece, known_rows=rows)
-    backward, to_backward = split_hot(links, "dst", "src", rows_per_piece, known_rows=rows)
-    nodes = cut_lineage(
-        links.select(F.col("src").alias("actor_id")).unionByName(links.select(F.col("dst").alias("actor_id"))).distinct()
-    )
+    forward, backward = (_blocks(links, rows, *ends, rows_per_piece) for ends in (("src", "dst"), ("dst", "src")))
     total = nodes.count()
     used = total if sample is None else min(sample, total)
-    batches = max(1, -(-used // sources_per_batch))
+    batches = max(1, -(-used // (sources_per_batch or max(BATCHES_OF, STATE_ROWS // max(1, total)))))
     chosen = cut_lineage(
         sampled_sources(nodes, sample, seed).withColumn("batch", F.pmod(F.xxhash64("actor_id", F.lit(seed + 1)), F.lit(batches)))
     )
+    groups = max(1, -(-used // (batches * SOURCES_PER_TASK)))
     sums = None
     for batch in range(batches):
         starts = chosen.filter(F.col("batch") == batch).select(
-            F.col("actor_id").alias("source"), F.col("actor_id").alias("node"), F.lit(1.0).alias("paths")
+            F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")
         )
-        part = _dependencies(starts, forward, to_forward, backward, to_backward)
+        part = _dependencies(starts, forward, backward, groups)
         sums = part if sums is None else cut_lineage(
-            sums.unionByName(part).groupBy("actor_id").agg(F.sum("betweenness").alias("betweenness"))
+            sums.unionByName(part).groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
         )
-    scored = nodes.join(sums, "actor_id", "left")
+    scored = nodes.join(sums, "node", "left")
     return scored.select("actor_id", (F.coalesce("betweenness", F.lit(0.0)) * (total / max(1, used))).alias("betweenness"))
 
 
-def _dependencies(starts: DataFrame, forward: DataFrame, to_forward, backward: DataFrame, to_backward) -> DataFrame:
+def _blocks(links: DataFrame, rows: int, start: str, end: str, rows_per_piece: int | None):
+    """Links in blocks of bounded size (_block, starts, ends), and a function that brings rows of a node to the blocks of its links."""
+    cut, copy = split_hot(links, start, end, min(rows_per_piece or LINKS_PER_TASK, LINKS_PER_TASK), known_rows=rows)
+    blocks = max(1, -(-2 * rows // LINKS_PER_TASK)) if rows > LINKS_PER_TASK else 1
+    block = lambda node: F.pmod(F.xxhash64(node, "_piece"), F.lit(blocks))
+    packed = cut.groupBy(block(start).alias("_block")).agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"))).alias("_l"))
+    table = cut_lineage(packed.select("_block", F.col("_l.a").alias("starts"), F.col("_l.b").alias("ends")))
+    return table, lambda front: copy(front, "node").withColumn("_block", block("node"))
+
+
+def _sums_over_links(key, front: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """For each source and end of a link, the sum of the values that the link's starts have."""
+    if not len(front) or not len(links):
+        return pd.DataFrame({"source": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "value": pd.Series(dtype="float64")})
+    nodes, at_node = np.unique(front["node"].to_numpy(), return_inverse=True)
+    sources, at_source = np.unique(front["source"].to_numpy(), return_inverse=True)
+    values = np.zeros((len(nodes), len(sources)))
+    values[at_node, at_source] = front["value"].to_numpy()
+    start, end = (np.concatenate(links[c].tolist()) for c in ("starts", "ends"))
+    at = np.minimum(np.searchsorted(nodes, start), len(nodes) - 1)
+    known = nodes[at] == start
+    order = np.argsort(end[known], kind="stable")
+    at, end = at[known][order], end[known][order]
+    to, first = np.unique(end, return_index=True)
+    out = np.zeros((len(to), len(sources)))
+    target = np.repeat(np.arange(len(to)), np.diff(np.append(first, len(end))))
+    for k in range(0, len(end), _LINKS_AT_ONCE):
+        own = target[k:k + _LINKS_AT_ONCE]
+        steps = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[steps]] += np.add.reduceat(values[at[k:k + _LINKS_AT_ONCE]], steps, axis=0)
+    row, column = np.nonzero(out)
+    return pd.DataFrame({"source": sources[column], "node": to[row], "value": out[row, column]})
+
+
+def _step(front: DataFrame, side, groups: int) -> DataFrame:
+    """source, node, value: the values of ``front`` summed over all links that lead from its nodes."""
+    table, to_blocks = side
+    rows = to_blocks(front).withColumn("_group", F.pmod(F.xxhash64("source"), F.lit(groups)))
+    copies = table.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    keys = ["_block", "_group"]
+    found = rows.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(_sums_over_links, "source long, node long, value double")
+    return found.groupBy("source", "node").agg(F.sum("value").alias("value"))
+
+
+def _dependencies(starts: DataFrame, forward, backward, groups: int) -> DataFrame:
     levels = [cut_lineage(starts)]
     visited = levels[0].select("source", "node")
     while True:
-        front = to_forward(levels[-1].withColumnRenamed("node", "src"), "src")
-        reached = front.join(forward, ["src", "_piece"]).groupBy("source", F.col("dst").alias("node")).agg(
-            F.sum("paths").alias("paths")
-        )
+        reached = _step(levels[-1].withColumnRenamed("paths", "value"), forward, groups).withColumnRenamed("value", "paths")
         fresh = cut_lineage(reached.join(visited, ["source", "node"], "left_anti"))
         if fresh.isEmpty():
             break
@@ -73,15 +121,11 @@ def _dependencies(starts: DataFrame, forward: DataFrame, to_forward, backward: D
     dependency = levels[-1].withColumn("dependency", F.lit(0.0))
     gathered = dependency.select("node", "dependency")
     for level in reversed(levels[1:-1]):
-        below = to_backward(dependency.withColumnRenamed("node", "dst"), "dst")
-        share = ((1.0 + F.col("dependency")) / F.col("paths")).alias("share")
-        to_parents = below.join(backward, ["dst", "_piece"]).select("source", F.col("src").alias("node"), share)
-        received = to_parents.groupBy("source", "node").agg(F.sum("share").alias("share"))
+        share = ((1.0 + F.col("dependency")) / F.col("paths")).alias("value")
+        received = _step(dependency.select("source", "node", share), backward, groups).withColumnRenamed("value", "share")
         here = level.join(received, ["source", "node"], "left")
         dependency = cut_lineage(
             here.select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dependency"))
         )
         gathered = gathered.unionByName(dependency.select("node", "dependency"))
-    return cut_lineage(
-        gathered.groupBy(F.col("node").alias("actor_id")).agg(F.sum("dependency").alias("betweenness"))
-    )
+    return cut_lineage(gathered.groupBy("node").agg(F.sum("dependency").alias("betweenness")))

@@ -100,3 +100,15 @@ def test_shortest_path(spark):
     assert path == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
     assert shortest_path(e, "a", "z").count() == 0 and shortest_path(e, "a", "d", max_hops=2).count() == 0
     assert [r.actor_id for r in shortest_path(e, "a", "a").collect()] == ["a"]
+
+
+def test_betweenness_adds_up_links_in_tasks(spark, monkeypatch):
+    from talewind.operators import betweenness as module
+
+    rng = np.random.default_rng(7)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 14, size=(40, 2)).tolist() if a != b})
+    for name, value in {"LINKS_PER_TASK": 9, "SOURCES_PER_TASK": 4, "_LINKS_AT_ONCE": 3}.items():
+        monkeypatch.setattr(module, name, value)
+    got = {r.actor_id: r.betweenness for r in betweenness(frame(spark, pairs), directed=False).collect()}
+    expected = brute_betweenness(pairs)
+    assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
