@@ -18,7 +18,8 @@ def shortest_path(edges: DataFrame, start: object, goal: object, max_hops: int =
     per new node and drops nodes already seen.
     """
     kind = edges.schema["src"].dataType
-    there = edges.select("src", "dst", "edge_type", F.col("weight").cast("double").alias("weight"))
+    # Written once: every hop reads the edges, and making them may be dear.
+    there = cut_lineage(edges.select("src", "dst", "edge_type", F.col("weight").cast("double").alias("weight")))
     back = there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", "weight")
     links = there.unionByName(back).filter(F.col("src") != F.col("dst"))
     spark = edges.sparkSession

@@ -112,3 +112,17 @@ def test_betweenness_adds_up_links_in_tasks(spark, monkeypatch):
     got = {r.actor_id: r.betweenness for r in betweenness(frame(spark, pairs), directed=False).collect()}
     expected = brute_betweenness(pairs)
     assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
+def test_path_makes_its_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
+    edges = frame(spark, pairs).mapInPandas(count, EDGES)
+    assert shortest_path(edges, "a", "e").count() == 5
+    assert made.value == len(pairs)
