@@ -230,13 +230,16 @@ def star_topology(
     edges: DataFrame, min_leaves: int = STAR_LEAVES, min_reposts: int = STAR_REPOSTS,
     max_connectivity: float = STAR_CONNECTIVITY, repost_type: str = "REPOSTED", limit: int | None = None,
 ) -> DataFrame:
-    """Hubs reposted by many accounts that hardly touch one another. ``edges`` are merged edges."""
+    """Hubs reposted by many accounts that hardly touch one another. ``edges`` are merged edges, which are written once here."""
+    edges = cut_lineage(edges.select("src", "dst", "edge_type", "interaction_count"))
     reposts = edges.filter((F.col("edge_type") == repost_type) & (F.col("src") != F.col("dst")))
     hubs = reposts.groupBy(F.col("dst").alias("hub")).agg(
         F.count_distinct("src").alias("leaf_count"), F.sum("interaction_count").alias("repost_count")
     ).filter((F.col("leaf_count") >= min_leaves) & (F.col("repost_count") >= min_reposts))
     leaves = reposts.select(F.col("dst").alias("hub"), F.col("src").alias("actor_id")).distinct().join(hubs, "hub", "left_semi")
     links = edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
+    # An edge to an account that is no hub's leaf joins no two leaves.
+    links = links.join(leaves.select(F.col("actor_id").alias("dst")).distinct(), "dst", "left_semi")
     near = leaves.withColumnRenamed("actor_id", "src").join(links, "src")
     between = near.join(leaves.withColumnRenamed("actor_id", "dst"), ["hub", "dst"], "left_semi")
     # Every stored edge is met once from either end.

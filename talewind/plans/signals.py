@@ -12,6 +12,7 @@ from talewind.plans.tables import (
     ACCOUNTS, MERGED_EDGES, NOW, PAIR_WEIGHTS, POSTS, USER_ACTORS, accounts, interactions, pair_weights, posts, topic_posts,
     user_actors,
 )
+from talewind.session import cut_lineage
 
 # Sample authors are sparse: an hour and three authors stand for two minutes and ten.
 WINDOW, AUTHORS = 3600, 3
@@ -259,7 +260,7 @@ def recent_signals(spark, sf_dir):
     FROM stars JOIN leaves USING (hub) LEFT JOIN accounts ON leaf = actor_id GROUP BY hub""",
 )
 def cluster_reach(spark, sf_dir):
-    edges = merge_edges(interactions(spark, sf_dir))
+    edges = cut_lineage(merge_edges(interactions(spark, sf_dir)))
     stars = co.star_topology(edges)
     reposts = edges.filter(F.col("edge_type") == "REPOSTED").select(F.col("dst").alias("hub"), F.col("src").alias("actor_id"))
     members = reposts.distinct().join(stars.select("hub"), "hub", "left_semi")
@@ -341,8 +342,8 @@ def alerts(spark, sf_dir):
     UNION ALL SELECT hub, hub, 'hub' FROM stars""",
 )
 def star_accounts(spark, sf_dir):
-    edges = merge_edges(interactions(spark, sf_dir))
-    return co.star_accounts(edges, co.star_topology(edges))
+    edges = cut_lineage(merge_edges(interactions(spark, sf_dir)))
+    return co.star_accounts(edges, cut_lineage(co.star_topology(edges)))
 
 
 def _contents(spark, sf_dir):

@@ -206,3 +206,21 @@ def test_images(spark):
 def test_pipeline_runs_steps_in_order(spark):
     out = Pipeline.of([lambda d: d.withColumn("x", F.col("id") + 1)]).add("twice", lambda d: d.withColumn("x", F.col("x") * 2)).run(spark.range(1))
     assert out.first().x == 2
+
+
+def test_star_topology_makes_its_edges_once(spark):
+    from talewind.operators.coordination import star_topology
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    kind = "src string, dst string, edge_type string, interaction_count long"
+    rows = [(f"l{i}", "hub", "REPOSTED", 9) for i in range(40)] + [("l1", "l2", "REPLIED_TO", 1), ("l3", "other", "REPLIED_TO", 1)]
+    got = star_topology(spark.createDataFrame(rows, kind).mapInPandas(count, kind)).collect()
+    # Of the two further edges one joins two leaves; an edge counts twice.
+    assert [(r.hub, r.leaf_count, r.leaf_links) for r in got] == [("hub", 40, 2)]
+    assert made.value == len(rows)
