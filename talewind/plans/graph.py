@@ -17,6 +17,7 @@ from talewind.plans.tables import (
     ACCOUNTS, INTERACTIONS, MERGED_EDGES, PAIR_WEIGHTS, POSTS, USER_ACTORS, accounts, interactions, pair_weights, posts, table,
     user_actors,
 )
+from talewind.session import cut_lineage
 
 
 def thread_posts(spark, sf_dir):
@@ -322,10 +323,10 @@ scored AS (
   FROM base)"""
 
 
-def scored_actors(spark, sf_dir):
+def scored_actors(spark, sf_dir, edges=None):
     """Accounts with influence and bridge score; degrees stand in for the iterative scores, nations for communities."""
     events = interactions(spark, sf_dir)
-    edges = gb.merge_edges(events)
+    edges = cut_lineage(gb.merge_edges(events)) if edges is None else edges
     ends = edges.select(F.explode(F.array("src", "dst")).alias("actor_id")).groupBy("actor_id").agg(F.count("*").alias("degree"))
     narr = events.groupBy(F.col("src").alias("actor_id")).agg(F.count_distinct("narrative_id").alias("narrative_count"))
     joined = accounts(spark, sf_dir).join(ends, "actor_id", "left").join(gb.amplification_score(edges), "actor_id", "left").join(
@@ -381,8 +382,8 @@ nodes AS (SELECT * FROM scored WHERE influence_score >= 0.2 ORDER BY influence_s
 
 @query("subgraph_nodes", f"WITH {MERGED_EDGES}, {ACCOUNTS}, {SCORED}, {TOP_NODES} SELECT actor_id, primary_platform, influence_score FROM nodes")
 def subgraph_nodes(spark, sf_dir):
-    edges = gb.merge_edges(interactions(spark, sf_dir))
-    nodes, _ = gq.subgraph(scored_actors(spark, sf_dir), edges, min_influence=0.2, limit=300)
+    edges = cut_lineage(gb.merge_edges(interactions(spark, sf_dir)))
+    nodes, _ = gq.subgraph(scored_actors(spark, sf_dir, edges), edges, min_influence=0.2, limit=300)
     return nodes.select("actor_id", "primary_platform", "influence_score")
 
 
@@ -393,8 +394,8 @@ def subgraph_nodes(spark, sf_dir):
     WHERE src IN (SELECT actor_id FROM nodes) AND dst IN (SELECT actor_id FROM nodes)""",
 )
 def subgraph_edges(spark, sf_dir):
-    edges = gb.merge_edges(interactions(spark, sf_dir))
-    _, inside = gq.subgraph(scored_actors(spark, sf_dir), edges, min_influence=0.2, limit=300)
+    edges = cut_lineage(gb.merge_edges(interactions(spark, sf_dir)))
+    _, inside = gq.subgraph(scored_actors(spark, sf_dir, edges), edges, min_influence=0.2, limit=300)
     return inside.withColumn("weight", F.round("weight", 9))
 
 
