@@ -1,14 +1,15 @@
 """Benchmark passages in documents, found by latent meaning and confirmed by word order.
 
 Passages are windows of a document's words. Their TF-IDF vectors over hashed words are projected on the leading right singular
-vectors, which a randomised SVD finds on a bounded sample of passages: tasks multiply their rows, Spark sums the products, the
-driver orthogonalises matrices of fixed size. Word frequencies are counted over all documents, and every window of every document
-is compared with every benchmark item. Pairs of high cosine are confirmed by the longest common subsequence of words, and by
-whether the item's answer (its last sentence) is there too.
+vectors of a randomised SVD of all passages of all documents: in the pass that counts words, tasks add each passage, with a random
+sign, to one of SKETCHED rows; the sum of these rows has the passages' directions and lengths, whatever their number. Every
+window of every document is compared with every benchmark item. Pairs of high cosine are confirmed by the longest common
+subsequence of words, and by whether the item's answer (its last sentence) is there too.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talewind.llm.common import filled, mixed, prepare, slices, split_words, word_hashes
+from talewind.llm.common import filled, mixed, prepare, raw_bytes, slices
 from talewind.session import cut_lineage
 
 #: Words are hashed to so many places; RANK singular vectors are kept of OVERSAMPLED ones. 9 MB of model whatever the input.
 PLACES, RANK, OVERSAMPLED = 1 << 15, 64, 80
-#: Passages that the SVD is fitted on, about; everything else reads all rows.
-FITTED = 30_000
+#: Rows that all passages are added up in (32 MB), and how many tasks a core do so: their sums do not grow with the input.
+SKETCHED, TASKS = 256, 4
 BLOCK, BLOCKS = 24, 2
+#: Bytes of text looked at in one step: what is made of them fits a core's cache.
+SLICE_BYTES = 1 << 18
 #: Items of one model. RANK directions hold an ever smaller share of each item as they must serve more items.
 ITEMS = 200
 #: Of an item's length, its model keeps so much; below that, the item's gate falls with the share. Items of which less than LEAST
@@ -36,69 +39,131 @@ KEPT, LEAST, FEWEST = 0.5, 0.3, 8
 #: Models (of 9 MB) in one pass over the documents.
 MODELS = 12
 COSINE, LCS, LCS_WITH_ANSWER = 0.2, 0.6, 0.5
-_ROWS = 1 << 10
-#: Tasks that the sample is multiplied by; each sends a matrix of 10 MB.
+#: Numbers in a block of the frequencies, how many such blocks there are, and places in a block of the sketch.
+_ROWS, _OF_PLACES = 1 << 10, 1 << 8
+_FREQUENCIES = PLACES // _ROWS + 1
+#: Tasks that the summed sketch is multiplied by.
 _PARTS = 2
 
 
+def _among(characters: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(characters.encode())] = True
+    return table
+
+
+_WHITE, _MARKS = _among(" \t\n\v\f\r"), _among(".,;:!?\"'()[]{}*#|<>&%$-_")
+_ODD = 0x9E3779B97F4A7C15
+_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    both = np.full(n, _ODD, np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), np.uint64)
+    for x in both:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return both
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit numbers of ranges of bytes: differences of prefix sums of a polynomial, as in common.RangeHashes; slices of texts are
+    about as long as each other, so the powers are kept."""
+    n = max(len(data), 2 * SLICE_BYTES - 1) + 1
+    up, down = _powers(n) if n == 2 * SLICE_BYTES else _powers.__wrapped__(n)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * down[begin] + np.uint64(_ODD))
+
+
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of lower-case words without the marks around them, and where each text's begin."""
-    codes, starts, words = split_words(pc.utf8_lower(filled(texts)))
-    return word_hashes(pc.utf8_trim(words, characters=".,;:!?\"'()[]{}*#|<>&%$-_"))[codes], starts
+    data, at = raw_bytes(pc.utf8_lower(filled(texts)))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    white = _WHITE[data]
+    edge[1:] |= white
+    begin = np.flatnonzero(edge[:-1] & ~white)
+    edge[:-1] |= white
+    edge[at] = True
+    end = np.flatnonzero(edge[1:] & ~white) + 1
+    starts = np.searchsorted(begin, at)
+    led, trailed = np.flatnonzero(_MARKS[data[begin]]), np.flatnonzero(_MARKS[data[end - 1]])
+    # Most words have a mark or two; longer runs of marks are passed at once.
+    for _ in range(3):
+        begin[led] += 1
+        led = led[begin[led] < end[led]]
+        led = led[_MARKS[data[begin[led]]]]
+    if len(led):
+        plain = np.append(np.flatnonzero(~_MARKS[data]), len(data))
+        begin[led] = np.minimum(end[led], plain[np.searchsorted(plain, begin[led])])
+    trailed = trailed[begin[trailed] < end[trailed]]
+    for _ in range(3):
+        end[trailed] -= 1
+        trailed = trailed[_MARKS[data[end[trailed] - 1]]]
+    if len(trailed):
+        plain = np.flatnonzero(~_MARKS[data])
+        end[trailed] = plain[np.searchsorted(plain, end[trailed]) - 1] + 1
+    return _hashes(data, begin, end), starts
 
 
 def _places(hashes: np.ndarray) -> np.ndarray:
     return (mixed(hashes) & np.uint64(PLACES - 1)).astype(np.int64)
 
 
-def _summed(parts: DataFrame, kind: type = np.float64) -> np.ndarray:
-    """Sum of the tasks' arrays: rows of block and 32-bit values. The result has a fixed size, so it may come to the driver, a block at a
-    time, as numbers of ``kind``."""
+def _summed(parts: DataFrame) -> DataFrame:
+    """Sums of the tasks' arrays: rows of block and 32-bit whole numbers, to 64-bit ones."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(0)
-        for x in table.column("values"):
-            part = np.frombuffer(x.as_py(), np.float32)
-            total = part.astype(np.float64) if not len(total) else total + part
-        return pa.table({"block": table.column("block").slice(0, 1), "values": pa.array([total.astype(kind).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("values"))
+        return pa.table({"block": table.column("block").slice(0, 1), "values": pa.array([total.tobytes()], pa.binary())})
 
-    summed = cut_lineage(parts.groupBy("block").applyInArrow(lambda table: add(table), "block int, values binary"))
-    rows = {block: np.frombuffer(x, kind) for block, x in summed.toLocalIterator()}
-    return np.concatenate([rows[k] for k in sorted(rows)]) if rows else np.zeros(0, kind)
+    return cut_lineage(parts.groupBy("block").applyInArrow(lambda table: add(table), "block int, values binary"))
 
 
-def _blocks(total: np.ndarray) -> pa.RecordBatch:
-    parts = [x.astype(np.float32).tobytes() for x in total.reshape(-1, _ROWS)]
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "values"])
+def counts(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Of documents (doc_id, text, text_key): in how many each place's words occur, the last number being that of all documents;
+    and the sketch of their passages, rows of block (of places) and values (of each place, SKETCHED ones).
 
-
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """In how many documents each place's words occur; the last number is that of all documents."""
+    A passage's row and sign are drawn by its document and number, so the sketch is the same however rows are dealt to tasks.
+    """
+    tasks = TASKS * docs.sparkSession.sparkContext.defaultParallelism
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PLACES + _ROWS)
-        for batch in slices(batches):
+        total, sketch = np.zeros(_FREQUENCIES * _ROWS, np.int32), np.zeros(PLACES * SKETCHED, np.int32)
+        for batch in slices(batches, most=SLICE_BYTES):
             hashes, starts = _words(batch.column("text"))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-            pairs = pd.unique(doc * PLACES + _places(hashes)) % PLACES
-            total[:PLACES] += np.bincount(pairs, minlength=PLACES)
+            doc, places = np.repeat(np.arange(batch.num_rows), np.diff(starts)), _places(hashes)
+            total[:PLACES] += np.bincount(pd.unique(doc * PLACES + places) % PLACES, minlength=PLACES).astype(np.int32)
             total[-1] += batch.num_rows
-        yield _blocks(total)
-
-    found = _summed(docs.select("text").mapInArrow(count, "block int, values binary"))
-    return found if len(found) else np.zeros(PLACES + _ROWS)
+            begin, text, number = _cut(starts, BLOCK * BLOCKS)
+            ids, keys = (pc.fill_null(batch.column(x), 0).to_numpy().view(np.uint64) for x in ("doc_id", "text_key"))
+            drawn = mixed(mixed(ids + mixed(keys))[text] + number.astype(np.uint64))
+            size = np.diff(begin, append=len(hashes))
+            row, sign = (drawn & np.uint64(SKETCHED - 1)).astype(np.int64), np.where(drawn >> np.uint64(63), 1, -1).astype(np.int32)
+            np.add.at(sketch, places * SKETCHED + np.repeat(row, size), np.repeat(sign, size))
+        for first, values, n in ((0, total, _ROWS), (_FREQUENCIES, sketch, _OF_PLACES * SKETCHED)):
+            for k, x in enumerate(values.reshape(-1, n)):
+                yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "values"])
+
+    summed = _summed(docs.select("doc_id", "text", "text_key").coalesce(tasks).mapInArrow(count, "block int, values binary"))
+    found = np.zeros(_FREQUENCIES * _ROWS)
+    for block, x in summed.filter(F.col("block") < _FREQUENCIES).toLocalIterator():
+        found[block * _ROWS : (block + 1) * _ROWS] = np.frombuffer(x, np.int64)
+    return found, summed.filter(F.col("block") >= _FREQUENCIES).select((F.col("block") - _FREQUENCIES).alias("block"), "values")
 
 
 def weights(found: np.ndarray) -> np.ndarray:
     return np.log((1 + found[-1]) / (1 + found[:PLACES])).astype(np.float32)
 
 
-def _cut(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cut(starts: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of words: where each begins, its text, and its number there."""
-    n = -(-np.diff(starts) // BLOCK)
+    n = -(-np.diff(starts) // size)
     text = np.repeat(np.arange(len(n)), n)
     number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return starts[:-1][text] + number * BLOCK, text, number
+    return starts[:-1][text] + number * size, text, number
 
 
 def _block_sums(hashes: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +172,13 @@ def _block_sums(hashes: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tu
         return np.zeros((0, table.shape[1]), np.float32), text, number
     # Word by word of all blocks at once; a block that has ended adds nothing.
     end, places = np.minimum(begin + BLOCK, starts[1:][text]), _places(hashes)
-    total = table[places[begin]]
+    total, row = table[places[begin]], np.empty((len(begin), table.shape[1]), np.float32)
+    places = np.append(places, np.zeros(BLOCK, np.int64))
     for k in range(1, BLOCK):
-        on = np.flatnonzero(begin + k < end)
-        if len(on) == len(begin):
-            total += table[places[begin + k]]
-        else:
-            total[on] += table[places[begin[on] + k]]
+        np.take(table, places[begin + k], axis=0, out=row, mode="clip")
+        over = np.flatnonzero(begin + k >= end)
+        row[over] = 0
+        total += row
     return total, text, number
 
 
@@ -139,49 +204,38 @@ def _unit_row(places: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (place, value / norm) if norm > 0 else None
 
 
-def corpus_directions(docs: DataFrame, idf: np.ndarray, n_docs: float, fitted: int = FITTED) -> np.ndarray:
-    """OVERSAMPLED x PLACES: right singular vectors of the TF-IDF matrix of sampled passages (one of each sampled document), each
-    as long as its singular value."""
-    share = F.lit(int((1 << 30) * min(1.0, fitted / max(1.0, n_docs))))
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share).repartition(_PARTS)
-
-    def rows_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-        hashes, starts = _words(batch.column("text"))
-        out = []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            at = a + int(hashes[a]) % max(1, b - a - BLOCK * BLOCKS + 1) if b > a else a
-            if row := _unit_row(_places(hashes[at : min(b, at + BLOCK * BLOCKS)]), idf):
-                out.append(row)
-        return out
-
-    def product(matrix: np.ndarray, back: bool) -> np.ndarray:
-        """A'(A matrix), or (A matrix)'(A matrix) if not ``back``."""
-        shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
-        width = matrix.shape[1]
-
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            total = np.zeros((PLACES if back else width, width), np.float32)
-            for batch in slices(batches):
-                for place, value in rows_of(batch):
-                    row = value @ m[place]
-                    total[place if back else slice(None)] += np.outer(value, row) if back else np.outer(row, row)
-            parts = np.array_split(total, 64 if back else 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "values"]
-            )
-
-        total = _summed(sample.mapInArrow(multiply, "block int, values binary"), np.float32).reshape(-1, width)
-        shared.destroy()
-        return total if len(total) else np.zeros((PLACES if back else width, width), np.float32)
-
-    sample = cut_lineage(sample)
-    # Matrices of PLACES rows have 32-bit numbers: the driver holds some 10 MB of each.
-    q = np.linalg.qr(np.random.default_rng(3).standard_normal((PLACES, OVERSAMPLED), np.float32))[0]
-    for _ in range(2):
-        q = np.linalg.qr(product(q, True))[0]
-    values, inner = np.linalg.eigh(product(q, False).astype(np.float64))
-    return (np.sqrt(np.maximum(0, values))[:, None] * (q @ inner.astype(np.float32)).T).astype(np.float32)
+def corpus_directions(sketch: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """OVERSAMPLED x PLACES: leading right singular vectors of the TF-IDF matrix of all passages, each as long as its singular value;
+    and the squared length of that matrix. Tasks multiply the sketch's blocks; matrices of fixed size come to the driver."""
+    sketch = sketch.coalesce(_PARTS)
+
+    def weighed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for block, x in zip(batch.column("block").to_pylist(), batch.column("values").to_pylist(), strict=True):
+            yield block, np.frombuffer(x, np.int64).reshape(-1, SKETCHED) * idf[block * _OF_PLACES : (block + 1) * _OF_PLACES, None].astype(np.float64)
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SKETCHED, SKETCHED))
+        for batch in batches:
+            for _, x in weighed(batch):
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["values"])
+
+    gram = sum((np.frombuffer(x, np.float64) for (x,) in sketch.mapInArrow(inner, "values binary").toLocalIterator()), np.zeros(SKETCHED**2)).reshape(SKETCHED, SKETCHED)
+    values, left = np.linalg.eigh(gram)
+    # What the next direction has is taken for the noise that passages of one row make for each other.
+    noise, values, left = max(0.0, values[-OVERSAMPLED - 1]), values[-OVERSAMPLED:], left[:, -OVERSAMPLED:]
+    left = left * np.sqrt(np.maximum(0, values - noise) / np.maximum(1e-9, values))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, x in weighed(batch):
+                made = (x @ left).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([made], pa.binary())], ["block", "values"])
+
+    out = np.zeros((OVERSAMPLED, PLACES), np.float32)
+    for block, x in sketch.mapInArrow(project, "block int, values binary").toLocalIterator():
+        out[:, block * _OF_PLACES : (block + 1) * _OF_PLACES] = np.frombuffer(x, np.float32).reshape(-1, OVERSAMPLED).T
+    return out, float(np.trace(gram))
 
 
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -191,10 +245,10 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
-def singular_vectors(corpus: np.ndarray, passages: float, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def singular_vectors(corpus: np.ndarray, squared: float, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """PLACES x RANK: right singular vectors of the corpus' directions and the items (unit rows), which weigh as much together as
-    the passages; and the share of each item's length that they keep."""
-    both = np.vstack([corpus, items * np.float32(np.sqrt(max(1.0, passages / max(1, len(items)))))])
+    all passages (their squared length); and the share of each item's length that they keep."""
+    both = np.vstack([corpus, items * np.float32(np.sqrt(max(1.0, squared / max(1, len(items)))))])
     values, left = np.linalg.eigh((both @ both.T).astype(np.float64))
     top = np.argsort(-values)[:RANK]
     top = top[values[top] > 1e-6 * max(1e-9, values[top[0]])]
@@ -248,7 +302,7 @@ RESULT = "doc_id long, item_id long, text_key long, first_word int, cosine doubl
 
 def _search(made: list[tuple[np.ndarray, Items]], cosine: float, lcs: float, with_answer: float) -> Callable:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             hashes, starts = _words(batch.column("text"))
             best: dict[tuple[int, int, int], tuple] = {}
             for m, (table, items) in enumerate(made):
@@ -258,7 +312,8 @@ def _search(made: list[tuple[np.ndarray, Items]], cosine: float, lcs: float, wit
                     vectors, first = _windows(sums, text, number, blocks)
                     for at in range(0, len(vectors), 4096):
                         near = vectors[at : at + 4096] @ items.vectors.T
-                        for w, i in zip(*np.nonzero(near >= cosine * np.maximum(items.gates, 1e-3)), strict=True):
+                        passed = np.flatnonzero(near >= cosine * np.maximum(items.gates, np.float32(1e-3)))
+                        for w, i in zip(*(x.tolist() for x in divmod(passed, near.shape[1])), strict=True):
                             block = int(first[at + w])
                             if (block, i) in tried:
                                 continue
@@ -291,7 +346,7 @@ def hash_order(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def models(rows: list[tuple[int, str]], idf: np.ndarray, corpus: np.ndarray, passages: float, most: int) -> list[tuple[np.ndarray, Items]]:
+def models(rows: list[tuple[int, str]], idf: np.ndarray, corpus: np.ndarray, squared: float, most: int) -> list[tuple[np.ndarray, Items]]:
     """Models and their items, ``most`` at most each. Items of which a model keeps too little are dealt to smaller ones."""
     if not rows:
         return []
@@ -300,7 +355,7 @@ def models(rows: list[tuple[int, str]], idf: np.ndarray, corpus: np.ndarray, pas
         own = rows[k * len(rows) // n : (k + 1) * len(rows) // n]
         hashes, starts = _words(pa.array([t for _, t in own], pa.string()))
         units = [_unit_row(_places(hashes[a:b]), idf) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        vectors, kept = singular_vectors(corpus, passages, _dense([(np.zeros(0, int), np.zeros(0)) if x is None else x for x in units]))
+        vectors, kept = singular_vectors(corpus, squared, _dense([(np.zeros(0, int), np.zeros(0)) if x is None else x for x in units]))
         # An item without any weight (its words are in all documents) is kept by no model.
         low = [i for i, x in enumerate(units) if x is not None and kept[i] < LEAST] if len(own) > FEWEST else []
         again += [own[i] for i in low]
@@ -308,12 +363,12 @@ def models(rows: list[tuple[int, str]], idf: np.ndarray, corpus: np.ndarray, pas
         if len(stay):
             table = np.hstack([idf[:, None] * vectors, idf[:, None] ** 2]).astype(np.float32)
             out.append((table, Items([own[i] for i in stay], table, kept[stay])))
-    return out + models(again, idf, corpus, passages, max(FEWEST, most // 2))
+    return out + models(again, idf, corpus, squared, max(FEWEST, most // 2))
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, with_answer: float = LCS_WITH_ANSWER,
-    fitted: int = FITTED, items_at_once: int = ITEMS,
+    items_at_once: int = ITEMS,
 ) -> DataFrame:
     """One row for each document (doc_id, text) and benchmark item (item_id, text) that it holds: RESULT.
 
@@ -323,16 +378,16 @@ def leaks(
     """
     prepare(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    found = frequencies(given)
+    found, sketch = counts(given)
     idf = weights(found)
     wanted = benchmark.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("item_id").cast("long").alias("item_id"), "text")
     passes = max(1, -(-wanted.count() // (items_at_once * MODELS)))
-    corpus = corpus_directions(given, idf, found[-1], fitted)
+    corpus, squared = corpus_directions(sketch, idf)
     out = None
     for k in range(passes):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
         rows = sorted((tuple(r) for r in rows), key=lambda r: (hash_order(r[1]), r[1], r[0] is None, r[0]))
-        made = models(rows, idf, corpus, min(fitted, found[-1]), items_at_once)
+        made = models(rows, idf, corpus, squared, items_at_once)
         for at in range(0, max(1, len(made)), MODELS):
             shared = docs.sparkSession.sparkContext.broadcast(made[at : at + MODELS])
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from talewind.llm import latent
 
 
@@ -61,3 +64,29 @@ def test_recall_with_thousands_of_items(spark):
     recall = len(found & true) / len(true)
     print(f"recall {recall:.4f} of {len(true)} pairs")
     assert len(true) >= 4000 and recall >= 0.9
+
+
+def test_directions_come_from_all_passages(spark):
+    """Every word of every passage is in the model's sums, and its leading directions are those of an exact decomposition."""
+    rng = random.Random(8)
+    topics = [[f"t{k}w{i}" for i in range(150)] for k in range(5)]
+    texts = [" ".join(rng.choice(topics[rng.choice((0, 0, 0, 1, 1, 2, 3, 4))]) if rng.random() < 0.1 else rng.choice(topics[d % 5]) for _ in range(30 + d % 150)) for d in range(900)]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, text_key long").repartition(7)
+    found, sketch = latent.counts(docs)
+    idf = latent.weights(found)
+    passages = [t.split()[a : a + 48] for t in texts for a in range(0, len(t.split()), 48)]
+    exact = np.zeros((len(passages), latent.PLACES), np.float32)
+    for k, words in enumerate(passages):
+        np.add.at(exact[k], latent._places(latent._words(pa.array([" ".join(words)]))[0]), 1)
+    assert found[-1] == 900
+    rows = np.vstack([np.frombuffer(r["values"], np.int64).reshape(-1, latent.SKETCHED) for r in sketch.orderBy("block").collect()])
+    parity = np.abs(rows).sum(1).astype(int) - exact.sum(0).astype(int)
+    assert (parity % 2 == 0).all() and (parity <= 0).all() and (np.abs(rows).sum(1)[exact.sum(0) == 1] == 1).all()
+    made, squared = latent.corpus_directions(sketch, idf)
+    exact *= idf
+    values, left = np.linalg.eigh((exact @ exact.T).astype(np.float64))
+    top = (exact.T @ left[:, -5:]) / np.sqrt(values[-5:])
+    assert abs(squared / (exact**2).sum() - 1) < 0.2
+    assert (np.linalg.norm(np.linalg.qr(made[-5:].T)[0].T @ top, axis=0) > 0.9).all()
+    again = latent.corpus_directions(latent.counts(docs.repartition(3))[1], idf)[0]
+    assert np.allclose(np.abs(made[-5:]), np.abs(again[-5:]), atol=1e-3)
