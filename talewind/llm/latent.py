@@ -42,6 +42,8 @@ COSINE, LCS, LCS_WITH_ANSWER = 0.2, 0.6, 0.5
 #: Numbers in a block of the frequencies, how many such blocks there are, and places in a block of the sketch.
 _ROWS, _OF_PLACES = 1 << 10, 1 << 8
 _FREQUENCIES = PLACES // _ROWS + 1
+#: Places that an item's words are counted in, for a bound of what a window can have of it; windows' words in one step of that.
+_BUCKETS, _TOGETHER = 1 << 11, 1 << 18
 #: Tasks that the summed sketch is multiplied by.
 _PARTS = 2
 
@@ -291,12 +293,32 @@ class Items:
         hashes, starts = _words(pa.array([t for _, t in rows], pa.string()))
         self.words = [hashes[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.masks = [masks_of(w) for w in self.words]
+        self.n = np.diff(starts)
+        self.counts = np.zeros((len(rows), _BUCKETS), np.int32)
+        np.add.at(self.counts, (np.repeat(np.arange(len(rows)), self.n), _places(hashes) % _BUCKETS), 1)
         tail = [w[-answer_words(t) :] for w, (_, t) in zip(self.words, rows, strict=True)]
         self.answers = [(masks_of(w), len(w)) for w in tail]
         total = np.array([table[_places(hashes[a:b]), :-1].sum(0) for a, b in zip(starts[:-1], starts[1:], strict=True)], np.float32).reshape(len(rows), table.shape[1] - 1)
         self.vectors = total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))
 
 
+def _can_hold(items: Items, item: np.ndarray, buckets: np.ndarray, begin: np.ndarray, end: np.ndarray, share: float) -> np.ndarray:
+    """Which of the ranges of words (their ``buckets``) have enough words in common with their item for a common subsequence of ``share``
+    of it: no subsequence is longer than the words that both have, each as often as the one has it that has it less."""
+    if not len(item):
+        return item
+    width, out = int((end - begin).max()), []
+    for at in range(0, len(item), max(1, _TOGETHER // width)):
+        i, a, b = (x[at : at + max(1, _TOGETHER // width)] for x in (item, begin, end))
+        place = a[:, None] + np.arange(width)
+        own = buckets[np.minimum(place, len(buckets) - 1)]
+        n = ((items.counts[i[:, None], own] > 0) & (place < b[:, None])).sum(1)
+        out.append(at + np.flatnonzero(n / items.n[i] >= share))
+    found = np.concatenate(out)
+    both = [np.minimum(np.bincount(buckets[a:b], minlength=_BUCKETS), items.counts[i]).sum() for i, a, b in zip(item[found], begin[found], end[found], strict=True)]
+    return found[np.array(both, np.int64) / items.n[item[found]] >= share]
+
+
 RESULT = "doc_id long, item_id long, text_key long, first_word int, cosine double, lcs double, answer boolean"
 
 
@@ -304,25 +326,22 @@ def _search(made: list[tuple[np.ndarray, Items]], cosine: float, lcs: float, wit
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE_BYTES):
             hashes, starts = _words(batch.column("text"))
+            buckets = _places(hashes) % _BUCKETS
             best: dict[tuple[int, int, int], tuple] = {}
             for m, (table, items) in enumerate(made):
-                tried: set[tuple[int, int]] = set()
                 sums, text, number = _block_sums(hashes, starts, table)
                 for blocks in (BLOCKS,) if len(sums) else ():
                     vectors, first = _windows(sums, text, number, blocks)
                     for at in range(0, len(vectors), 4096):
                         near = vectors[at : at + 4096] @ items.vectors.T
-                        passed = np.flatnonzero(near >= cosine * np.maximum(items.gates, np.float32(1e-3)))
-                        for w, i in zip(*(x.tolist() for x in divmod(passed, near.shape[1])), strict=True):
-                            block = int(first[at + w])
-                            if (block, i) in tried:
-                                continue
-                            tried.add((block, i))
-                            doc = int(text[block])
-                            begin = int(starts[doc]) + int(number[block]) * BLOCK
-                            n = len(items.words[i])
-                            # The window and as much around it as the item is long, so that no part of the item is cut off.
-                            a, b = max(int(starts[doc]), begin - n), min(int(starts[doc + 1]), begin + BLOCK * blocks + n)
+                        w, i = divmod(np.flatnonzero(near >= cosine * np.maximum(items.gates, np.float32(1e-3))), near.shape[1])
+                        block = first[at + w]
+                        doc, n = text[block], items.n[i]
+                        begin = starts[doc] + number[block] * BLOCK
+                        # The window and as much around it as the item is long, so that no part of the item is cut off.
+                        a, b = np.maximum(starts[doc], begin - n), np.minimum(starts[doc + 1], begin + BLOCK * blocks + n)
+                        can = _can_hold(items, i, buckets, a, b, with_answer)
+                        for w, i, doc, begin, n, a, b in zip(*(x[can].tolist() for x in (w, i, doc, begin, n, a, b)), strict=True):
                             words = hashes[a:b].tolist()
                             share = lcs_length(items.masks[i], n, words) / n
                             if share < with_answer:
@@ -331,7 +350,7 @@ def _search(made: list[tuple[np.ndarray, Items]], cosine: float, lcs: float, wit
                             answer = lcs_length(masks, size, words) >= 0.8 * size
                             if share >= lcs or answer:
                                 found = (share, begin - int(starts[doc]), float(near[w, i]), answer)
-                                best[doc, m, int(i)] = max(best.get((doc, m, int(i)), found), found)
+                                best[doc, m, i] = max(best.get((doc, m, i), found), found)
             docs, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
             rows = [(docs[d], made[m][1].ids[i], keys[d], x[1], x[2], x[0], x[3]) for (d, m, i), x in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_())

@@ -90,3 +90,19 @@ def test_directions_come_from_all_passages(spark):
     assert (np.linalg.norm(np.linalg.qr(made[-5:].T)[0].T @ top, axis=0) > 0.9).all()
     again = latent.corpus_directions(latent.counts(docs.repartition(3))[1], idf)[0]
     assert np.allclose(np.abs(made[-5:]), np.abs(again[-5:]), atol=1e-3)
+
+
+def test_bound_before_the_subsequence_loses_nothing():
+    """Ranges that the bound turns down have no common subsequence of that share; most of those without one are turned down."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(60) if rng.random() < 0.7 else rng.randrange(4000)}" for _ in range(3000)]
+    text, of_item = " ".join(words), [[x for x in words[200 * i : 205 + 209 * i] if rng.random() < 0.9] for i in range(6)]
+    items = latent.Items([(i, " ".join(x)) for i, x in enumerate(of_item)], np.zeros((latent.PLACES, 3), np.float32), np.ones(6))
+    hashes = latent._words(pa.array([text]))[0]
+    item = np.array([i for i in range(6) for _ in range(200)])
+    begin = np.array([rng.randrange(2900) if rng.random() < 0.8 else 200 * i + rng.randrange(10) for i in item])
+    end = np.minimum(3000, begin + 20 + np.array([rng.randrange(120) for _ in item]))
+    can = set(latent._can_hold(items, item, latent._places(hashes) % latent._BUCKETS, begin, end, 0.5).tolist())
+    true = {k for k, (i, a, b) in enumerate(zip(item, begin, end, strict=True)) if latent.lcs_length(items.masks[i], int(items.n[i]), hashes[a:b].tolist()) >= 0.5 * items.n[i]}
+    assert true and true <= can and len(can) < len(item)
+    assert len(latent._can_hold(items, item[:0], hashes[:0], begin[:0], end[:0], 0.5)) == 0
