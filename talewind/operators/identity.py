@@ -224,16 +224,19 @@ def content_hashes(posts: DataFrame, keep: int = HASHES_KEPT) -> DataFrame:
 
 def content_fingerprints(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     """Shared hashes of each candidate pair. Only the given pairs are looked at, so a text copied by very many
-    accounts costs no more than any other."""
-    a = pairs.join(hashes.withColumnRenamed("actor_id", "actor_a"), "actor_a")
-    both = a.join(hashes.withColumnRenamed("actor_id", "actor_b"), ["actor_b", "hash"])
+    accounts costs no more than any other. Hashes of the pairs' accounts are written once and read for both sides."""
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.explode(F.array("actor_a", "actor_b")).alias("actor_id")).distinct()
+    own = cut_lineage(hashes.join(ends, "actor_id", "left_semi"))
+    a = pairs.join(own.withColumnRenamed("actor_id", "actor_a"), "actor_a")
+    both = a.join(own.withColumnRenamed("actor_id", "actor_b"), ["actor_b", "hash"])
     return both.groupBy("actor_a", "actor_b").agg(F.count("*").alias("shared_hashes"))
 
 
 def score_pairs(pairs: DataFrame, actors: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """Scores of the four methods for every pair of different platforms."""
     if hashes is not None:
-        pairs = cut_lineage(pairs)  # read twice below; finding candidates is the dear part
+        pairs = cut_lineage(pairs)  # read more than once below; finding candidates is the dear part
     needed = ["actor_id", "primary_platform", "username", "bio", "active_hours", "primary_topics"]
     a = actors.select(*[F.col(c).alias(f"a_{c}") for c in needed])
     b = actors.select(*[F.col(c).alias(f"b_{c}") for c in needed])

@@ -112,12 +112,13 @@ def fuzzy(spark, sf_dir):
 
 def _hashes(spark, sf_dir):
     """Brands and sizes of what an account ordered or supplied stand for its texts."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat_ws("|", "p_brand", "p_size"), 256).alias("hash"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_size").alias("_text"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     sold = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     ends = F.explode(F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("s"), "l_suppkey")))
-    return sold.select(ends.alias("actor_id"), "hash").distinct()
+    # Hashes are several times as long as what they stand for, so they are made of distinct texts.
+    return sold.select(ends.alias("actor_id"), "_text").distinct().select("actor_id", F.sha2("_text", 256).alias("hash"))
 
 
 HASHES = """

@@ -224,3 +224,17 @@ def test_star_topology_makes_its_edges_once(spark):
     # Of the two further edges one joins two leaves; an edge counts twice.
     assert [(r.hub, r.leaf_count, r.leaf_links) for r in got] == [("hub", 40, 2)]
     assert made.value == len(rows)
+
+
+def test_hashes_of_pairs_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    rows = [(a, h) for a, own in (("a", "xyz"), ("b", "yzw"), ("c", "x"), ("d", "q")) for h in own]
+    hashes = spark.createDataFrame(rows, "actor_id string, hash string").withColumn("hash", F.udf(note)("hash"))
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c")], "actor_a string, actor_b string")
+    assert {tuple(r) for r in idn.content_fingerprints(pairs, hashes).collect()} == {("a", "b", 2), ("a", "c", 1)}
+    assert seen.value <= len(rows)
