@@ -44,6 +44,13 @@ def _pairs_on(df: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(F.col("actor_id").alias("actor_a"), F.col("_b").alias("actor_b"))
 
 
+def on_several_platforms(actors: DataFrame) -> DataFrame:
+    """Accounts whose name (any case) is held on more than one platform."""
+    named = actors.filter(F.coalesce("username", F.lit("")) != "").withColumn("_name", F.lower("username"))
+    shared = named.groupBy("_name").agg(F.min("primary_platform").alias("_p"), F.max("primary_platform").alias("_q")).filter("_p <> _q")
+    return named.join(shared.select("_name"), "_name", "left_semi").drop("_name")
+
+
 def account_groups(actors: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
     """actor_id, head: accounts that are alike in all that a score looks at - name, platform, biography, hours, topics and shared
     content (``hashes``: actor_id, hash) - are one group under its smallest account. Accounts without a name are in none.
@@ -56,8 +63,9 @@ def account_groups(actors: DataFrame, hashes: DataFrame | None = None) -> DataFr
             "bio", F.array_sort("active_hours").alias("h"), F.array_sort("primary_topics").alias("t"))).alias("_profile"),
     )
     if hashes is not None:
-        sums = [F.bit_xor(F.xxhash64("hash", F.lit(k))) for k in (0, 1)]
-        contents = hashes.distinct().groupBy("actor_id").agg(F.concat_ws("/", F.count("*"), *sums).alias("_contents"))
+        # Two numbers for each hash go through the shuffles, not its 64 letters.
+        own = hashes.select("actor_id", *(F.xxhash64("hash", F.lit(k)).alias(f"_h{k}") for k in (0, 1))).distinct()
+        contents = own.groupBy("actor_id").agg(F.concat_ws("/", F.count("*"), *(F.bit_xor(f"_h{k}") for k in (0, 1))).alias("_contents"))
         named = named.join(contents, "actor_id", "left")
     else:
         named = named.withColumn("_contents", F.lit(None).cast("string"))
@@ -97,7 +105,13 @@ def linked_accounts(
     actors: DataFrame, hashes: DataFrame | None = None, min_confidence: float = LINK_CONFIDENCE
 ) -> tuple[DataFrame, DataFrame]:
     """(links between heads with accounts_a and accounts_b, the sizes of their groups; account_groups): the links of all pairs of accounts
-    of one name, as many rows as there are pairs of different profiles. ``expanded`` gives the pairs of accounts."""
+    of one name, as many rows as there are pairs of different profiles. ``expanded`` gives the pairs of accounts.
+
+    A name of a single platform makes no pair, so only accounts of the other names are in groups; their hashes are made and written
+    once, and no other account's are made at all."""
+    actors = cut_lineage(on_several_platforms(actors))
+    if hashes is not None:
+        hashes = cut_lineage(hashes.join(actors.select("actor_id").distinct(), "actor_id", "left_semi"))
     groups = cut_lineage(account_groups(actors, hashes))
     links = score_identity(group_pairs(actors, groups), actors, hashes, min_confidence=min_confidence)
     sizes = groups.groupBy("head").agg(F.count("*").alias("_n"))

@@ -120,3 +120,12 @@ def test_crowded_names_lose_no_link(spark):
         sizes = links.select("accounts_a", "accounts_b").collect()
         assert len(sizes) < 500 and sum(r.accounts_a * r.accounts_b for r in sizes) == len(want)
     assert groups.filter("actor_id in ('t1', 't2')").isEmpty()
+
+
+def test_names_of_one_platform_are_in_no_group(spark):
+    people = [("a", "gab", "Ann", None, [1], ["x"]), ("b", "reddit", "ann", None, [1], ["x"]), ("c", "gab", "bob", None, [1], ["x"]), ("d", "gab", "BOB", None, [1], ["x"])]
+    actors = spark.createDataFrame(people, "actor_id string, primary_platform string, username string, bio string, active_hours array<int>, primary_topics array<string>")
+    hashes = spark.createDataFrame([(p, h) for p in "abcd" for h in ("h", "k", "h")], "actor_id string, hash string")
+    links, groups = idn.linked_accounts(actors, hashes)
+    assert [(r.actor_a, r.actor_b) for r in links.collect()] == [("a", "b")]
+    assert sorted(r.actor_id for r in groups.collect()) == ["a", "b"]
