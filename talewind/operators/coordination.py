@@ -18,6 +18,7 @@ from talewind.operators.skew import SLICE, running_sum, top_per_group, with_prev
 from talewind.session import cut_lineage
 
 BURST_SECONDS, BURST_AUTHORS, BURST_DENSITY = 120, 10, 0.1
+WINDOWS_TRIED = 4
 HISTORY, HISTORY_MIN, TIMES_MIN, GAPS_MIN = 100, 20, 10, 5
 REGULAR_CV, REGULAR_MEAN = 0.3, 3600
 DIVERSITY_CLASSES, DIVERSITY_ENTROPY = 3, 0.3
@@ -123,20 +124,53 @@ def connection_density(members: DataFrame, edges: DataFrame, set_keys: Sequence[
     )
 
 
+def _linked_at(windows: DataFrame, spells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Linked pairs among the authors of each of some windows: narrative_id, window_end, linked."""
+    at = windows.select("narrative_id", "window_end")
+    inside = spells.join(at, "narrative_id").filter(F.col("window_end").between(F.col("start"), F.col("end")))
+    members = cut_lineage(inside.select("narrative_id", "window_end", "actor_id").distinct())
+    present = members.select("actor_id").distinct()
+    # Only edges between authors of the windows are told apart.
+    near = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        near = near.join(present.withColumnRenamed("actor_id", end), end, "left_semi")
+    density = connection_density(members, near, ["narrative_id", "window_end"])
+    return density.select("narrative_id", "window_end", F.col("linked_pairs").alias("linked"))
+
+
+def _sparse(windows: DataFrame, linked: DataFrame, max_density: float) -> DataFrame:
+    """Windows (narrative_id, window_end, authors) of less than ``max_density``, with it."""
+    of = windows.select("narrative_id", "window_end", "authors").join(linked, ["narrative_id", "window_end"], "left")
+    density = F.coalesce("linked", F.lit(0)) / (F.col("authors") * (F.col("authors") - 1) / 2)
+    rated = of.withColumn("density", F.coalesce(F.when(F.col("authors") > 1, density), F.lit(0.0)))
+    return rated.filter(F.col("density") < max_density).drop("linked")
+
+
+def _first_of(windows: DataFrame) -> DataFrame:
+    rest = F.struct("window_end", "authors", "density")
+    return windows.groupBy("narrative_id").agg(F.min_by(rest, F.struct(-F.col("authors"), "window_end")).alias("_b"))
+
+
 def temporal_burst(
     posts: DataFrame, edges: DataFrame, window_seconds: int = BURST_SECONDS, min_authors: int = BURST_AUTHORS,
     max_density: float = BURST_DENSITY,
 ) -> DataFrame:
-    """Strongest burst per narrative by authors that are hardly connected. Density is judged at every window, so a burst of
-    connected authors hides no other; linked pairs are counted by the same sweep as authors."""
+    """Strongest burst per narrative by authors that are hardly connected. Density is judged at every window that may be the answer, so
+    a burst of connected authors hides no other.
+
+    The answer is a narrative's first sparse window in order of authors. The first ``WINDOWS_TRIED`` of each narrative are judged by
+    their own authors; where all are dense, linked pairs are counted at all windows, by the same sweep as authors."""
     spells = cut_lineage(active_spells(posts, window_seconds))
-    swept = _swept(posts, spells, {"authors": spells, "linked": linked_spells(spells, edges)})
-    density = F.col("linked") / (F.col("authors") * (F.col("authors") - 1) / 2)
-    scored = swept.filter(F.col("authors") >= min_authors).withColumn("density", F.coalesce(F.when(F.col("authors") > 1, density), F.lit(0.0)))
-    rest = F.struct("window_end", "authors", "density")
-    best = scored.filter(F.col("density") < max_density).groupBy("narrative_id").agg(
-        F.min_by(rest, F.struct(-F.col("authors"), "window_end")).alias("_b")
-    )
+    windows = cut_lineage(_swept(posts, spells, {"authors": spells}).filter(F.col("authors") >= min_authors))
+    first = top_per_group(windows, ["narrative_id"], [F.desc("authors"), F.asc("window_end")], WINDOWS_TRIED).drop("rank")
+    tried = cut_lineage(_sparse(first, _linked_at(first, spells, edges), max_density))
+    open_ = cut_lineage(windows.select("narrative_id").distinct().join(tried.select("narrative_id").distinct(), "narrative_id", "left_anti"))
+    best = _first_of(tried)
+    if not open_.isEmpty():
+        rest = spells.join(open_, "narrative_id", "left_semi")
+        swept = _swept(posts.join(open_, "narrative_id", "left_semi"), rest, {"authors": rest, "linked": linked_spells(rest, edges)})
+        scored = swept.filter(F.col("authors") >= min_authors)
+        best = best.unionByName(_first_of(_sparse(scored, scored.select("narrative_id", "window_end", "linked"), max_density)))
     return best.select(
         "narrative_id", "_b.*", F.least(F.lit(0.95), 0.5 + (F.col("_b.authors") - min_authors) * 0.05).alias("confidence")
     )
