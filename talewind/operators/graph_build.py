@@ -161,6 +161,12 @@ def merge_edges(events: DataFrame, width: int = SLICE) -> DataFrame:
     )
 
 
+def counted_edges(events: DataFrame) -> DataFrame:
+    """The edges of ``merge_edges`` and their interaction_count, for those who don't need weights: one aggregation, and nothing is
+    ordered or written."""
+    return events.filter(F.col("src") != F.col("dst")).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("interaction_count"))
+
+
 def edge_narratives(events: DataFrame) -> DataFrame:
     """Narratives an edge was seen in, long form."""
     known = events.filter(F.col("narrative_id").isNotNull() & (F.col("src") != F.col("dst")))

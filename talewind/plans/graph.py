@@ -326,7 +326,7 @@ scored AS (
 def scored_actors(spark, sf_dir, edges=None):
     """Accounts with influence and bridge score; degrees stand in for the iterative scores, nations for communities."""
     events = interactions(spark, sf_dir)
-    edges = cut_lineage(gb.merge_edges(events)) if edges is None else edges
+    edges = cut_lineage(gb.counted_edges(events)) if edges is None else edges
     ends = edges.select(F.explode(F.array("src", "dst")).alias("actor_id")).groupBy("actor_id").agg(F.count("*").alias("degree"))
     narr = events.groupBy(F.col("src").alias("actor_id")).agg(F.count_distinct("narrative_id").alias("narrative_count"))
     joined = accounts(spark, sf_dir).join(ends, "actor_id", "left").join(gb.amplification_score(edges), "actor_id", "left").join(

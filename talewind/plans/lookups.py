@@ -9,7 +9,7 @@ from talewind.operators import briefing as br
 from talewind.operators import coordination as co
 from talewind.operators import migration as mi
 from talewind.operators import search as se
-from talewind.operators.graph_build import merge_edges
+from talewind.operators.graph_build import counted_edges
 from talewind.operators.graph_query import community_summary
 from talewind.operators.rank import top_bridges
 from talewind.plans.catalog import query
@@ -20,6 +20,7 @@ from talewind.plans.signals import CLUSTERS, SIGNALS, STARS, SWARM_AT, _clusters
 from talewind.plans.tables import (
     ACCOUNTS, INGESTED, MERGED_EDGES, NOW, PAIR_WEIGHTS, POSTS, USER_ACTORS, ingested, interactions, posts, table,
 )
+from talewind.session import cut_lineage
 from talewind.operators import predict as pr
 
 
@@ -160,8 +161,8 @@ def cluster_totals(spark, sf_dir):
 
 
 # Star signals of the interactions (all at the same time) and swarm signals of the users.
-def _all_signals(spark, sf_dir):
-    stars = co.star_topology(merge_edges(interactions(spark, sf_dir)))
+def _all_signals(spark, sf_dir, edges=None):
+    stars = co.star_topology(counted_edges(interactions(spark, sf_dir)) if edges is None else edges)
     star_signals = co.as_signals(stars, "star_topology", NOW, ["hub"], key=["hub"])
     swarms, _ = _signal_tables(spark, sf_dir)
     return star_signals.unionByName(swarms)
@@ -183,13 +184,13 @@ def list_signals(spark, sf_dir):
     return found.select("signal_id", "type", F.round("confidence", 9).alias("confidence"))
 
 
-def _alerts(spark, sf_dir):
+def _alerts(spark, sf_dir, edges=None):
     moved = _migrations(spark, sf_dir)
     behavioral = posts(spark, sf_dir).groupBy("topic").agg(F.max("created_at").alias("detected_at"), F.count("*").alias("_n")).select(
         F.concat(F.lit("b"), "topic").alias("id"), F.lit("engagement_shift").alias("type"), F.col("topic").alias("community_id"),
         F.when(F.col("_n") > 1000, "high").otherwise("medium").alias("severity"), "detected_at",
     )
-    return se.all_alerts(_all_signals(spark, sf_dir), behavioral, moved)
+    return se.all_alerts(_all_signals(spark, sf_dir, edges), behavioral, moved)
 
 
 ALERTS = f"""{ALL_SIGNALS}, {MIGRATIONS},
@@ -269,7 +270,9 @@ def search_actors(spark, sf_dir):
 )
 def global_search(spark, sf_dir):
     # No narrative of the sample carries this number.
-    return se.global_search("00000001", narrative_state(spark, sf_dir).drop("created_at", "velocity_curve", "duration_hours", "coordination_score"), scored_actors(spark, sf_dir), _alerts(spark, sf_dir))
+    edges = cut_lineage(counted_edges(interactions(spark, sf_dir)))
+    state = narrative_state(spark, sf_dir).drop("created_at", "velocity_curve", "duration_hours", "coordination_score")
+    return se.global_search("00000001", state, scored_actors(spark, sf_dir, edges), _alerts(spark, sf_dir, edges))
 
 
 # --- briefings --------------------------------------------------------------------------------------------------------------

@@ -24,3 +24,9 @@ def test_sparse_bursts_need_no_pairs_of_spells(spark, sf, monkeypatch):
 def test_state_reads_posts_once(spark, sf):
     plan = narrative_state(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("events.parquet") == 0 and plan.count("Exchange") == 0
+
+
+def test_counted_edges(spark, sf):
+    e, columns = interactions(spark, sf), ["src", "dst", "edge_type", "interaction_count"]
+    merged, counted = gb.merge_edges(e).select(columns), gb.counted_edges(e)
+    assert counted.columns == columns and merged.count() == counted.count() and merged.exceptAll(counted).isEmpty()
