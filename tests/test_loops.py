@@ -1,12 +1,8 @@
-"""What loops and shared steps no longer do: shuffle links again, count pairs at every window, read posts for every figure."""
+"""What shared steps no longer do: count pairs at every window, read posts for every figure."""
 
 import pytest
-from pyspark.sql import functions as F
-
-from talewind import session
 from talewind.operators import coordination as co
 from talewind.operators import graph_build as gb
-from talewind.operators import louvain
 from talewind.plans.forecasts import narrative_state
 from talewind.plans.tables import interactions, pair_weights, topic_posts
 
