@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talewind.functions.scores import capped_ratio
-from talewind.operators.skew import split_hot
+from talewind.operators.skew import dealt_once
 from talewind.session import cut_lineage
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 50, 1e-7
@@ -22,35 +22,29 @@ def pagerank(
 ) -> DataFrame:
     """Weighted PageRank: actor_id, pagerank (sums to 1). ``edges``: src, dst, weight; ``nodes`` adds isolated actors.
 
-    rank = (1 - d) + d * sum(rank of source * its share of the source's outgoing weight). A round is one join on the
-    source and one partially aggregated sum per target; the old rank rides along in the same aggregation, so the
-    change is known without a further join. Sources with very many edges are cut into pieces.
+    rank = (1 - d) + d * sum(rank of source * its share of the source's outgoing weight). Links are dealt out by source once and
+    stay where they lie; a round moves the ranks to them and one partially aggregated sum per target. In the last round before a cut the old
+    rank rides along in the same aggregation, so the change is known without a further join. Sources with very many edges are cut into pieces.
     """
     merged = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     merged = cut_lineage(merged.filter(F.col("weight") > 0))
-    count = merged.count()
     out = merged.groupBy("src").agg(F.sum("weight").alias("_out"))
-    cut, copy = split_hot(merged, "src", "dst", rows_per_piece, known_rows=count)
-    links = cut_lineage(
-        cut.join(copy(out, "src"), ["src", "_piece"]).select(
-            "src", "dst", (F.col("weight") / F.col("_out")).alias("share"), "_piece"
-        )
-    )
+    links, met = dealt_once(merged, "src", "dst", rows_per_piece, known_rows=merged.count(), beside=out)
     names = merged.select(F.col("src").alias("actor_id")).unionByName(merged.select(F.col("dst").alias("actor_id")))
     if nodes is not None:
         names = names.unionByName(nodes.select("actor_id"))
-    ranks = names.distinct().withColumn("rank", F.lit(1.0 - damping)).withColumn("old", F.lit(0.0))
-    ranks = cut_lineage(ranks)
+    names = cut_lineage(names.distinct())
+    ranks = names.withColumn("rank", F.lit(1.0 - damping)).withColumn("old", F.lit(0.0))
     done = 0
     while done < rounds:
         block = min(ROUNDS_PER_CUT, rounds - done)
-        for _ in range(block):
-            sources = copy(ranks.select(F.col("actor_id").alias("src"), "rank"), "src")
-            given = links.join(sources, ["src", "_piece"]).select(
-                F.col("dst").alias("actor_id"), (F.col("rank") * F.col("share")).alias("gain"), F.lit(0.0).alias("old")
+        for i in range(block):
+            given = met(ranks.select(F.col("actor_id").alias("src"), "rank")).select(
+                F.col("dst").alias("actor_id"), (F.col("rank") * (F.col("weight") / F.col("_out"))).alias("gain"), F.lit(0.0).alias("old")
             )
-            kept = ranks.select("actor_id", F.lit(0.0).alias("gain"), F.col("rank").alias("old"))
-            ranks = given.unionByName(kept).groupBy("actor_id").agg(
+            # Every node stays. Only the last round reads the old ranks: in all rounds the plan would double from each to the next.
+            old = ranks.select("actor_id", F.col("rank").alias("old")) if i == block - 1 else names.select("actor_id", F.lit(0.0).alias("old"))
+            ranks = given.unionByName(old.withColumn("gain", F.lit(0.0))).groupBy("actor_id").agg(
                 (F.lit(1.0 - damping) + F.lit(damping) * F.sum("gain")).alias("rank"), F.max("old").alias("old")
             )
         done += block
@@ -58,6 +52,7 @@ def pagerank(
         change = ranks.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         if change is None or change < tolerance:
             break
+    links.unpersist()
     total = ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("actor_id", (F.col("rank") / F.lit(total or 1.0)).alias("pagerank"))
 

@@ -6,7 +6,8 @@ Three shapes are covered:
 * ``with_previous`` / ``with_last_two`` / ``running_sum`` - ordered logic over *all* rows of a key: every key is cut into time slices of
   one width, each slice is one window partition, and only one summary row per slice is carried across. The input is
   written once, whatever its size.
-* ``split_hot``        - equi-joins repeated in a loop, where adaptive skew handling does not reach.
+* ``split_hot``        - equi-joins repeated in a loop, where adaptive skew handling does not reach; ``dealt_once`` also keeps the
+  large side where it lies, so that a round moves the small side only.
 
 Every list of hot keys is small by counting: at most ``rows / rows_per_piece`` keys can exceed
 ``rows_per_piece`` rows, so broadcasting it is safe at any input size.
@@ -137,3 +138,33 @@ def split_hot(
         )
 
     return cut, copy
+
+
+def dealt_once(
+    big: DataFrame, key: str, spread_by: str, rows_per_piece: int | None = None, known_rows: int | None = None, beside: DataFrame | None = None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``big`` for joins on ``key`` in a loop: cut by split_hot, dealt out once and kept by the executors, in memory or on disk. Returns it and
+    a function that joins it with a table that has a row per ``key``; only that table is moved, at every size. ``beside``: such a table
+    that is joined before. A lost executor costs the making of its parts, so ``big`` should be a written table. Unpersist it after the loop.
+
+    There are as many parts as cores, more only where one would exceed ``ROWS_PER_PIECE`` rows: sums by another column, made in each part
+    before they are moved, then shrink alike at every size; in ever more and smaller parts they would not."""
+    spark = big.sparkSession
+    rows = big.count() if known_rows is None else known_rows
+    cut, copy = split_hot(big, key, spread_by, rows_per_piece, rows)
+    # With one piece a key the piece would be a constant, which the optimizer takes out of the join's keys.
+    whole = rows <= (rows_per_piece or ROWS_PER_PIECE)
+    on, parts = [key] if whole else [key, "_piece"], max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PIECE))
+
+    def met(lying: DataFrame, other: DataFrame) -> DataFrame:
+        sent = (other if whole else copy(other, key)).repartition(parts, *on)
+        return lying.join(sent.hint("shuffle_hash"), on)
+
+    # Made at once: a plan made earlier would not know how the rows lie, and joins of two dealt tables would have Spark's own number of parts.
+    kept = (cut.drop("_piece") if whole else cut).repartition(parts, *on).persist()
+    kept.count()
+    if beside is not None:
+        plain, kept = kept, met(kept, beside).persist()
+        kept.count()
+        plain.unpersist()
+    return kept, lambda other: met(kept, other)
