@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talewind.operators.skew import split_hot
-from talewind.session import cut_lineage
+from talewind.operators.skew import dealt_once, split_hot
+from talewind.session import ROWS_PER_PIECE, cut_lineage
 
 LEVELS, ITERATIONS = 10, 20
 # An iteration or level that lifts modularity by less than this is the last.
@@ -37,6 +39,41 @@ def modularity(weights: DataFrame, labels: DataFrame) -> float:
     return per.agg(F.sum(F.col("inside") / total - (F.col("degree") / total) ** 2)).first()[0] or 0.0
 
 
+def _moved(state: DataFrame, met: Callable[[DataFrame], DataFrame], total: float, rows: int, turn: Column, rows_per_piece: int | None) -> DataFrame:
+    """One iteration: ``state`` with the labels after it, and ``inside``: each node's weight towards its own label *before* it.
+
+    Weights lie by ``v`` (``dealt_once``). Each sends its node's label and that label's size on to ``u``, and this is the only time that rows as
+    many as weights are moved: they are dealt by ``u``, where labels are added up and compared. Hubs are dealt by label, too.
+    """
+    sizes = state.groupBy("label").agg(F.sum("k").alias("tot"), F.count("*").alias("members"))
+    cut, copy = split_hot(state, "label", "node", rows_per_piece, known_rows=rows)
+    sized = cut.join(copy(sizes, "label"), ["label", "_piece"]).select("node", "k", "pieces", "label", "tot", "members")
+    told = met(sized.select(F.col("node").alias("v"), F.col("label").alias("target"), F.col("tot").alias("to_tot"), F.col("members").alias("to_members")))
+    part = F.pmod(F.hash("target"), F.col("u_pieces")).alias("part")
+    sent = told.select(F.col("u").alias("node"), part, "target", "to_tot", "to_members", "w").repartition("node", "part")
+    towards = sent.groupBy("node", "part", "target").agg(
+        F.sum("w").alias("w"), F.first("to_tot").alias("to_tot"), F.first("to_members").alias("to_members")
+    )
+    own = sized.select("node", "k", "label", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"))
+    rated = towards.join(own.hint("shuffle_hash"), ["node", "part"])
+    home, gain = F.col("target") == F.col("label"), F.col("w") - F.col("k") * F.col("to_tot") / total
+    ranked = F.struct((-F.round("gain", 9)).alias("order"), "target", "to_members", "gain")
+    choice = (
+        rated.withColumn("gain", gain).groupBy("node", "part")
+        .agg(F.max(F.when(home, F.col("w"))).alias("inside"), F.min(F.when(~home, ranked)).alias("move"))
+        .groupBy("node").agg(F.max("inside").alias("inside"), F.min("move").alias("move"))
+    )
+    inside = F.coalesce("inside", F.lit(0.0))
+    stay = inside - F.col("k") * (F.col("tot") - F.col("k")) / total
+    lone = (F.col("members") == 1) & (F.col("move.to_members") == 1)
+    better = F.col("move.gain") > stay + _GAIN
+    moves = turn & better & (~lone | (F.col("move.target") < F.col("label")))
+    return sized.join(choice, "node", "left").select(
+        "node", "k", "pieces", F.when(F.coalesce(moves, F.lit(False)), F.col("move.target")).otherwise(F.col("label")).alias("label"),
+        inside.alias("inside"),
+    )
+
+
 def _one_level(
     weights: DataFrame, total: float, rows: int, iterations: int, level: int, rows_per_piece: int | None
 ) -> tuple[DataFrame, float]:
@@ -44,51 +81,32 @@ def _one_level(
 
     All nodes decide at once, so neighbours could swap for ever; in each iteration only one half of the nodes, by a
     hash that changes with the iteration, may move, and a lone node joins another lone node only towards the smaller
-    label. Iterating stops when neither half lifts modularity any more; the best labelling is kept.
+    label. Iterating stops when neither half lifts modularity any more; the best labelling is kept. A labelling's modularity comes from the
+    iteration after it, which adds up the weights towards own labels anyway.
     """
-    degree = cut_lineage(weights.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
-    cut, copy = split_hot(weights.filter(F.col("u") != F.col("v")), "v", "u", rows_per_piece, known_rows=rows)
-    state = cut_lineage(degree.select("node", "k", F.col("node").alias("label")))
-    best, best_score = state, modularity(weights, state)
-    for iteration in range(iterations):
-        labels = state.select(F.col("node").alias("v"), "label")
-        towards = cut.join(copy(labels, "v"), ["v", "_piece"]).groupBy(F.col("u").alias("node"), "label").agg(F.sum("w").alias("w"))
-        towards = towards.withColumnRenamed("label", "target")
-        sizes = state.groupBy(F.col("label").alias("target")).agg(F.sum("k").alias("tot"), F.count("*").alias("members"))
-        own = state.select("node", "k", "label").withColumn("target", F.col("label")).withColumn("w", F.lit(0.0))
-        options = (
-            towards.join(state.select("node", "k", "label"), "node")
-            .select("node", "k", "label", "target", "w").unionByName(own.select("node", "k", "label", "target", "w"))
-            .groupBy("node", "target").agg(F.max("k").alias("k"), F.first("label").alias("label"), F.sum("w").alias("w"))
-        )
-        spread, match = split_hot(options, "target", "node", rows_per_piece, known_rows=rows)
-        rated = spread.join(match(sizes, "target"), ["target", "_piece"])
-        home = F.col("target") == F.col("label")
-        others = F.col("tot") - F.when(home, F.col("k")).otherwise(0.0)
-        rated = rated.withColumn("gain", F.col("w") - F.col("k") * others / total)
-        choice = rated.groupBy("node").agg(
-            F.max("k").alias("k"), F.first("label").alias("label"),
-            F.max(F.when(home, F.col("gain"))).alias("stay"),
-            F.max(F.when(home, F.col("members"))).alias("company"),
-            F.min_by(F.struct("target", "members", "gain"), F.when(~home, F.struct(-F.round("gain", 9), "target"))).alias("move"),
-        )
+    pieces = F.ceil(F.count("*") / (rows_per_piece or ROWS_PER_PIECE)).cast("int").alias("pieces")
+    degree = cut_lineage(weights.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"), pieces))
+    hubs = degree.filter("pieces > 1").select(F.col("node").alias("u"), F.col("pieces").alias("u_pieces"))
+    plain = weights.filter(F.col("u") != F.col("v")).join(F.broadcast(hubs), "u", "left").fillna(1, ["u_pieces"])
+    loops = weights.filter(F.col("u") == F.col("v")).agg(F.sum("w")).first()[0] or 0.0
+    kept, met = dealt_once(plain, "v", "u", rows_per_piece, known_rows=rows)
+    state = degree.select("node", "k", "pieces", F.col("node").alias("label"))
+    best, best_score = state, None
+    for iteration in range(iterations + 1):
         turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(iteration)), F.lit(2)) == 0
-        lone = (F.col("company") == 1) & (F.col("move.members") == 1)
-        better = F.col("move.gain") > F.col("stay") + _GAIN
-        moves = turn & better & (~lone | (F.col("move.target") < F.col("label")))
-        stepped = choice.select(
-            "node", "k", F.when(F.coalesce(moves, F.lit(False)), F.col("move.target")).otherwise(F.col("label")).alias("label")
-        )
-        state = cut_lineage(stepped)
-        if iteration % 2 == 0 and iteration + 1 < iterations:
-            continue
-        # Both halves have had their turn.
-        score = modularity(weights, state)
-        gained = score - best_score
-        if gained > 0:
-            best, best_score = state, score
-        if gained <= TOLERANCE:
-            break
+        stepped = cut_lineage(_moved(state, met, total, rows, turn, rows_per_piece))
+        if iteration % 2 == 0 or iteration == iterations:
+            # Both halves have had their turn.
+            inside = (stepped.agg(F.sum("inside")).first()[0] or 0.0) + loops
+            shares = state.groupBy("label").agg((F.sum("k") / total).alias("s")).agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0
+            score = inside / total - shares if total else 0.0
+            gained = None if best_score is None else score - best_score
+            if gained is None or gained > 0:
+                best, best_score = state, score
+            if gained is not None and gained <= TOLERANCE:
+                break
+        state = stepped.drop("inside")
+    kept.unpersist()
     return best.select("node", "label"), best_score
 
 

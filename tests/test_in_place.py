@@ -57,3 +57,21 @@ def test_rounds_of_pagerank_move_ranks_only(spark, sf, plans):
     rank.pagerank(pair_weights(spark, sf), rounds=5)
     # Old ranks are read once, so plans grow with the rounds and don't double.
     assert plans[-1].count("InMemoryTableScan") <= 9
+
+
+def test_iterations_of_communities_move_weights_once(spark, sf, plans):
+    e = pair_weights(spark, sf).filter("src < 40 and dst < 40")
+    louvain.communities(e, levels=1, iterations=2)
+    steps = [p for p in plans if "InMemoryTableScan" in p]
+    assert len(steps) == 3
+    for p in steps:
+        assert p.count("InMemoryTableScan") == 1
+        lines = p[: p.index("InMemoryTableScan")].splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+        # Exchanges on the way from the weights to the result: by node and label, and the choice of each node.
+        way, least = [], 1 << 30
+        for x, d in zip(reversed(lines), reversed(depth)):
+            if d < least:
+                way, least = [*way, x], d
+        moved = [x for x in way if "Exchange" in x]
+        assert len(moved) == 2 and "part#" in moved[0] and "part#" not in moved[1]
