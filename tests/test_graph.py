@@ -114,6 +114,35 @@ def test_betweenness_adds_up_links_in_tasks(spark, monkeypatch):
     assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
 
 
+def test_betweenness_makes_no_rows_of_source_and_node(spark, monkeypatch):
+    from talewind.operators import betweenness as module
+
+    monkeypatch.setattr(module, "_step", None)
+    rng = np.random.default_rng(8)
+    # A dense part, a long ring, and a node that nothing leads to.
+    pairs = sorted({(f"n{a:02}", f"n{b:02}") for a, b in rng.integers(0, 20, size=(150, 2)).tolist() if a != b})
+    pairs += [(f"r{i:02}", f"r{(i + 1) % 30:02}") for i in range(30)] + [("n00", "r00"), ("lone", "n01")]
+    expected = brute_betweenness(pairs)
+    for cells, steps, worth in ((1 << 19, 1 << 17, 1 << 30), (120, 7, 500)):
+        for name, value in {"_CELLS": cells, "_STEPS": steps, "STEPS_PER_TASK": worth}.items():
+            monkeypatch.setattr(module, name, value)
+        got = {r.actor_id: r.betweenness for r in betweenness(frame(spark, pairs), directed=False).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
+def test_betweenness_of_more_links_than_a_task_holds_is_bounded(spark, monkeypatch):
+    from talewind.operators import betweenness as module
+
+    sizes = []
+    whole = module._dependencies
+    monkeypatch.setattr(module, "_dependencies", lambda starts, forward, backward, groups: sizes.append(groups) or whole(starts, forward, backward, groups))
+    for name, value in {"LINKS_HELD": 5, "CELLS_PER_TASK": 16}.items():
+        monkeypatch.setattr(module, name, value)
+    pairs = [(f"n{i}", f"n{(i * 3 + 1) % 8}") for i in range(8) if i != (i * 3 + 1) % 8]
+    got = {r.actor_id: r.betweenness for r in betweenness(frame(spark, pairs), directed=False).collect()}
+    assert got == brute_betweenness(pairs) and sizes == [-(-len(got) // (16 // len(got)))]
+
+
 def test_path_makes_its_edges_once(spark):
     made = spark.sparkContext.accumulator(0)
 
