@@ -265,15 +265,39 @@ def star_topology(
     max_connectivity: float = STAR_CONNECTIVITY, repost_type: str = "REPOSTED", limit: int | None = None,
 ) -> DataFrame:
     """Hubs reposted by many accounts that hardly touch one another. ``edges`` are merged edges, which are written once here."""
+    edges, leaves = _written_leaves(edges, repost_type)
+    out = _stars(edges, leaves, min_leaves, min_reposts, max_connectivity)
+    return out if limit is None else out.orderBy(F.desc("confidence"), F.desc("repost_count"), "hub").limit(limit)
+
+
+def stars_and_accounts(
+    edges: DataFrame, min_leaves: int = STAR_LEAVES, min_reposts: int = STAR_REPOSTS, max_connectivity: float = STAR_CONNECTIVITY,
+    repost_type: str = "REPOSTED",
+) -> tuple[DataFrame, DataFrame]:
+    """The stars of ``star_topology`` and their accounts as in ``star_accounts``; the edges are written and looked at once for both."""
+    edges, leaves = _written_leaves(edges, repost_type)
+    stars = cut_lineage(_stars(edges, leaves, min_leaves, min_reposts, max_connectivity))
+    return stars, _with_centres(leaves.select("hub", "actor_id"), stars.select("hub"))
+
+
+def _written_leaves(edges: DataFrame, repost_type: str) -> tuple[DataFrame, DataFrame]:
+    """Edges, and who reposted whom (hub, actor_id) how often (reposts), each written once."""
     edges = cut_lineage(edges.select("src", "dst", "edge_type", "interaction_count"))
     reposts = edges.filter((F.col("edge_type") == repost_type) & (F.col("src") != F.col("dst")))
-    hubs = reposts.groupBy(F.col("dst").alias("hub")).agg(
-        F.count_distinct("src").alias("leaf_count"), F.sum("interaction_count").alias("repost_count")
-    ).filter((F.col("leaf_count") >= min_leaves) & (F.col("repost_count") >= min_reposts))
-    leaves = reposts.select(F.col("dst").alias("hub"), F.col("src").alias("actor_id")).distinct().join(hubs, "hub", "left_semi")
+    leaves = reposts.groupBy(F.col("dst").alias("hub"), F.col("src").alias("actor_id")).agg(F.sum("interaction_count").alias("reposts"))
+    return edges, cut_lineage(leaves)
+
+
+def _stars(edges: DataFrame, leaves: DataFrame, min_leaves: int, min_reposts: int, max_connectivity: float) -> DataFrame:
+    hubs = cut_lineage(leaves.groupBy("hub").agg(F.count("*").alias("leaf_count"), F.sum("reposts").alias("repost_count")).filter(
+        (F.col("leaf_count") >= min_leaves) & (F.col("repost_count") >= min_reposts)
+    ))
+    leaves = leaves.select("hub", "actor_id").join(hubs, "hub", "left_semi")
     links = edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
-    # An edge to an account that is no hub's leaf joins no two leaves.
-    links = links.join(leaves.select(F.col("actor_id").alias("dst")).distinct(), "dst", "left_semi")
+    # An edge to an account that is no hub's leaf joins no two leaves. Such accounts are found among the ends of edges, and written, so
+    # that edges and leaves are moved only where many are left.
+    ends = cut_lineage(links.select("dst").distinct().join(leaves.select(F.col("actor_id").alias("dst")), "dst", "left_semi"))
+    links = cut_lineage(links.join(ends, "dst", "left_semi"))
     near = leaves.withColumnRenamed("actor_id", "src").join(links, "src")
     between = near.join(leaves.withColumnRenamed("actor_id", "dst"), ["hub", "dst"], "left_semi")
     # Every stored edge is met once from either end.
@@ -282,20 +306,22 @@ def star_topology(
     scored = hubs.join(linked, "hub", "left").withColumn("leaf_links", F.coalesce("leaf_links", F.lit(0)))
     scored = scored.withColumn("leaf_connectivity", F.coalesce(F.col("leaf_links") / F.nullif(possible, F.lit(0.0)), F.lit(0.0)))
     stars = scored.filter((F.col("leaf_links") < F.col("leaf_count")) & (F.col("leaf_connectivity") < max_connectivity))
-    out = stars.select(
+    return stars.select(
         "hub", "leaf_count", "repost_count", "leaf_links", F.round("leaf_connectivity", 4).alias("leaf_connectivity"),
         F.least(F.lit(0.90), 0.6 + (F.col("leaf_count") - min_leaves) * 0.02).alias("confidence"),
     )
-    return out if limit is None else out.orderBy(F.desc("confidence"), F.desc("repost_count"), "hub").limit(limit)
 
 
 def star_accounts(edges: DataFrame, stars: DataFrame, repost_type: str = "REPOSTED") -> DataFrame:
     """All accounts of each star: hub, actor_id, role (hub or leaf). ``edges`` are the merged edges that ``stars`` were found in."""
-    hubs = stars.select("hub").distinct()
     reposts = edges.filter((F.col("edge_type") == repost_type) & (F.col("src") != F.col("dst")))
-    leaves = reposts.select(F.col("dst").alias("hub"), F.col("src").alias("actor_id")).distinct().join(hubs, "hub", "left_semi")
+    leaves = reposts.select(F.col("dst").alias("hub"), F.col("src").alias("actor_id")).distinct()
+    return _with_centres(leaves, stars.select("hub").distinct())
+
+
+def _with_centres(leaves: DataFrame, hubs: DataFrame) -> DataFrame:
     centres = hubs.select("hub", F.col("hub").alias("actor_id"), F.lit("hub").alias("role"))
-    return leaves.withColumn("role", F.lit("leaf")).unionByName(centres)
+    return leaves.join(hubs, "hub", "left_semi").withColumn("role", F.lit("leaf")).unionByName(centres)
 
 
 # --- signal tables ----------------------------------------------------------------------------------------------------

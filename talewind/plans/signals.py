@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from talewind.operators import coordination as co
 from talewind.operators.components import cluster_narratives, cluster_signals, coordination_clusters
-from talewind.operators.graph_build import merge_edges
+from talewind.operators.graph_build import counted_edges
 from talewind.plans.catalog import query
 from talewind.plans.tables import (
     ACCOUNTS, MERGED_EDGES, NOW, PAIR_WEIGHTS, POSTS, USER_ACTORS, accounts, interactions, pair_weights, posts, topic_posts,
     user_actors,
 )
-from talewind.session import cut_lineage
 
 # Sample authors are sparse: an hour and three authors stand for two minutes and ten.
 WINDOW, AUTHORS = 3600, 3
@@ -185,7 +184,7 @@ stars AS (
 
 @query("star_topology", f"WITH {MERGED_EDGES}, {STARS} SELECT * FROM stars")
 def star_topology(spark, sf_dir):
-    found = co.star_topology(merge_edges(interactions(spark, sf_dir)))
+    found = co.star_topology(counted_edges(interactions(spark, sf_dir)))
     return found.withColumn("confidence", F.round("confidence", 9))
 
 
@@ -246,7 +245,7 @@ def signal_graph(spark, sf_dir):
     SELECT hub, round(confidence, 9) AS confidence FROM stars WHERE leaf_count % 5 * 20 < 48""",
 )
 def recent_signals(spark, sf_dir):
-    stars = co.star_topology(merge_edges(interactions(spark, sf_dir)))
+    stars = co.star_topology(counted_edges(interactions(spark, sf_dir)))
     when = F.lit(NOW).cast("timestamp") - F.make_dt_interval(hours=(F.col("leaf_count") % 5 * 20).cast("int"))
     signals = co.as_signals(stars, "star_topology", when, ["hub", "leaf_count", "repost_count"], key=["hub"])
     kept = co.recent_signals(signals, NOW, 48)
@@ -260,11 +259,8 @@ def recent_signals(spark, sf_dir):
     FROM stars JOIN leaves USING (hub) LEFT JOIN accounts ON leaf = actor_id GROUP BY hub""",
 )
 def cluster_reach(spark, sf_dir):
-    edges = cut_lineage(merge_edges(interactions(spark, sf_dir)))
-    stars = co.star_topology(edges)
-    reposts = edges.filter(F.col("edge_type") == "REPOSTED").select(F.col("dst").alias("hub"), F.col("src").alias("actor_id"))
-    members = reposts.distinct().join(stars.select("hub"), "hub", "left_semi")
-    return co.cluster_reach(members, accounts(spark, sf_dir), ["hub"])
+    _, members = co.stars_and_accounts(counted_edges(interactions(spark, sf_dir)))
+    return co.cluster_reach(members.filter("role = 'leaf'"), accounts(spark, sf_dir), ["hub"])
 
 
 CLUSTERS = """
@@ -342,8 +338,7 @@ def alerts(spark, sf_dir):
     UNION ALL SELECT hub, hub, 'hub' FROM stars""",
 )
 def star_accounts(spark, sf_dir):
-    edges = cut_lineage(merge_edges(interactions(spark, sf_dir)))
-    return co.star_accounts(edges, cut_lineage(co.star_topology(edges)))
+    return co.stars_and_accounts(counted_edges(interactions(spark, sf_dir)))[1]
 
 
 def _contents(spark, sf_dir):

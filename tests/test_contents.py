@@ -36,3 +36,30 @@ def test_contents_of_clusters(spark):
     told = {(r.cluster_id, r.narrative_id): (r.signal_count, r.first_detected) for r in cluster_narratives(found).collect()}
     assert {k: n for k, (n, _) in told.items()} == {(names[3], "n"): 2, (names[2], "q"): 1, (names[2], "r"): 1}
     assert told[names[3], "n"][1] == min(r.detected_at for r in signals.filter("signal_id in ('s1', 's4')").collect())
+
+
+def test_stars_write_their_edges_once_and_in_no_order(spark, sf, monkeypatch):
+    from talewind.operators import graph_build
+    from talewind.plans import signals as plans
+
+    written = []
+    for module in (co, graph_build, plans):
+        if hasattr(module, "cut_lineage"):
+            monkeypatch.setattr(module, "cut_lineage", lambda df, write=module.cut_lineage: written.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or write(df))
+    accounts = plans.star_accounts(spark, sf)
+    edges = [plan for columns, plan in written if "edge_type" in columns]
+    assert len(edges) == 1 and "Window" not in edges[0]
+    # Every repost is looked at once, for stars and their accounts alike.
+    assert sum("reposts" in columns for columns, _ in written) == 1
+    assert "edge_type" not in accounts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stars_with_accounts_are_those_of_their_own(spark):
+    spokes = [(f"l{i:02}", h, kind, 2, 1.0) for i in range(14) for h in ("a", "b") for kind in ("REPOSTED", "MENTIONED")]
+    spokes += [(f"l{i:02}", f"l{j:02}", "REPOSTED", 1, 1.0) for i in range(3) for j in range(14)] + [("b", "l01", "MENTIONED", 1, 1.0), ("x", "a", "REPOSTED", 1, 1.0)]
+    edges = spark.createDataFrame(spokes, EDGES)
+    for bound in (0.1, 1.0):
+        args = dict(max_connectivity=bound, min_leaves=3, min_reposts=3)
+        stars, accounts = co.stars_and_accounts(edges, **args)
+        assert sorted(map(tuple, stars.collect())) == sorted(map(tuple, co.star_topology(edges, **args).collect()))
+        assert sorted(map(tuple, accounts.collect())) == sorted(map(tuple, co.star_accounts(edges, stars).collect()))
